@@ -66,7 +66,7 @@ def entity_nesting(symbols: DataFrame) -> DataFrame:
     a function of the same span only when it precedes it in that order.
     """
     cols = ["repo_url", "file_path", "label", "unique_id", "name", "start_line", "end_line"]
-    rank_of = lambda p: F.struct(F.col(f"{p}label"), F.col(f"{p}name"), F.col(f"{p}unique_id"))
+    rank_of = lambda p: F.struct(*[F.col(f"{p}{c}").alias(c) for c in ("label", "name", "unique_id")])
     inner = symbols.select(*cols)
     pairs = covering_pairs(inner, inner, "left")
     same_span = (F.col("o_start_line") == F.col("start_line")) & (F.col("o_end_line") == F.col("end_line"))
