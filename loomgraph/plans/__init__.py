@@ -4,7 +4,7 @@ from importlib import import_module
 
 from loomgraph.plans.registry import ORACLES, QUERIES, callables
 
-MODULES = ["tables", "edge_queries", "scalar_queries"]
+MODULES = ["tables", "edge_queries", "scalar_queries", "connection_queries"]
 for _name in MODULES:
     import_module(f"loomgraph.plans.{_name}")
 
