@@ -9,9 +9,13 @@ from loomgraph.functions import derive as D
 from loomgraph.operators.containment import covering_pairs
 from loomgraph.operators.edges import EDGE_KEY, edge, union_all
 
+SYMBOLS = ["Function", "Class"]
 
-def missing_edges(candidates: DataFrame, stored: DataFrame) -> DataFrame:
-    return candidates.select(*EDGE_KEY).distinct().join(stored.select(*EDGE_KEY), EDGE_KEY, "left_anti")
+
+def missing_edges(candidates: DataFrame, stored: DataFrame, rel: str, src: list[str], dst: list[str]) -> DataFrame:
+    """Candidates the store lacks. Only stored edges of the same kind are read: ``rel`` is the partition column."""
+    same_kind = stored.filter((F.col("rel") == rel) & F.col("src_label").isin(src) & F.col("dst_label").isin(dst))
+    return candidates.select(*EDGE_KEY).distinct().join(same_kind.select(*EDGE_KEY), EDGE_KEY, "left_anti")
 
 
 def add_edges(stored: DataFrame, *fixes: DataFrame) -> DataFrame:
@@ -21,20 +25,23 @@ def add_edges(stored: DataFrame, *fixes: DataFrame) -> DataFrame:
 def to_repository(rows: DataFrame, label, id_column: str, repositories: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of a label -> their repository (files, directories, chunks, symbols)."""
     known = rows.join(repositories.select(F.col("url").alias("repo_url")), "repo_url", "left_semi")
-    return missing_edges(edge(known, label, id_column, "BELONGS_TO", "Repository", "repo_url"), stored)
+    return missing_edges(edge(known, label, id_column, "BELONGS_TO", "Repository", "repo_url"), stored,
+                         "BELONGS_TO", [label] if isinstance(label, str) else SYMBOLS, ["Repository"])
 
 
 def dir_to_file(directories: DataFrame, files: DataFrame, stored: DataFrame) -> DataFrame:
     parents = files.select("repo_url", "path", D.dirname(F.col("path")).alias("dir_path")).join(
         directories.select("repo_url", "dir_path"), ["repo_url", "dir_path"], "left_semi")
-    return missing_edges(edge(parents, "Directory", "dir_path", "CONTAINS", "File", "path"), stored)
+    return missing_edges(edge(parents, "Directory", "dir_path", "CONTAINS", "File", "path"), stored,
+                         "CONTAINS", ["Directory"], ["File"])
 
 
 def dir_to_dir(directories: DataFrame, stored: DataFrame) -> DataFrame:
     children = directories.select("repo_url", F.col("dir_path").alias("child"),
                                   D.dirname(F.col("dir_path")).alias("dir_path")).filter("dir_path <> ''").join(
         directories.select("repo_url", "dir_path"), ["repo_url", "dir_path"], "left_semi")
-    return missing_edges(edge(children, "Directory", "dir_path", "CONTAINS", "Directory", "child"), stored)
+    return missing_edges(edge(children, "Directory", "dir_path", "CONTAINS", "Directory", "child"), stored,
+                         "CONTAINS", ["Directory"], ["Directory"])
 
 
 def backfill_symbol_path(symbols: DataFrame, chunks: DataFrame, stored: DataFrame) -> DataFrame:
@@ -51,13 +58,15 @@ def backfill_symbol_path(symbols: DataFrame, chunks: DataFrame, stored: DataFram
 def file_to_symbol(files: DataFrame, symbols: DataFrame, stored: DataFrame) -> DataFrame:
     known = symbols.join(files.select("repo_url", F.col("path").alias("file_path")), ["repo_url", "file_path"],
                          "left_semi")
-    return missing_edges(edge(known, "File", "file_path", "CONTAINS", F.col("label"), "unique_id"), stored)
+    return missing_edges(edge(known, "File", "file_path", "CONTAINS", F.col("label"), "unique_id"), stored,
+                         "CONTAINS", ["File"], SYMBOLS)
 
 
 def file_to_chunk(files: DataFrame, chunks: DataFrame, stored: DataFrame) -> DataFrame:
     known = chunks.join(files.select("repo_url", F.col("path").alias("file_path")), ["repo_url", "file_path"],
                         "left_semi")
-    return missing_edges(edge(known, "File", "file_path", "CONTAINS", "CodeChunk", "chunk_id"), stored)
+    return missing_edges(edge(known, "File", "file_path", "CONTAINS", "CodeChunk", "chunk_id"), stored,
+                         "CONTAINS", ["File"], ["CodeChunk"])
 
 
 def parents_naming_symbols(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -98,7 +107,8 @@ def file_to_symbol_via_chunk(symbols: DataFrame, chunks: DataFrame, stored: Data
     lost = symbols.filter("file_path IS NULL")
     named = parents_naming_symbols(chunks, lost)
     found = named.join(chunks.select("repo_url", "parent_id", "file_path").distinct(), ["repo_url", "parent_id"])
-    new_edges = missing_edges(edge(found, "File", "file_path", "CONTAINS", F.col("label"), "unique_id"), stored)
+    new_edges = missing_edges(edge(found, "File", "file_path", "CONTAINS", F.col("label"), "unique_id"), stored,
+                         "CONTAINS", ["File"], SYMBOLS)
     paths = found.groupBy("repo_url", "label", "unique_id").agg(F.min("file_path").alias("file_path"))
     return new_edges, paths
 
@@ -107,7 +117,8 @@ def symbol_to_chunk_by_id(symbols: DataFrame, chunks: DataFrame, stored: DataFra
     """Symbol -> chunk where the chunk's parent id contains the symbol's id (longer names match too)."""
     named = parents_naming_symbols(chunks, symbols)
     hit = named.join(chunks.select("repo_url", "parent_id", "chunk_id"), ["repo_url", "parent_id"])
-    return missing_edges(edge(hit, F.col("label"), "unique_id", "CONTAINS", "CodeChunk", "chunk_id"), stored)
+    return missing_edges(edge(hit, F.col("label"), "unique_id", "CONTAINS", "CodeChunk", "chunk_id"), stored,
+                         "CONTAINS", SYMBOLS, ["CodeChunk"])
 
 
 def ambiguous_chunks(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -127,7 +138,8 @@ def symbol_to_chunk_by_range(symbols: DataFrame, chunks: DataFrame, stored: Data
         taken, ["repo_url", "chunk_id"], "left_anti")
     outer = symbols.filter(F.col("label") == label).select("repo_url", "file_path", "unique_id", "start_line", "end_line")
     pairs = covering_pairs(free, outer)
-    return missing_edges(edge(pairs, label, "o_unique_id", "CONTAINS", "CodeChunk", "chunk_id"), stored)
+    return missing_edges(edge(pairs, label, "o_unique_id", "CONTAINS", "CodeChunk", "chunk_id"), stored,
+                         "CONTAINS", [label], ["CodeChunk"])
 
 
 def canonicalise_repo_url(tables: dict[str, DataFrame], pattern: str, target: str) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -20,11 +20,15 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_tables(sql)
+            ORACLES[name] = sql
         return fn
     return add
 
 
+def oracles() -> dict[str, str]:
+    return {name: with_tables(sql) for name, sql in ORACLES.items()}
+
+
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
         return lambda spark, sf_dir: fn(Graph(spark, sf_dir))

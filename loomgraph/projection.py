@@ -128,7 +128,8 @@ TEMPLATES = {
         "}",
     ],
     "json": ["{", "  \"{w1}\": \"{w2}\",", "  \"{w2}\": {\"{w3}\": 1},", "  \"{w1}_{w3}\" : [],", "}"],
-    "md": ["# {W1} {w2}", "{text}", "see {ref}", "## {W2} {w1} {w3}", "{text}", "{text}", "### {w1}"],
+    "md": ["# {W1} {w2}", "{text}", "see {ref}", "## {W2} architecture {w3}", "The {w1} service and its workflow", "{text}",
+           "### {w1}"],
 }
 # First line of a file, by doc_id: the web framework its routes belong to.
 HEADERS = {
