@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from loomgraph.functions import derive as D
+from pyspark.sql import types as T
 
 DIM = 64
 
 
-def hashed_counts(text: Column, dim: int = DIM) -> Column:
-    """Word counts in ``dim`` buckets (md5 of the lower-case word), scaled to length 1; zeros for blank text."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dim
-    buckets = F.array_sort(F.transform(words, bucket))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
-    return counts
+def hashed_embedder(dim: int = DIM):
+    """Arrow function text -> vector: word counts in ``dim`` buckets (md5 of the lower-case word), scaled to length 1."""
 
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        bucket: dict[str, int] = {}
+        out = []
+        for text in texts:
+            words = (text or "").lower().split()
+            for w in words:
+                if w not in bucket:
+                    bucket[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % dim
+            counts = np.bincount([bucket[w] for w in words], minlength=dim).astype(float) if words else np.zeros(dim)
+            norm = np.linalg.norm(counts)
+            out.append((counts / norm if norm else counts).astype("float32"))
+        return pd.Series(out)
 
-def unit(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(vector, lambda x: (x / norm).cast("float"))).otherwise(
-        F.transform(vector, lambda x: F.lit(0.0).cast("float")))
+    return embed
 
 
 def embed_chunks(chunks: DataFrame, dim: int = DIM, model: Callable[[list[str]], list[list[float]]] | None = None,
@@ -35,8 +41,7 @@ def embed_chunks(chunks: DataFrame, dim: int = DIM, model: Callable[[list[str]],
     With a model, texts go to it in batches of ``batch``; a batch that fails or comes back short is dropped as a whole.
     """
     if model is None:
-        counted = chunks.withColumn("embedding", hashed_counts(F.col("content"), dim))
-        return counted.withColumn("embedding", D.zero_vector_if_blank(F.col("content"), unit(F.col("embedding")), dim))
+        return chunks.withColumn("embedding", hashed_embedder(dim)("content"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

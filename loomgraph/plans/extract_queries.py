@@ -95,7 +95,7 @@ query("k08_proto_messages", "SELECT repo_url, path, name, unique_id, start_line,
     lambda g: KS.proto_messages(g.code_files).drop("body"))
 _F = KS.PROTO_FIELD
 query("k08_proto_fields", f"""
-    SELECT repo_url, path, message, name, type, CASE WHEN modifier = '' THEN 'optional' ELSE modifier END AS modifier, number FROM (
+    SELECT repo_url, path, message, name, type, CASE WHEN coalesce(modifier, '') = '' THEN 'optional' ELSE modifier END AS modifier, number FROM (
       SELECT repo_url, path, name AS message, unnest(regexp_extract_all(body, '{_F}', 1)) AS modifier, unnest(regexp_extract_all(body, '{_F}', 2)) AS type,
              unnest(regexp_extract_all(body, '{_F}', 3)) AS name, unnest(regexp_extract_all(body, '{_F}', 4)) AS number FROM proto_messages)""")(
     lambda g: KS.proto_fields(KS.proto_messages(g.code_files)))
@@ -128,7 +128,7 @@ query("k13_inheritance", f"""
         SELECT repo_url, path, unnest(regexp_extract_all(content, '{_PC}', 1)) AS name, unnest(regexp_extract_all(content, '{_PC}', 2)) AS b,
                unnest(range(0, len(regexp_extract_all(content, '{_PC}')))) AS n FROM code_files WHERE language = 'python')
       UNION ALL
-      SELECT repo_url, path, n, name, list_filter([b], lambda x: x <> ''), list_filter(list_transform(string_split(f, ','), lambda x: {TRIM.format('x')}), lambda x: x <> '') FROM (
+      SELECT repo_url, path, n, name, list_filter([coalesce(b, '')], lambda x: x <> ''), list_filter(list_transform(string_split(coalesce(f, ''), ','), lambda x: {TRIM.format('x')}), lambda x: x <> '') FROM (
         SELECT repo_url, path, unnest(regexp_extract_all(content, '{_JC}', 1)) AS name, unnest(regexp_extract_all(content, '{_JC}', 2)) AS b,
                unnest(regexp_extract_all(content, '{_JC}', 3)) AS f, unnest(range(0, len(regexp_extract_all(content, '{_JC}')))) AS n FROM code_files WHERE language = 'java'))
     GROUP BY repo_url, path, name""")(

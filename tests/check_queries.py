@@ -10,6 +10,8 @@ from tests.harness import compare, connect
 
 
 def main() -> int:
+    import faulthandler
+    faulthandler.dump_traceback_later(600, exit=True)
     sf_dir, prefixes = sys.argv[1], tuple(sys.argv[2:])
     spark, con = build_session("check"), connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
