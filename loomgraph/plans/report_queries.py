@@ -13,6 +13,7 @@ from loomgraph.operators import cross_service as X
 from loomgraph.plans import connection_queries as Q
 from loomgraph.plans.oracle_tables import contains_any_sql, language_sql, register
 from loomgraph.plans.registry import query
+from loomgraph.session import materialize
 
 SERVICE_WORDS = ["tion", "er"]
 
@@ -212,15 +213,16 @@ def report(g, edges):
 
 def repaired(g):
     """The damaged store after the file -> symbol and file -> chunk repairs."""
-    return repair.add_edges(g.stored_edges, repair.file_to_symbol(g.files, g.symbols, g.stored_edges),
-                            repair.file_to_chunk(g.files, g.chunks, g.stored_edges))
+    stored = g.stored_edge_table
+    return materialize(repair.add_edges(stored, repair.file_to_symbol(g.files, g.symbols, stored),
+                                        repair.file_to_chunk(g.files, g.chunks, stored)))
 
 
-query("g01_ontology_report", _ontology_sql("stored_edges", "chunk_flags"))(lambda g: report(g, g.stored_edges))
+query("g01_ontology_report", _ontology_sql("stored_edges", "chunk_flags"))(lambda g: report(g, g.stored_edge_table))
 query("g02_ontology_delta", f"""
     SELECT *, 'before' AS stage FROM ({_ontology_sql('stored_edges', 'chunk_flags')})
     UNION ALL SELECT *, 'after' FROM ({_ontology_sql('repaired_edges', 'repaired_flags')})""")(
-    lambda g: A.ontology_delta(report(g, g.stored_edges), report(g, repaired(g))))
+    lambda g: A.ontology_delta(report(g, g.stored_edge_table), report(g, repaired(g))))
 query("g03_fallback_report", """
     SELECT repo_url, scope, count(*) AS total, count_if(in_file) AS file_connected, count_if(in_function) AS function_connected,
            count_if(in_class) AS class_connected, count_if(in_repository) AS repo_connected,
@@ -288,7 +290,7 @@ query("g10_hierarchy_sample", """
         WHERE e.rel = 'CONTAINS' AND e.dst_label = 'CodeChunk' AND e.src_label <> 'File'
         UNION ALL SELECT f.repo_url, 'File', f.file_path, f.chunk_id FROM chunk_flags f JOIN top_files t ON t.repo_url = f.repo_url AND t.path = f.file_path
         WHERE in_file AND NOT in_function AND NOT in_class) h JOIN chunks c ON c.repo_url = h.repo_url AND c.chunk_id = h.chunk_id) WHERE rn <= 2""")(
-    lambda g: A.hierarchy_sample(g.files, g.symbols, g.chunks, g.stored_edges))
+    lambda g: A.hierarchy_sample(g.files, g.symbols, g.chunks, g.stored_edge_table))
 query("g11_file_hierarchy", """
     SELECT repo_url, 'class' AS level, file_path AS parent, unique_id AS name, start_line FROM classes WHERE ends_with(file_path, '.java')
     UNION ALL SELECT c.repo_url, 'method', c.unique_id, f.unique_id, f.start_line FROM classes c JOIN functions f ON f.repo_url = c.repo_url

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import constants as K
 from loomgraph.functions import derive as D
+from loomgraph.session import materialize
 
 EXTENSIONS = ["py", "go", "java", "cs", "js", "ts", "proto", "json"]
 ACTIVE_REPO = "https://git.example.org/src0.git"
@@ -407,6 +408,15 @@ class Graph:
 
         return base_edges(self)
 
+    @cached_property
+    def edge_table(self) -> DataFrame:
+        """The edges as a written table, for jobs that read them several times."""
+        return materialize(self.edges)
+
+    @cached_property
+    def stored_edge_table(self) -> DataFrame:
+        return materialize(self.stored_edges)
+
     @cached_property
     def stored_edges(self) -> DataFrame:
         """The edges of a damaged store: about a quarter is missing."""
