@@ -101,7 +101,6 @@ def symbols(files: DataFrame) -> DataFrame:
         files.filter(F.col("language").isin(list(DECLARATIONS)))
         .withColumn("lines", F.split("content", "\n"))
         .withColumn("decl", F.filter(F.transform("lines", at), lambda d: d["kind"].isNotNull()))
-        .filter(F.size("decl") > 0)
         .withColumn("indent", F.transform("lines", lambda l: F.when(F.trim(l) == "", -1).otherwise(
             F.length(l) - F.length(F.regexp_replace(l, r"^\s+", "")))))
         .withColumn("code", F.transform("lines", bare))

@@ -140,54 +140,62 @@ def signature_flags(chunks: DataFrame) -> DataFrame:
 def assign_chunks(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """Best parent of each chunk: covering symbol, else symbol named in its signature, else symbol mentioned nearby.
 
-    Covering symbols are ranked by nesting level, then by whether the chunk holds a signature of their kind.
+    Covering symbols are ranked by nesting level, then by whether the chunk holds a signature of their kind. The text of
+    a chunk is matched against the signature patterns once; the three kinds of candidates meet in one aggregation.
     """
-    flagged = signature_flags(chunks.select("repo_url", "file_path", "chunk_id", "start_line", "end_line", "content"))
-    slim = flagged.drop("content")
-    nested = entity_nesting(symbols).drop("parent_id")
-    is_fn, is_cl = F.col("is_function_signature"), F.col("is_class_signature")
+    key = ["repo_url", "file_path", "chunk_id"]
+    spans = chunks.select(*key, "start_line", "end_line")
 
-    pairs = covering_pairs(slim, nested)
-    priority = (
-        F.when((F.col("o_label") == "Function") & is_fn, 4).when((F.col("o_label") == "Class") & is_cl, 3)
-        .when(F.col("o_label") == "Function", 2).otherwise(1)
+    # Signatures, with the first declaration of the name in the file.
+    is_fn, is_cl = F.col("is_function_signature"), F.col("is_class_signature")
+    first_decl = symbols.groupBy("repo_url", "file_path", "label", "name").agg(
+        F.min(F.struct("start_line", "unique_id")).alias("decl"))
+    signed = (
+        signature_flags(chunks.select(*key, "content")).drop("content")
+        .withColumn("label", F.when(is_fn, "Function").when(is_cl, "Class"))
+        .withColumn("name", F.when(is_fn, F.col("function_name")).when(is_cl, F.col("class_name")))
+        .join(first_decl, ["repo_url", "file_path", "label", "name"], "left")
+        .select(*key, is_fn.alias("is_fn"), is_cl.alias("is_cl"), F.col("decl.unique_id").alias("named"))
     )
-    covering = pairs.select("repo_url", "file_path", "chunk_id", F.lit(1).alias("level"),
-                            (-F.col("o_nesting_level")).alias("r1"), (-priority).cast("long").alias("r2"),
-                            F.col("o_start_line").cast("long").alias("r3"), F.col("o_label").alias("label"),
-                            F.col("o_unique_id").alias("unique_id"))
 
-    # A name may be declared many times in a file; only the first declaration is a candidate.
-    first_decl = symbols.groupBy("repo_url", "file_path", "label", "name").agg(
-        F.min_by("unique_id", F.struct("start_line", "unique_id")).alias("unique_id"),
-        F.min("start_line").alias("decl_line"))
-    wanted = slim.filter(is_fn | is_cl).select(
-        "repo_url", "file_path", "chunk_id", F.when(is_fn, "Function").otherwise("Class").alias("label"),
-        F.when(is_fn, F.col("function_name")).otherwise(F.col("class_name")).alias("name"))
-    named = wanted.join(first_decl, ["repo_url", "file_path", "label", "name"]).select(
-        "repo_url", "file_path", "chunk_id", F.lit(2).alias("level"), F.lit(0).cast("long").alias("r1"),
-        F.lit(0).cast("long").alias("r2"), F.col("decl_line").cast("long").alias("r3"), "label", "unique_id")
-
-    near = flagged.filter(~is_fn & ~is_cl).select(
-        "repo_url", "file_path", "chunk_id", "content", F.col("start_line").alias("at"),
-        F.explode(F.array(*[F.floor(F.col("start_line") / 10) + d for d in (-1, 0, 1)])).alias("line_block"))
-    places = symbols.select("repo_url", "file_path", "label", "unique_id", "name", "start_line",
-                            F.floor(F.col("start_line") / 10).alias("line_block"))
+    # Covering symbols: the best of each kind, as the kind's bonus is the same for all of them.
+    pairs = covering_pairs(spans, entity_nesting(symbols).drop("parent_id"))
+    rank = F.struct((-F.col("o_nesting_level")).alias("depth"), "o_start_line", "o_unique_id")
+    covering = pairs.groupBy(*FILE_BLOCK, "chunk_id").agg(
+        F.min(F.when(F.col("o_label") == "Function", rank)).alias("fn"),
+        F.min(F.when(F.col("o_label") == "Class", rank)).alias("cl")).drop("line_block")
+
+    # Mentions: symbols are listed in three line blocks each, so that chunks and their texts are not repeated.
+    places = symbols.select("repo_url", "file_path", "label", "unique_id", "name", F.col("start_line").alias("at"),
+                            F.explode(F.array(*[F.floor(F.col("start_line") / 10) + d for d in (-1, 0, 1)])).alias("line_block"))
     mentioned = (
-        near.join(places, FILE_BLOCK)
+        chunks.select(*key, "content", "start_line", F.floor(F.col("start_line") / 10).alias("line_block"))
+        .join(places, FILE_BLOCK)
         .filter((F.abs(F.col("at") - F.col("start_line")) < 10) & F.col("content").contains(F.col("name")))
-        .select("repo_url", "file_path", "chunk_id", F.lit(3).alias("level"),
-                F.when(F.col("label") == "Function", 0).otherwise(1).cast("long").alias("r1"),
-                F.lit(0).cast("long").alias("r2"), F.col("start_line").cast("long").alias("r3"), "label", "unique_id")
+        .groupBy(*FILE_BLOCK, "chunk_id")
+        .agg(F.min(F.struct(F.when(F.col("label") == "Function", 0).otherwise(1).alias("kind"), "at", "label",
+                            "unique_id")).alias("mention")).drop("line_block")
     )
-    fallback = slim.select("repo_url", "file_path", "chunk_id", F.lit(4).alias("level"),
-                           F.lit(0).cast("long").alias("r1"), F.lit(0).cast("long").alias("r2"),
-                           F.lit(0).cast("long").alias("r3"), F.lit("File").alias("label"),
-                           D.file_parent_id(F.col("file_path")).alias("unique_id"))
-    rule = F.element_at(F.array(*map(F.lit, ["span", "signature", "mention", "file"])), F.col("best.level"))
-    return (
-        union_all([covering, named, mentioned, fallback]).groupBy("repo_url", "file_path", "chunk_id")
-        .agg(F.min(F.struct("level", "r1", "r2", "r3", "label", "unique_id")).alias("best"))
-        .select("repo_url", "file_path", "chunk_id", F.col("best.unique_id").alias("parent_id"),
-                F.col("best.label").alias("parent_type"), rule.alias("rule"))
+    merged = (
+        signed.unionByName(covering, allowMissingColumns=True).unionByName(mentioned, allowMissingColumns=True)
+        .groupBy(*key).agg(F.bool_or("is_fn").alias("is_fn"), F.bool_or("is_cl").alias("is_cl"),
+                           F.max("named").alias("named"), F.max("fn").alias("fn"), F.max("cl").alias("cl"),
+                           F.max("mention").alias("mention"))
+    )
+    fn, cl, is_fn, is_cl = F.col("fn"), F.col("cl"), F.col("is_fn"), F.col("is_cl")
+    # Equal depth: a signature of the own kind decides, functions first; else the deeper symbol.
+    fn_first = fn.isNotNull() & (cl.isNull() | (fn["depth"] < cl["depth"])
+                                 | ((fn["depth"] == cl["depth"]) & (is_fn | ~is_cl)))
+    by_mention = F.col("mention").isNotNull() & ~is_fn & ~is_cl
+    parent = (
+        F.when(fn_first, F.struct(fn["o_unique_id"].alias("id"), F.lit("Function").alias("type"), F.lit("span").alias("rule")))
+        .when(cl.isNotNull(), F.struct(cl["o_unique_id"].alias("id"), F.lit("Class").alias("type"), F.lit("span").alias("rule")))
+        .when(F.col("named").isNotNull(), F.struct(
+            F.col("named").alias("id"), F.when(is_fn, "Function").otherwise("Class").alias("type"), F.lit("signature").alias("rule")))
+        .when(by_mention, F.struct(F.col("mention.unique_id").alias("id"), F.col("mention.label").alias("type"),
+                                   F.lit("mention").alias("rule")))
+        .otherwise(F.struct(D.file_parent_id(F.col("file_path")).alias("id"), F.lit("File").alias("type"),
+                            F.lit("file").alias("rule")))
     )
+    return merged.withColumn("p", parent).select(
+        *key, F.col("p.id").alias("parent_id"), F.col("p.type").alias("parent_type"), F.col("p.rule").alias("rule"))

@@ -54,7 +54,7 @@ def embed_chunks(chunks: DataFrame, dim: int = DIM, model: Callable[[list[str]],
                 if len(vectors) == len(part):
                     yield part.assign(embedding=vectors)
 
-    schema = chunks.schema.add("embedding", "array<float>")
+    schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
     return chunks.mapInPandas(run, schema).filter(F.size("embedding") == dim)
 
 

@@ -24,34 +24,35 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     up = F.greatest(F.size(dirs) - (dots - 1), F.lit(0))
     base = F.array_join(F.slice(dirs, F.lit(1), up), "/")
     rest = F.regexp_replace(F.substring(target, dots + 1, F.length(target)), "^/", "")
-    relative = F.when(base == "", rest).otherwise(F.concat(base, F.lit("/"), rest))
-    dotted = F.translate(target, ".", "/")
+    texts = imports.select("repo_url", "source_path", "target_text", "import_name").distinct()
+    # Columns of their own, so that each text is taken apart once.
+    parsed = (
+        texts.withColumn("base", base).withColumn("rest", rest).withColumn("dotted", F.translate(target, ".", "/"))
+        .withColumn("relative", F.when(target.startswith("."), F.when(F.col("base") == "", F.col("rest")).otherwise(
+            F.concat("base", F.lit("/"), "rest"))))
+    )
+    rel, dotted = F.col("relative"), F.col("dotted")
 
-    def cand(rank: int, condition, path):
-        return F.struct(F.when(condition, rank).alias("rank"), path.alias("path"))
+    def cands(*ranked):
+        return F.array(*[F.struct(F.lit(rank).alias("rank"), path.alias("path")) for rank, path in ranked])
 
-    is_rel, is_py = target.startswith("."), src.endswith(".py")
-    cands = [
-        cand(1, F.lit(True), target),
-        cand(2, is_rel, relative),
-        cand(3, is_rel, F.concat(relative, F.lit(".py"))),
-        cand(11, is_py, F.concat(target, F.lit(".py"))),
-        cand(12, is_py, F.concat(dotted, F.lit(".py"))),
-        cand(13, is_py, F.concat(dotted, F.lit("/__init__.py"))),
-        cand(51, src.endswith(".java"), F.concat(dotted, F.lit(".java"))),
-        cand(52, src.endswith(".cs"), F.concat(dotted, F.lit(".cs"))),
-    ]
-    for k, ext in enumerate(JS_EXTENSIONS):
-        cands += [
-            cand(31 + k, is_js, F.concat(target, F.lit(ext))),
-            cand(35 + k, is_js & is_rel, F.concat(relative, F.lit(ext))),
-            cand(41 + k, is_js, F.concat(target, F.lit("/index" + ext))),
-            cand(45 + k, is_js & is_rel, F.concat(relative, F.lit("/index" + ext))),
-        ]
-    texts = imports.select("repo_url", "source_path", "target_text", "import_name").distinct()
+    with_ext = lambda path, ext: F.concat(path, F.lit(ext))
+    js = [c for k, ext in enumerate(JS_EXTENSIONS) for c in (
+        (31 + k, with_ext(target, ext)), (35 + k, with_ext(rel, ext)),
+        (41 + k, with_ext(target, "/index" + ext)), (45 + k, with_ext(rel, "/index" + ext)))]
+    nothing = F.array().cast("array<struct<rank:int,path:string>>")
+    by_language = (
+        F.when(src.endswith(".py"), cands((11, with_ext(target, ".py")), (12, with_ext(dotted, ".py")),
+                                          (13, with_ext(dotted, "/__init__.py"))))
+        .when(is_js, cands(*js))
+        .when(src.endswith(".java"), cands((51, with_ext(dotted, ".java"))))
+        .when(src.endswith(".cs"), cands((52, with_ext(dotted, ".cs")))).otherwise(nothing)
+    )
+    listed = parsed.select("repo_url", "source_path", "target_text", "import_name", F.inline(F.concat(
+        cands((1, target)), F.when(rel.isNotNull(), cands((2, rel), (3, with_ext(rel, ".py")))).otherwise(nothing),
+        by_language)))
     known = files.select("repo_url", "path")
-    listed = texts.select("repo_url", "source_path", "target_text", "import_name", F.inline(F.array(*cands)))
-    exact = listed.filter("rank IS NOT NULL").join(known, ["repo_url", "path"])
+    exact = listed.filter("path IS NOT NULL").join(known, ["repo_url", "path"])
     go_parts = (
         known.filter(F.col("path").endswith(".go"))
         .select("repo_url", "path", F.explode(F.array_distinct(F.split("path", "/"))).alias("import_name"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import constants as K
 from loomgraph.functions import derive as D
-from loomgraph.session import materialize
+from loomgraph.session import materialize, spread
 
 EXTENSIONS = ["py", "go", "java", "cs", "js", "ts", "proto", "json"]
 ACTIVE_REPO = "https://git.example.org/src0.git"
@@ -190,7 +190,7 @@ class Graph:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return self.table("documents").select(
+        return spread(self.table("documents")).select(
             "doc_id", "text", "lang", "source",
             F.concat(F.lit("src/"), "lang", F.lit("/m"), F.col("doc_id") % 7).alias("dir"),
         )

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import derive as D
@@ -27,23 +31,43 @@ def drop_ignored(files: DataFrame, patterns: DataFrame) -> DataFrame:
     )
 
 
-def scan_repo_files(spark: SparkSession, root: str, extensions: list[str], repo_url: str) -> DataFrame:
-    """Files below ``root`` with one of the extensions, as (repo_url, path, content).
+def scan_repo_files(roots: DataFrame, extensions: list[str], partitions: int | None = None) -> DataFrame:
+    """Files of repository folders (repo_url, root) with one of the extensions, as (repo_url, path, content).
 
-    Folders whose path holds ``.git`` are skipped, patterns of the root's ignore file are applied, and bytes that are
-    no UTF-8 are replaced. Spark lists and reads the files in parallel.
+    Folders whose path holds ``.git`` are skipped, patterns of a root's ignore file are applied, and bytes that are no
+    UTF-8 are replaced. Spark's own file sources leave out names that start with ``_`` or ``.``, among them
+    ``__init__.py``, so tasks list the folders, the names are dealt out evenly, and tasks read the files.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.expr(f"substring_index(path, '{base}', -1)"), "^/+", "")
-    listed = raw.select(F.lit(repo_url).alias("repo_url"), rel.alias("path"), "content")
-    ignore = listed.filter(F.col("path") == ".gitignore").select(
-        "repo_url", F.explode(F.split(_decode(F.col("content")), "\n")).alias("value"))
-    patterns = ignore.groupBy("repo_url", "value").agg(F.count("*").alias("n"))
-    regexes = patterns.select("repo_url", "value").transform(_patterns_by_repo)
+    spark = roots.sparkSession
+    listed = roots.select("repo_url", "root").mapInPandas(_list_folder, "repo_url string, root string, path string")
     wanted = D.any_of([F.col("path").endswith(e) for e in extensions])
     kept = listed.filter(wanted & ~D.dirname(F.col("path")).contains(".git"))
-    return drop_ignored(kept, regexes).withColumn("content", _decode(F.col("content")))
+    n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ignore = listed.filter("path = '.gitignore'").mapInPandas(_read_files, _READ_SCHEMA).select(
+        "repo_url", F.explode(F.split("content", "\n")).alias("value"))
+    chosen = drop_ignored(kept, ignore.transform(_patterns_by_repo))
+    return chosen.select("repo_url", "root", "path").repartition(n).mapInPandas(_read_files, _READ_SCHEMA)
+
+
+_READ_SCHEMA = "repo_url string, path string, content string"
+
+
+def _list_folder(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for row in frame.itertuples():
+            fs, base = FileSystem.from_uri(row.root)
+            infos = fs.get_file_info(FileSelector(base, recursive=True))
+            paths = [i.path[len(base.rstrip("/")) + 1:] for i in infos if i.type == FileType.File]
+            yield pd.DataFrame({"repo_url": row.repo_url, "root": row.root, "path": paths})
+
+
+def _read_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for row in frame.itertuples():
+            fs, base = FileSystem.from_uri(row.root)
+            with fs.open_input_stream(f"{base.rstrip('/')}/{row.path}") as stream:
+                text = stream.read().decode("utf-8", errors="replace")
+            yield pd.DataFrame({"repo_url": [row.repo_url], "path": [row.path], "content": [text]})
 
 
 def _patterns_by_repo(lines: DataFrame) -> DataFrame:
@@ -52,10 +76,6 @@ def _patterns_by_repo(lines: DataFrame) -> DataFrame:
         "repo_url", F.regexp_replace(F.regexp_replace(line, r"\.", r"\\."), r"\*", ".*").alias("pattern"))
 
 
-def _decode(content: Column) -> Column:
-    return F.make_valid_utf8(content.cast("string"))
-
-
 def scan_readmes(files: DataFrame) -> DataFrame:
     return files.filter(D.is_readme_name(D.basename(F.col("path"))))
 
