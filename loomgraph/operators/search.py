@@ -207,8 +207,10 @@ def retrieve_context(questions: DataFrame, candidates: DataFrame, chunks: DataFr
     n_primary = primary.groupBy("query_id").agg(F.count("*").alias("n_primary"))
     flags = asked.select("query_id", "is_high_level", D.contains_any(F.lower(q), ["services"]).alias("asks_services")) \
         .join(n_primary, "query_id", "left")
-    n_topic = service_topic.agg(F.count("*").alias("n")).scalar()
-    shortcut = F.col("asks_services") & (n_topic >= 2)
+    # The topical rows are one top-k result, the same for every question that takes the shortcut: one small array.
+    topic_rows = service_topic.agg(F.array_sort(F.collect_list(F.struct(
+        "repo_url", "chunk_id", F.col("path").alias("source"), "start_line", "text"))).alias("rows")).scalar()
+    shortcut = F.col("asks_services") & (F.size(topic_rows) >= 2)
     searched = (
         ranked.join(flags, "query_id")
         .filter(~shortcut & (is_active | (F.coalesce("n_primary", F.lit(0)) < K.MIN_PRIMARY_HITS)))
@@ -222,10 +224,8 @@ def retrieve_context(questions: DataFrame, candidates: DataFrame, chunks: DataFr
     vector_rows = attach_text(searched, chunks).select(
         "query_id", "repo_url", "chunk_id", F.col("file_path").alias("source"), "start_line", "score", "secondary_repo",
         "text")
-    # The topical rows are the same for every question that takes the shortcut.
-    takers = flags.filter(shortcut).select("query_id", F.lit("microservices").alias("topic"))
-    topical = service_topic.withColumn("topic", F.lit("microservices")).join(takers, "topic").select(
-        "query_id", "repo_url", "chunk_id", F.col("path").alias("source"), "start_line", F.lit(1.0).alias("score"),
+    topical = flags.filter(shortcut).select("query_id", F.inline(topic_rows)).select(
+        "query_id", "repo_url", "chunk_id", "source", "start_line", F.lit(1.0).alias("score"),
         F.lit(False).alias("secondary_repo"), "text")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "source", "start_line", "repo_url", "chunk_id")
     return vector_rows.unionByName(topical).withColumn("rn", F.row_number().over(w))

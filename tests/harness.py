@@ -55,3 +55,7 @@ def compare(df, con, sql: str):
     return False, (f"{n} vs {sum(right.values())} rows; {sum(only_l.values())} only in spark, "
                    f"{sum(only_r.values())} only in sql\n   cols {cols}\n   spark {str(list(only_l)[:2])[:900]}"
                    f"\n   sql   {str(list(only_r)[:2])[:900]}")
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()

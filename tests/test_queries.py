@@ -1,9 +1,12 @@
-"""Every named query against its SQL twin on the smallest data set; queries without a twin must give rows."""
+"""Every named query against its SQL twin on the smallest data set; queries without a twin must give rows.
+
+No plan may hold a nested-loop join or a product.
+"""
 
 import pytest
 
 import __spark_entry__ as entry
-from tests.harness import compare, connect
+from tests.harness import compare, connect, plan_of
 
 SF = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
@@ -22,6 +25,8 @@ def test_every_twin_has_a_query():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
+    plan = plan_of(df)
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     if name in ORACLES:
         ok, message = compare(df, con, ORACLES[name])
         assert ok, message
