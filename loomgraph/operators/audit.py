@@ -140,14 +140,17 @@ def hierarchy_sample(files: DataFrame, symbols: DataFrame, chunks: DataFrame, ed
         symbols.select("repo_url", "file_path", "label", F.col("unique_id").alias("id"), "start_line")
         .join(chosen, ["repo_url", "file_path"], "left_semi"),
         ["repo_url", "file_path", "label"], ["start_line", "id"], k)
-    held = edges.filter("rel = 'CONTAINS' AND dst_label = 'CodeChunk'").select(
-        "repo_url", "src_label", F.col("src_id").alias("parent"), F.col("dst_id").alias("chunk_id"))
-    lines = chunks.select("repo_url", "chunk_id", "start_line")
+    # Only the chosen files' chunks and edges go on.
+    own_chunks = chunks.select("repo_url", "file_path", "chunk_id", "start_line").join(
+        chosen, ["repo_url", "file_path"], "left_semi")
+    own_edges = edges.filter("rel = 'CONTAINS' AND dst_label = 'CodeChunk'").join(
+        own_chunks.select("repo_url", F.col("chunk_id").alias("dst_id")), ["repo_url", "dst_id"], "left_semi")
+    held = own_edges.select("repo_url", "src_label", F.col("src_id").alias("parent"), F.col("dst_id").alias("chunk_id"))
+    lines = own_chunks.select("repo_url", "chunk_id", "start_line")
     of_symbols = held.filter("src_label <> 'File'").join(
         level_2.select("repo_url", F.col("id").alias("parent")), ["repo_url", "parent"], "left_semi")
-    direct = direct_file_chunks(chunk_parents(chunks, edges)).select(
-        "repo_url", F.lit("File").alias("src_label"), F.col("file_path").alias("parent"), "chunk_id").join(
-        chosen.withColumnRenamed("file_path", "parent"), ["repo_url", "parent"], "left_semi")
+    direct = direct_file_chunks(chunk_parents(own_chunks, own_edges)).select(
+        "repo_url", F.lit("File").alias("src_label"), F.col("file_path").alias("parent"), "chunk_id")
     level_3 = limit_per_parent(of_symbols.unionByName(direct).join(lines, ["repo_url", "chunk_id"]),
                                ["repo_url", "src_label", "parent"], ["start_line", "chunk_id"], per_symbol)
     row = lambda t, level, parent, name: t.select(

@@ -160,6 +160,16 @@ query("n03_throttled_refresh", f"""
     SELECT chat_id, arg_min({AT}, (ts, event_id)) AS at, arg_min(event_id, (ts, event_id)) AS event_id, count(*) AS changes
     FROM changes GROUP BY chat_id, time_bucket(INTERVAL 1 HOUR, ts)""")(
     lambda g: N.materialize_stream(N.throttled_refreshes(N.read_changes(g.spark, g.sf_dir), "1 hour")))
+query("n05_background_ingest_queue", "SELECT DISTINCT 'repo' || user_id AS url FROM events")(lambda g: _accepted(g))
+
+
+def _accepted(g):
+    """Every event asks for a repository; within the watermark each repository is accepted once."""
+    requests = N.read_events(g.spark, g.sf_dir).select(
+        F.concat(F.lit("repo"), "user_id").alias("url"), F.col("ts").cast("timestamp").alias("requested_at"))
+    return N.materialize_stream(N.accepted_requests(requests, "400 days").select("url"), "append")
+
+
 query("n04_incremental_ingest_status", """
     SELECT url, CASE WHEN last_indexed_commit_sha <> current_sha OR is_active THEN current_sha ELSE last_indexed_commit_sha END AS last_indexed_commit_sha,
            last_indexed_commit_sha <> current_sha OR is_active AS reloaded FROM repositories""")(lambda g: _ingested(g)[1])

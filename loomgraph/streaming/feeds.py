@@ -34,11 +34,14 @@ def change_feed(events: DataFrame) -> DataFrame:
         F.col("user_id").alias("chat_id"), table[F.col("event_type")].alias("op"), "value").filter("op <> 'read'")
 
 
-def read_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return change_feed(files)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def read_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change_feed(read_events(spark, sf_dir))
 
 
 def latest_changes(changes: DataFrame) -> DataFrame:

@@ -240,3 +240,12 @@ def test_change_feed_over_two_batches(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     got = feeds.follow_changes(spark, stream)
     assert as_set(got, "chat_id", "event_id", "op") == {(1, 4, "delete"), (2, 2, "insert")}
+
+
+def test_append_mode_gives_closed_sessions(spark):
+    """In append mode, state is dropped as the watermark passes: closed sessions equal the batch result."""
+    batch = spark.read.parquet(f"{SF}/events.parquet")
+    whole = as_set(feeds.debounced_saves(feeds.change_feed(batch), "10 minutes"), "chat_id", "event_id", "changes")
+    streamed = as_set(feeds.materialize_stream(feeds.debounced_saves(feeds.read_changes(spark, SF), "10 minutes"), "append"),
+                      "chat_id", "event_id", "changes")
+    assert streamed <= whole and len(streamed) > 0.9 * len(whole)
