@@ -244,9 +244,9 @@ def message_counts(messages: DataFrame) -> DataFrame:
 
 
 def group_text_by_path(rows: DataFrame) -> DataFrame:
-    """Texts of (path, start_line, text) joined per path, with the section a path belongs to.
+    """Texts of (repo_url, path, start_line, text) joined per file, with the section a path belongs to.
 
-    A group is one file, so a joined text is no longer than the file it came from.
+    A group is one file of one repository, so a joined text is about as long as the file it came from.
     """
     path = F.col("path")
     bucket = (
@@ -254,7 +254,7 @@ def group_text_by_path(rows: DataFrame) -> DataFrame:
         .when(path.contains("/docs/") | path.endswith(".md"), 3).otherwise(4)
     )
     items = F.array_sort(F.collect_list(F.struct("start_line", "text")))
-    return rows.groupBy("path").agg(
+    return rows.groupBy("repo_url", "path").agg(
         F.array_join(F.transform(items, lambda x: x["text"]), "\n").alias("text")).withColumn("bucket", bucket)
 
 

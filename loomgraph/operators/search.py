@@ -166,12 +166,12 @@ def project_structure(chunks: DataFrame, files: DataFrame, words: list[str] | No
     The limit belongs to the last branch only. ``words`` replaces the structure words.
     """
     text, path = F.col("content"), F.col("file_path")
-    shape = lambda df, p: df.select(text.alias("text"), path.alias("path"), F.col("start_line").cast("long").alias(
+    shape = lambda df, p: df.select("repo_url", text.alias("text"), path.alias("path"), F.col("start_line").cast("long").alias(
         "start_line"), F.lit(p).alias("priority"))
     readme = path.contains("README.md") | path.endswith("/README") | path.endswith("/README.txt")
     in_docs = path.contains("/docs/") & (path.endswith(".md") | path.endswith(".txt"))
     dirs = R.top_dirs(files, 15).select(
-        F.concat(F.lit("Top-level directory: "), "top_dir", F.lit(" (contains "), F.col("file_count").cast("string"),
+        F.lit("").alias("repo_url"), F.concat(F.lit("Top-level directory: "), "top_dir", F.lit(" (contains "), F.col("file_count").cast("string"),
                  F.lit(" files)")).alias("text"),
         F.lit("directory_structure").alias("path"), F.lit(0).cast("long").alias("start_line"),
         F.lit(2.0).alias("priority"))

@@ -175,12 +175,12 @@ query("h19_record_samples", f"""
 STRUCTURE_WORDS = ["tion", "hat"]
 register("project_structure", f"""
     SELECT DISTINCT * FROM (
-      SELECT content AS text, file_path AS path, start_line::BIGINT AS start_line, 4.0::DOUBLE AS priority FROM chunks
+      SELECT repo_url, content AS text, file_path AS path, start_line::BIGINT AS start_line, 4.0::DOUBLE AS priority FROM chunks
       WHERE contains(file_path, 'README.md') OR ends_with(file_path, '/README') OR ends_with(file_path, '/README.txt')
-      UNION ALL SELECT content, file_path, start_line, 3.0 FROM chunks WHERE contains(file_path, '/docs/') AND (ends_with(file_path, '.md') OR ends_with(file_path, '.txt'))
-      UNION ALL SELECT 'Top-level directory: ' || top_dir || ' (contains ' || n || ' files)', 'directory_structure', 0, 2.0 FROM (
+      UNION ALL SELECT repo_url, content, file_path, start_line, 3.0 FROM chunks WHERE contains(file_path, '/docs/') AND (ends_with(file_path, '.md') OR ends_with(file_path, '.txt'))
+      UNION ALL SELECT '', 'Top-level directory: ' || top_dir || ' (contains ' || n || ' files)', 'directory_structure', 0, 2.0 FROM (
         SELECT string_split(path, '/')[1] AS top_dir, count(*) AS n FROM files WHERE contains(path, '/') GROUP BY ALL ORDER BY n DESC, top_dir LIMIT 15)
-      UNION ALL (SELECT content, file_path, start_line, 1.0 FROM chunks WHERE (is_documentation OR ends_with(file_path, '.md')) AND {contains_any_sql('content', STRUCTURE_WORDS)}
+      UNION ALL (SELECT repo_url, content, file_path, start_line, 1.0 FROM chunks WHERE (is_documentation OR ends_with(file_path, '.md')) AND {contains_any_sql('content', STRUCTURE_WORDS)}
         ORDER BY file_path, start_line, repo_url, chunk_id LIMIT 30))""")
 
 
@@ -188,10 +188,10 @@ def structure(g):
     return H.project_structure(g.chunks, g.files, STRUCTURE_WORDS)
 
 
-query("i01_project_structure", "SELECT text, path, start_line, priority FROM project_structure")(structure)
+query("i01_project_structure", "SELECT repo_url, text, path, start_line, priority FROM project_structure")(structure)
 query("f27_group_text_by_path", """
-    SELECT path, string_agg(text, chr(10) ORDER BY start_line, text) AS text, CASE WHEN path = 'directory_structure' THEN 1 WHEN contains(path, 'README') THEN 2
-           WHEN contains(path, '/docs/') OR ends_with(path, '.md') THEN 3 ELSE 4 END AS bucket FROM project_structure GROUP BY path""")(
+    SELECT repo_url, path, string_agg(text, chr(10) ORDER BY start_line, text) AS text, CASE WHEN path = 'directory_structure' THEN 1 WHEN contains(path, 'README') THEN 2
+           WHEN contains(path, '/docs/') OR ends_with(path, '.md') THEN 3 ELSE 4 END AS bucket FROM project_structure GROUP BY repo_url, path""")(
     lambda g: R.group_text_by_path(structure(g)))
 query("f30_combined_topic_text", f"""
     SELECT topic, string_agg(text, chr(10) || chr(10) ORDER BY priority DESC, path, start_line, text) AS text FROM ({_topic_sql("contains(content, 'lytion')", "lytion")}) GROUP BY topic""")(

@@ -29,7 +29,7 @@ def change_feed(events: DataFrame) -> DataFrame:
     """Events as chat changes; reads are no change. The time becomes an instant in UTC."""
     table = F.create_map(*[F.lit(x) for kv in OPERATION.items() for x in kv])
     return events.select(
-        "event_id", F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("ts"),
+        "event_id", F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("ts"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"),
         F.col("user_id").alias("chat_id"), table[F.col("event_type")].alias("op"), "value").filter("op <> 'read'")
 
