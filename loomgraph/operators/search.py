@@ -203,17 +203,16 @@ def retrieve_context(questions: DataFrame, candidates: DataFrame, chunks: DataFr
     is_active = F.col("repo_url") == active_repo
     limited = hits.filter(is_active | (F.col("rn") <= K.K_SECONDARY))
     ranked = boost_hits(limited, files, ["query_id", "repo_url"])
-    primary = ranked.filter(is_active)
-    n_primary = primary.groupBy("query_id").agg(F.count("*").alias("n_primary"))
-    flags = asked.select("query_id", "is_high_level", D.contains_any(F.lower(q), ["services"]).alias("asks_services")) \
-        .join(n_primary, "query_id", "left")
+    # A window, not a second branch: the scan behind the hits runs once.
+    n_primary = F.count_if(is_active).over(Window.partitionBy("query_id"))
+    flags = asked.select("query_id", "is_high_level", D.contains_any(F.lower(q), ["services"]).alias("asks_services"))
     # The topical rows are one top-k result, the same for every question that takes the shortcut: one small array.
     topic_rows = service_topic.agg(F.array_sort(F.collect_list(F.struct(
         "repo_url", "chunk_id", F.col("path").alias("source"), "start_line", "text"))).alias("rows")).scalar()
     shortcut = F.col("asks_services") & (F.size(topic_rows) >= 2)
     searched = (
-        ranked.join(flags, "query_id")
-        .filter(~shortcut & (is_active | (F.coalesce("n_primary", F.lit(0)) < K.MIN_PRIMARY_HITS)))
+        ranked.withColumn("n_primary", n_primary).join(flags, "query_id")
+        .filter(~shortcut & (is_active | (F.col("n_primary") < K.MIN_PRIMARY_HITS)))
         .withColumn("secondary_repo", ~is_active)
         .withColumn("score", F.round(
             F.col("score")
