@@ -17,10 +17,10 @@ from loomgraph.llm.common import mix, row_blocks, stored, utf8_rows, word_hashes
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-EXTRA = ["n_lines", "n_upper", "n_lower", "n_marks"]
+EXTRA = ["n_lines", "n_upper", "n_lower", "n_wide", "n_marks"]
 BAD, ABSTAIN, GOOD = 0, 1, 2
-#: What rules are believed before the data are seen: a vote is right with this odds; the share of good documents.
-PRIOR_RIGHT, PRIOR_GOOD, ROUNDS, MIN_POSTERIOR = 0.85, 0.8, 60, 0.5
+#: Beliefs before the data are seen: how often a vote is right, the share of good documents.
+PRIOR_RIGHT, PRIOR_GOOD, ROUNDS, MIN_POSTERIOR = 0.9, 0.5, 60, 0.5
 
 
 def _line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,7 +63,7 @@ def block_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     spaces = (data == 32) | ((data >= 9) & (data <= 13))
     out = {"n_words": n_words, "word_chars": per_row(~spaces & ((data & 0xC0) != 0x80)), "n_symbols": per_row(np.isin(data, list(SYMBOLS.encode())))}
     if not len(data):
-        return out | {c: np.zeros(n, np.int64) for c in ("n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_marks")} | {"n_lines": np.ones(n, np.int64)}
+        return out | {c: np.zeros(n, np.int64) for c in ("n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_wide", "n_marks")} | {"n_lines": np.ones(n, np.int64)}
     line_row, line_key, n_lines = _line_keys(data, offsets)
     out["n_dup_lines"] = np.bincount(line_row[_repeated(line_row, line_key)[1]], minlength=n)
     covered = np.zeros(len(words), bool)
@@ -75,7 +75,7 @@ def block_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
         for k in range(3):
             covered[at + k] = True
     out["n_repeat_words"] = np.bincount(row[covered], minlength=n)
-    return out | {"n_lines": n_lines, "n_upper": per_row((data >= 65) & (data <= 90)), "n_lower": per_row((data >= 97) & (data <= 122)), "n_marks": per_row(data == 33)}
+    return out | {"n_lines": n_lines, "n_upper": per_row((data >= 65) & (data <= 90)), "n_lower": per_row((data >= 97) & (data <= 122)), "n_wide": per_row(data >= 0xC0), "n_marks": per_row(data == 33)}
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,54 +93,50 @@ def counts(documents: DataFrame) -> DataFrame:
 
 
 def votes() -> list[Column]:
-    """One column per rule: BAD, ABSTAIN or GOOD. Rules without words abstain."""
+    """One column per rule: BAD, ABSTAIN or GOOD. Rules without words abstain; most rules know only one side."""
     words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
-    letters = F.greatest(F.col("n_upper") + F.col("n_lower"), F.lit(1))
+    cased, chars = F.greatest(F.col("n_upper") + F.col("n_lower"), F.lit(1)), F.greatest("word_chars", F.lit(1))
 
-    def rule(value: Column, bad: Column, good: Column) -> Column:
+    def rule(bad: Column, good: Column = F.lit(False)) -> Column:
         return F.when(F.col("n_words") == 0, ABSTAIN).when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
 
-    symbols, repeats, dups = F.col("n_symbols") / words, F.col("n_repeat_words") / words, F.col("n_dup_lines") / lines
-    length, upper, marks = F.col("word_chars") / words, F.col("n_upper") / letters, F.col("n_marks") / words
+    symbols, length, upper, marks = F.col("n_symbols") / words, F.col("word_chars") / words, F.col("n_upper") / cased, F.col("n_marks") / words
+    letters = (F.col("n_upper") + F.col("n_lower") + F.col("n_wide")) / chars
     return [
-        rule(symbols, symbols > 0.2, symbols < 0.02),
-        rule(repeats, repeats > 0.4, repeats < 0.1),
-        rule(dups, dups > 0.3, F.lit(False)),
-        rule(length, (length < 3) | (length > 10), (length >= 4.2) & (length <= 6.5)),
-        rule(upper, upper > 0.5, upper < 0.15),
-        rule(marks, marks > 0.3, marks < 0.05),
+        rule(symbols > 0.2),
+        rule(F.col("n_repeat_words") / words > 0.4),
+        rule(F.col("n_dup_lines") / lines > 0.35),
+        rule((length < 3) | (length > 9)),
+        rule(upper > 0.5),
+        rule(marks > 0.3),
+        rule(letters < 0.75, (letters >= 0.9) & (length >= 3.5) & (length <= 7.5)),
+        rule(F.lit(False), (upper < 0.15) & (marks < 0.05) & (symbols < 0.05)),
     ]
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
-    """Share of good documents and P(vote | class) per rule, by expectation-maximisation over counted vote patterns.
+    """Share of good documents and accuracy of each rule, by expectation-maximisation over counted vote patterns.
 
-    Rules are taken as independent within a class. The prior beliefs enter as pseudo-counts of one hundredth of the
-    corpus, so they fix which class is the good one and fade where the data speak.
+    A rule that votes is right with its accuracy, whatever the class; an abstention says nothing. The prior beliefs weigh
+    as much as a rule's own votes, which fixes the good class and keeps rare rules from being overruled by frequent ones.
     """
     v, w = np.array([p for p, _ in patterns], int), np.array([n for _, n in patterns], float)
-    rules = v.shape[1]
-    belief = np.array([[PRIOR_RIGHT, 0.5, 1 - PRIOR_RIGHT], [1 - PRIOR_RIGHT, 0.5, PRIOR_RIGHT]])  # class x vote
-    belief /= belief.sum(1, keepdims=True)
-    good, table = PRIOR_GOOD, np.tile(belief, (rules, 1, 1))
-    strength = max(1.0, w.sum() / 100)
+    good, right = PRIOR_GOOD, np.full(v.shape[1], PRIOR_RIGHT)
+    cast = (v != ABSTAIN) * w[:, None]
     for _ in range(rounds):
-        joint = np.stack([np.log(1 - good) + sum(np.log(table[j, 0, v[:, j]]) for j in range(rules)), np.log(good) + sum(np.log(table[j, 1, v[:, j]]) for j in range(rules))])
-        post = np.exp(joint - np.logaddexp(*joint))
-        good = (post[1] @ w + PRIOR_GOOD * strength) / (w.sum() + strength)
-        for j in range(rules):
-            for k in range(2):
-                seen = np.bincount(v[:, j], weights=post[k] * w, minlength=3)
-                table[j, k] = (seen + belief[k] * strength) / (seen.sum() + strength)
-    return float(good), table
+        post = 1 / (1 + np.exp(-(np.log(good / (1 - good)) + np.sign(v - ABSTAIN) @ np.log(right / (1 - right)))))
+        agree = np.where(v == GOOD, post[:, None], 1 - post[:, None])
+        right = ((cast * agree).sum(0) + (cast.sum(0) + 1) * PRIOR_RIGHT) / (2 * cast.sum(0) + 1)
+        right = np.clip(right, 0.01, 0.99)
+        good = (post @ w + w.sum() * PRIOR_GOOD) / (2 * w.sum())
+    return float(good), right
 
 
-def posterior(columns: list[Column], good: float, table: np.ndarray) -> Column:
+def posterior(columns: list[Column], good: float, right: np.ndarray) -> Column:
     """P(good | votes) as an expression over the vote columns."""
     log_odds = F.lit(float(np.log(good / (1 - good))))
-    for j, c in enumerate(columns):
-        ratio = np.log(table[j, 1] / table[j, 0])
-        log_odds = log_odds + F.when(c == BAD, float(ratio[BAD])).when(c == GOOD, float(ratio[GOOD])).otherwise(float(ratio[ABSTAIN]))
+    for c, r in zip(columns, right, strict=True):
+        log_odds = log_odds + (c - ABSTAIN) * F.lit(float(np.log(r / (1 - r))))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-log_odds))
 
 
