@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import line_dedup, quality_rules
+from loomgraph.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 from loomgraph.llm.common import stored, table
+from loomgraph.llm.queries import VOCABULARY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,12 +21,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go; n_chars follows the text."""
-    from pyspark.sql import functions as F
-
     return line_dedup.drop_shared_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality rules", quality), ("line dedup", lines)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_dedup.keep_one(docs).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay at the rates that meet the target weights; none is taken twice."""
+    return mixing.keep_mixed(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path(VOCABULARY))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near-duplicates", near_duplicates),
+    ("mixing", mixture),
+    ("packing", packed),
+]
 
 #: Expectation-maximisation, signatures and iterated fits are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None

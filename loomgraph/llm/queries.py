@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_rules, suffix_dedup, url_filter
+from loomgraph.llm import language_id, line_dedup, mixing, near_dedup, nearest, packing, quality_rules, suffix_dedup, url_filter
 from loomgraph.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_near_dedup, op4_suffix_dedup, op5_quality_rules, op7_line_dedup, op8_url_filter, op9_packing, op10_language_id]
+    found = [op1_mixing, op2_near_dedup, op4_suffix_dedup, op5_quality_rules, op6_nearest, op7_line_dedup, op8_url_filter, op9_packing, op10_language_id]
     return {f.__name__: f for f in found}
 
 
