@@ -27,7 +27,7 @@ def _rows(documents: DataFrame) -> DataFrame:
 
 
 def keep_bitmaps(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(_doc, _twin, drops): the dropped lines of each document that loses any, as runs [first, past) of line numbers.
+    """(_doc, _twin, _drops): the dropped lines of each document that loses any, as runs [first, past) of line numbers.
 
     A key of at least ``min_chars`` code points in at least ``min_docs`` documents stays in the largest doc_id alone (all its
     lines there). A null doc_id is one document below all others. Null text is one empty line. Rows with the same doc_id
@@ -44,7 +44,7 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     p = F.col("p")
     firsts = F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) != x - 1))
     lasts = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) != x + 1))
-    return runs.select("_doc", "_twin", F.arrays_zip(firsts.alias("first"), F.transform(lasts, lambda x: x + 1).alias("past")).cast(RUNS).alias("drops"))
+    return runs.select("_doc", "_twin", F.arrays_zip(firsts.alias("first"), F.transform(lasts, lambda x: x + 1).alias("past")).cast(RUNS).alias("_drops"))
 
 
 def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     marked = documents.select(*names, "text", F.xxhash64(text).alias("_key"))
     found = marked.join(bitmaps, marked["doc_id"].eqNullSafe(bitmaps["_doc"]) & (marked["_key"] == bitmaps["_twin"]), "left")
-    lines = found.select(*names, "text", F.split(text, "\n", -1).alias("_lines"), F.coalesce("drops", F.array().cast(RUNS)).alias("_drops"))
+    lines = found.select(*names, "text", F.split(text, "\n", -1).alias("_lines"), F.coalesce("_drops", F.array().cast(RUNS)).alias("_drops"))
     drops, every = F.col("_drops"), F.col("_lines")
 
     def kept(i: Column) -> Column:

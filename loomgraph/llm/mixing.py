@@ -31,7 +31,7 @@ def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, domain) of the labelled documents: toxic before low quality before clean. Of several labels the worst counts."""
     domain = F.when(F.coalesce("toxic", F.lit(0)) == 1, 2).when(F.coalesce("quality", F.lit(1)) == 0, 1).otherwise(0)
     of = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(domain).alias("domain"))
-    return documents.join(of, documents["doc_id"] == of["_id"]).select("text", "domain")
+    return documents.select("doc_id", "text").join(of, F.col("doc_id") == F.col("_id")).select("text", "domain")
 
 
 def block_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
