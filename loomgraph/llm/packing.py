@@ -6,9 +6,13 @@ million tokens at a time; the last window of a stretch is carried over into the
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +23,8 @@ from pyspark.sql import functions as F
 #: Costs in tokens of padding: a cut at a sentence end, a cut elsewhere. Stretches without a sentence end of more than GAP
 #: tokens may be cut every GAP // 2 tokens.
 SENTENCE_CUT, HARD_CUT, GAP = 8, 64, 64
-#: Tokens that one dynamic programme covers, words a task remembers, end-of-document id.
-STRETCH, REMEMBERED, END_ID = 1 << 20, 700_000, 1
+#: Tokens that one dynamic programme covers, characters encoded together, words a task remembers, end-of-document id.
+STRETCH, GROUP, REMEMBERED, END_ID = 1 << 20, 1 << 20, 1_000_000, 1
 #: Marks that never join the letters before them in one token.
 _MARKS = ".,!?;:*$%&#"
 
@@ -28,8 +32,8 @@ _MARKS = ".,!?;:*$%&#"
 class WordEncoder:
     """Token ids of texts by way of their words; exact where the tokenizer never joins characters across a space or newline.
 
-    Distinct words are encoded by the tokenizer once and remembered. Several go into one call, with the special token
-    ``separator`` between them.
+    Distinct words are encoded by the tokenizer once and remembered. Many go into one call, with the special token
+    ``separator`` between them. When too many are remembered, those that were met only once are forgotten.
     """
 
     def __init__(self, path: str, separator: str = "<|startoftext|>"):
@@ -37,67 +41,112 @@ class WordEncoder:
 
         self.tokenizer, self.separator = Tokenizer.from_file(path), separator
         self.separator_id = self.tokenizer.token_to_id(separator)
-        self.forget()
-
-    def forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.used, self.flat = 0, np.zeros(1 << 16, np.uint32)
-        self.start, self.length, self.closes = (np.zeros(1 << 14, t) for t in (np.int64, np.int32, bool))
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        found: list[list[int]] = []
-        for lo in range(0, len(texts), 500):
-            group = texts[lo : lo + 500]
-            if self.separator_id is None or any("<|" in t for t in group):
-                found += [self.tokenizer.encode(t, add_special_tokens=False).ids for t in group]
-                continue
-            ids = np.array(self.tokenizer.encode(self.separator.join(group), add_special_tokens=False).ids)
-            found += [x[k > 0 :].tolist() for k, x in enumerate(np.split(ids, np.flatnonzero(ids == self.separator_id)))]
-        return found
+        self.plain = self._plain(path)
+        self.words: dict[str, int] = {}  # to the place of its two pieces in codes
+        self.pieces: dict[str, int] = {"": 0}  # to a code: place in flat * 2 ** 24 + number of ids
+        self.flat, self.codes, self.closes, self.met = array("I"), array("q"), bytearray(), np.zeros(1, np.int64)
+
+    def _plain(self, path: str):  # noqa: ANN202
+        """The same merges without normaliser, for words of a-z; None where words do not end in tokens of their own kind."""
+        from tokenizers import Tokenizer
+
+        made = json.loads(Path(path).read_text())
+        suffix = made["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closing[[i for t, i in made["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        return Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None}))
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; words of a-z and other texts without special tokens go many to a call."""
+        found: dict[str, np.ndarray] = {}
+        letters = [t for t in texts if t.isascii() and t.isalpha() and t.islower()] if self.plain else []
+        for lo in range(0, len(letters), 500):
+            ids = np.array(self.plain.encode(" ".join(letters[lo : lo + 500]), add_special_tokens=False).ids, np.uint32)
+            cuts = [0, *(np.flatnonzero(self.closing[ids]) + 1).tolist()]
+            found.update(zip(letters[lo : lo + 500], [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        others = [] if self.separator_id is None else [t for t in texts if t not in found and "<|" not in t]
+        for lo in range(0, len(others), 500):
+            ids = np.array(self.tokenizer.encode(self.separator.join(others[lo : lo + 500]), add_special_tokens=False).ids, np.uint32)
+            cuts = [-1, *np.flatnonzero(ids == self.separator_id).tolist(), len(ids)]
+            found.update(zip(others[lo : lo + 500], [ids[a + 1 : b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        return [found[t] if t in found else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+
+    def _forget(self) -> None:
+        """Keep the words that were met again since the last time, or none if those are too many as well."""
+        again = [w for w, n in zip(self.words, self.met.tolist(), strict=False) if n > 1]
+        again = again if len(again) < REMEMBERED // 2 else []
+        flat, codes = array("I"), array("q")
+        for w in again:
+            k = 2 * self.words[w]
+            for code in self.codes[k : k + 2]:
+                codes.append(len(flat) << 24 | code & 0xFFFFFF)
+                flat.extend(self.flat[code >> 24 : (code >> 24) + (code & 0xFFFFFF)])
+        self.closes = bytearray(w[-1] in ".!?" for w in again)
+        self.words, self.pieces, self.flat, self.codes = {w: k for k, w in enumerate(again)}, {"": 0}, flat, codes
+        self.met = np.zeros(len(again) + 1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > REMEMBERED and self.words:
-            raise MemoryError
-        cut: list[list[str]] = []
+        """A word is two pieces: letters and what else comes first, and marks that end it."""
+        pieces, flat = self.pieces, self.flat
+        firsts: list[str] = []
+        lasts: list[str] = []
         for w in words:
-            core = w.rstrip(_MARKS)
-            parts = [core, w[len(core) :]] if len(core) < len(w) and core and core[-1].isalpha() else [w]
-            if parts[0].isascii() and parts[0].isalnum():
-                parts[0] = parts[0].lower()
-            cut.append(parts)
-        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in self.pieces))
-        self.pieces.update(zip(new, self._encode(new), strict=True))
-        for w, parts in zip(words, cut, strict=True):
-            ids = self.pieces[parts[0]] + self.pieces[parts[1]] if len(parts) > 1 else self.pieces[parts[0]]
-            k = len(self.words)
-            if k == len(self.start):
-                self.start, self.length, self.closes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length, self.closes))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[k], self.length[k], self.closes[k] = self.used, len(ids), w[-1] in ".!?"
-            self.used += len(ids)
-            self.words[w] = k
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the text, and the positions behind the words that close a sentence."""
-        words = [w for w in text.replace("\n", " ").split(" ") if w]
-        get = self.words.get
-        at = [get(w, -1) for w in words]
-        if -1 in at:
+            first = w.rstrip(_MARKS)
+            if not first[-1:].isalpha():
+                first = w
+            firsts.append(first)
+            lasts.append(w[len(first) :])
+        new = [t for t in dict.fromkeys(chain(firsts, lasts)) if t not in pieces]
+        for piece, ids in zip(new, self._encode(new), strict=True):
+            pieces[piece] = len(flat) << 24 | len(ids)
+            flat.frombytes(ids.tobytes())
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
+        self.codes.extend(map(pieces.__getitem__, chain.from_iterable(zip(firsts, lasts, strict=True))))
+        self.closes.extend(w[-1] in ".!?" for w in words)
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        """Words between spaces and newlines (and other ASCII white space), in lower case where that is what the tokenizer makes
+        of it: every character of Latin-1 has its lower case whatever stands next to it."""
+        if "<|" not in text:
             try:
-                self._learn(list(dict.fromkeys(w for w, k in zip(words, at, strict=True) if k < 0)))
-            except MemoryError:  # start over with what this text holds
-                self.forget()
-                self._learn(list(dict.fromkeys(words)))
-            at = [self.words[w] for w in words]
-        index = np.array(at, np.int64)
-        lengths = self.length[index]
-        ends = np.cumsum(lengths)
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return text.split()
+        return [w for w in text.replace("\n", " ").split(" ") if w]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, how many each text has, and the positions behind words that close a sentence."""
+        lists = [self._split(t) for t in texts]
+        words = list(chain.from_iterable(lists))
+        at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys(words[k] for k in unknown))
+            if len(self.words) + len(new) > REMEMBERED and self.words:
+                self._forget()
+                at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+                unknown = np.flatnonzero(at < 0).tolist()
+                new = list(dict.fromkeys(words[k] for k in unknown))
+            self._learn(new)
+            at[unknown] = [self.words[words[k]] for k in unknown]
+        if len(self.met) < len(self.words):
+            self.met = np.concatenate([self.met, np.zeros(len(self.words), np.int64)])
+        self.met += np.bincount(at, minlength=len(self.met))
+        code = np.frombuffer(self.codes, np.int64).reshape(-1, 2)[at].ravel()
+        start, length = code >> 24, code & 0xFFFFFF
+        ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.start[index] - (ends - lengths), lengths) + np.arange(total)]
-        return ids, ends[self.closes[index]]
+        ids = np.frombuffer(self.flat, np.uint32)[np.repeat(start - (ends - length), length) + np.arange(total)]
+        ends = ends[1::2]
+        at_word = np.cumsum([0, *map(len, lists)])
+        at_id = np.concatenate([[0], ends])[at_word]
+        return ids, np.diff(at_id), ends[np.frombuffer(self.closes, bool)[at]]
 
 
 def best_cuts(ends: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
@@ -126,13 +175,19 @@ def best_cuts(ends: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
     return [0, *cuts[::-1]]
 
 
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct values of two sorted arrays, sorted."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+
+
 def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Possible cuts and their penalties: document ends are free, sentence ends cheap, and long stretches get hard cuts."""
-    natural = np.union1d(doc_ends, sentence_ends)
+    natural = merged(doc_ends, sentence_ends)
     before = np.concatenate([[0], natural[:-1]])
     wide = np.flatnonzero(natural - before > GAP)
     extra = [np.arange(before[k] + GAP // 2, natural[k], GAP // 2) for k in wide]
-    ends = np.union1d(natural, np.concatenate(extra)) if extra else natural
+    ends = merged(natural, np.concatenate(extra)) if extra else natural
     penalty = np.full(len(ends), HARD_CUT, np.int64)
     penalty[np.searchsorted(ends, natural)] = SENTENCE_CUT
     penalty[np.searchsorted(ends, doc_ends)] = 0
@@ -177,7 +232,7 @@ class Stretch:
         cuts = [*cuts[:-1], *last_cuts(cuts[-2], cuts[-1], self.size)] if final else cuts[:-1]
         done = cuts[-1]
         doc_starts = doc_ends - here
-        edges = np.union1d(cuts, doc_starts[doc_starts < done])
+        edges = merged(np.array(cuts), doc_starts[doc_starts < done])
         begin, end = edges[:-1], edges[1:]
         doc, seq = np.searchsorted(doc_starts, begin, "right") - 1, np.searchsorted(cuts, begin, "right") - 1
         raw = memoryview(ids.astype("<u4").tobytes())
@@ -209,11 +264,22 @@ def _packer(path: str, size: int, end_id: int) -> Callable[[Iterator[pa.RecordBa
         stretch = Stretch(size, TaskContext.get().partitionId() << 40)
         closing = np.array([end_id], np.uint32)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids, closes = encoder.encode(text.as_py() or "")
-                stretch.add(doc_id, np.concatenate([ids, closing]), closes)
-                if stretch.tokens >= STRETCH:
-                    yield stretch.close(final=False)
+            names, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
+            lo = 0
+            while lo < len(texts):
+                hi, chars = lo, 0
+                while hi < len(texts) and chars < GROUP:
+                    chars += len(texts[hi])
+                    hi += 1
+                ids, counts, closes = encoder.encode(texts[lo:hi])
+                ends = np.cumsum(counts)
+                marks = np.searchsorted(closes, np.concatenate([[0], ends]), "right")
+                for k, name in enumerate(names[lo:hi]):
+                    begin = int(ends[k] - counts[k])
+                    stretch.add(name, np.concatenate([ids[begin : ends[k]], closing]), closes[marks[k] : marks[k + 1]] - begin)
+                    if stretch.tokens >= STRETCH:
+                        yield stretch.close(final=False)
+                lo = hi
         if stretch.tokens:
             yield stretch.close(final=True)
 

@@ -20,14 +20,14 @@ def test_ids_are_those_of_the_tokenizer():
     rng = random.Random(2)
     texts = ODD + [" ".join(rng.choice(ODD) for _ in range(20)) for _ in range(30)]
     for t in texts:
-        assert encoder.encode(t)[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        assert encoder.encode([t])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 5)
     encoder, tokenizer = packing.WordEncoder(PATH), Tokenizer.from_file(PATH)
     for t in ["one two three four", "five six seven eight nine ten eleven", "one two five"]:
-        assert encoder.encode(t)[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        assert encoder.encode([t])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def cost(cuts, fee, size):
