@@ -37,8 +37,10 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     keyed = line.select("_doc", "_twin", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
     hashed = keyed.select("_doc", "_twin", "pos", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
     ranged = hashed.repartitionByRange("h1", "h2", "_doc").sortWithinPartitions("h1", "h2", "_doc", "pos")
-    held = ranged.groupBy("h1", "h2", "_doc").agg(F.min("pos").alias("first_pos"))
-    shared = held.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("_doc").alias("keeper")).filter(F.col("docs") >= min_docs)
+    # Both uses of ``ranged`` need the same columns: then its shuffle happens once.
+    held = ranged.groupBy("h1", "h2", "_doc").agg(F.min(F.struct("pos", "_twin")).alias("first"))
+    last = F.max(F.struct("_doc", "first"))
+    shared = held.groupBy("h1", "h2").agg(F.count("*").alias("docs"), last.alias("last")).filter(F.col("docs") >= min_docs).select("h1", "h2", F.col("last._doc").alias("keeper"))
     drops = ranged.join(shared, ["h1", "h2"]).filter(~F.col("_doc").eqNullSafe(F.col("keeper")))
     runs = drops.groupBy("_doc", "_twin").agg(F.sort_array(F.collect_set("pos")).alias("p"))
     p = F.col("p")
