@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import row_blocks, stored, utf8_rows, word_hashes
 
-#: Hashed word features; how many of them the classifier keeps for each domain; smoothing of counts.
-FEATURES, KEPT, SMOOTHING = 1 << 16, 200, 1.0
+#: Hashed word features; how many of them the classifier keeps for each domain; smoothing of counts; labelled documents it
+#: learns from at most (those with the smallest hashes of doc_id).
+FEATURES, KEPT, SMOOTHING, SAMPLE = 1 << 16, 200, 1.0, 20_000
 DOMAINS = ["clean", "low", "toxic"]
 #: Production target weights. The total is what keeps all clean tokens.
 WEIGHTS = {"clean": 0.97, "low": 0.03, "toxic": 0.0}
@@ -27,10 +28,12 @@ ROUNDS, TOLERANCE, MAX_RATE, WHOLE_FROM = 40, 1e-4, 4.0, 0.9
 _SHAPES, _BINS = 4, 16
 
 
-def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, domain) of the labelled documents: toxic before low quality before clean. Of several labels the worst counts."""
+def labelled(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text, domain) of at most ``sample`` labelled documents: toxic before low quality before clean. Of several labels the
+    worst counts. The sample of labels is broadcast, so texts are not shuffled."""
     domain = F.when(F.coalesce("toxic", F.lit(0)) == 1, 2).when(F.coalesce("quality", F.lit(1)) == 0, 1).otherwise(0)
     of = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(domain).alias("domain"))
+    of = F.broadcast(of.orderBy(F.xxhash64("_id"), "_id").limit(sample))  # 16 bytes a row
     return documents.select("doc_id", "text").join(of, F.col("doc_id") == F.col("_id")).select("text", "domain")
 
 
