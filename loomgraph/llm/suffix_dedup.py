@@ -6,7 +6,8 @@ mostly share one, so a run of neighbours travels as one record. The passes are
 
 1. by minimiser: runs whose minimiser occurs once hold no repeated window and leave (most of a corpus);
 2. by the whole span of a run: equal spans mean that all their windows are repeated, and only one run of each stays;
-3. by window, for the runs that are left: where a repeated passage begins or ends.
+3. by cell, for the runs that are left: nearly all bytes of STRIDE neighbouring windows;
+4. by window, for the cells that occur again: where a repeated passage begins or ends.
 
 Every window is in exactly one run, so no repetition is missed; keys are 128 bits of hash. Counts are added up before they are
 shuffled, and joins back to runs are plain equi joins that adaptive execution may split.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import as_signed, mix, powers, prefix_sums, row_blocks, stored, utf8_rows
 
-WIDTH, GRAM, BLOCK = 200, 80, 1 << 19
+WIDTH, GRAM, STRIDE, BLOCK = 200, 80, 15, 1 << 19
 RUN = "doc_id long, twin long, first long, windows int, gram long, span long, loops boolean"
 
 
@@ -87,30 +88,85 @@ def _scan(width: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def _windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Every window of the runs listed with each text."""
+def _groups(begins: np.ndarray, stops: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Indices of byte ranges [begin, stop) in groups, each with the stretch of text that holds it."""
+    order = np.argsort(begins, kind="stable")
+    lo = 0
+    while lo < len(order):
+        start = int(begins[order[lo]])
+        hi = max(lo + 1, int(np.searchsorted(begins[order], start + BLOCK)))
+        yield order[lo:hi], start, int(stops[order[lo:hi]].max())
+        lo = hi
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [begin, begin + count), and the range each is from."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum()), owner
+
+
+CELL = "doc_id long, twin long, gram long, key long, first long, count int, alone boolean"
+
+
+def _batch(batch: pa.RecordBatch, i: int, gram: np.ndarray, key: np.ndarray, first: np.ndarray, count: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
+    rows = pa.array(np.full(len(first), i))
+    columns = [batch.column("doc_id").take(rows), batch.column("twin").take(rows), pa.array(gram, pa.int64()), pa.array(as_signed(key)), pa.array(first, pa.int64()), pa.array(count, pa.int32()), pa.array(alone, pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CELL.split(", ")])
+
+
+def _cells(width: int, gram: int, stride: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keys of the cells of listed runs; with each, the windows it stands for: [first, first + count).
+
+    A cell is width - stride + 1 bytes long and begins a multiple of ``stride`` bytes before or behind the first minimiser of the
+    windows. Every window holds the cell that begins in its first ``stride`` bytes, so equal windows have an equal cell. Runs
+    that loop have no single minimiser and give a cell for each byte.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8_rows(batch.column("text"))
             for i, listed in enumerate(batch.column("runs")):
-                begins, counts, grams, alone = (np.array([r[c] for r in listed.as_py()]) for c in ("first", "windows", "gram", "alone"))
-                order = np.argsort(begins, kind="stable")
-                lo = 0
-                while lo < len(order):  # runs in groups, each over one stretch of the text
-                    start = int(begins[order[lo]])
-                    hi = max(lo + 1, int(np.searchsorted(begins[order], start + BLOCK)))
-                    group = order[lo:hi]
-                    stop = int((begins[group] + counts[group]).max()) - 1 + width
+                first, windows, least, alone, loops = (listed.values.field(c).to_numpy(zero_copy_only=False) for c in ("first", "windows", "gram", "alone", "loops"))
+                for group, start, stop in _groups(first, first + windows - 1 + width):
+                    piece = data[offsets[i] + start : offsets[i] + stop]
+                    sums, down = prefix_sums(piece), powers(len(piece) + 1)[1]
+                    begin, n, value = first[group] - start, windows[group].astype(np.int64), least[group]
+                    grams = mix((sums[gram:] - sums[:-gram]) * down[: len(piece) - gram + 1]).view(np.int64)
+                    at, owner = _ranges(begin, n + width - gram)
+                    place = np.where(grams[at] == value[owner], at, len(piece))
+                    anchor = np.minimum.reduceat(place, np.concatenate([[0], np.cumsum(n + width - gram)[:-1]]))
+                    at, owner = _ranges(begin, n + stride - 1)
+                    chosen = loops[group][owner] | ((at - anchor[owner]) % stride == 0)
+                    at, owner = at[chosen], owner[chosen]
+                    size = width - stride + 1
+                    key = mix((sums[at + size] - sums[at]) * down[at] + np.uint64(size))
+                    low, high = np.maximum(at - stride + 1, begin[owner]), np.minimum(at, begin[owner] + n[owner] - 1)
+                    yield _batch(batch, i, value[owner], key, low + start, high - low + 1, alone[group][owner])
+
+    return run
+
+
+def _windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keys of all windows of the ranges listed with each text, each window once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8_rows(batch.column("text"))
+            for i, listed in enumerate(batch.column("ranges")):
+                first, count, least, alone = (listed.values.field(c).to_numpy(zero_copy_only=False) for c in ("first", "count", "gram", "alone"))
+                done = -1
+                for group, start, stop in _groups(first, first + count - 1 + width):
                     piece = data[offsets[i] + start : offsets[i] + stop]
                     sums, down = prefix_sums(piece), powers(len(piece) + 1)[1]
-                    n = counts[group]
-                    first = np.repeat(begins[group] - start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    key = mix((sums[first + width] - sums[first]) * down[first] + np.uint64(width))
-                    k = len(first)
-                    columns = [pa.array(np.repeat(grams[group], n), pa.int64()), pa.array(as_signed(key)), batch.column("doc_id").take(pa.array([i] * k)), batch.column("twin").take(pa.array([i] * k)), pa.array(first + start, pa.int64()), pa.array(np.repeat(alone[group], n), pa.bool_())]
-                    yield pa.RecordBatch.from_arrays(columns, ["gram", "key", "doc_id", "twin", "first", "alone"])
-                    lo = hi
+                    at, owner = _ranges(first[group] - start, count[group].astype(np.int64))
+                    at, new = np.unique(at, return_index=True)
+                    later = at + start > done
+                    at, owner = at[later], owner[new][later]
+                    if not len(at):
+                        continue
+                    done = int(at[-1]) + start
+                    key = mix((sums[at + width] - sums[at]) * down[at] + np.uint64(width))
+                    yield _batch(batch, i, least[group][owner], key, at + start, np.ones(len(at)), alone[group][owner])
 
     return run
 
@@ -120,6 +176,10 @@ def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("twin"), text.alias("text"))
 
 
+def _twice(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("gram", "key").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "key")
+
+
 def repeated_spans(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, twin, first, past): byte ranges whose union is all bytes in windows that also start elsewhere.
 
@@ -134,11 +194,15 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -
     spans = stored(spans)
     mixed = spans.groupBy("gram").agg(F.count("*").alias("k"), F.sum((F.col("n") == 1).cast("int")).alias("singles")).filter("k > 1 and singles > 0").select("gram", F.lit(True).alias("mixed"))
     open_ = spans.join(mixed, "gram", "left").filter(F.col("mixed") | (F.col("loops") & (F.col("n") == 1)))
-    listed = open_.select("gram", (F.col("n") == 1).alias("alone"), "r.*").groupBy("doc_id", "twin").agg(F.collect_list(F.struct("first", "windows", "gram", "alone")).alias("runs"))
-    texts = rows.join(listed.withColumnsRenamed({"doc_id": "_d", "twin": "_t"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("twin") == F.col("_t")))
-    windows = stored(texts.select("doc_id", "twin", "text", "runs").mapInArrow(_windows(width), "gram long, key long, doc_id long, twin long, first long, alone boolean"))
-    twice = windows.groupBy("gram", "key").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "key")
-    partly = windows.filter("alone").join(twice, ["gram", "key"]).select("doc_id", "twin", "first", (F.col("first") + width).alias("past"))
+    run = F.struct("first", "windows", "gram", "alone", "loops")
+    listed = open_.select("gram", "loops", (F.col("n") == 1).alias("alone"), "r.*").groupBy("doc_id", "twin").agg(F.collect_list(run).alias("runs")).withColumnsRenamed({"doc_id": "_d", "twin": "_t"})
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("twin") == F.col("_t"))
+    texts = stored(rows.join(listed, same).select("doc_id", "twin", "text", "runs"))
+    cells = stored(texts.mapInArrow(_cells(width, gram, min(STRIDE, width - gram)), CELL))
+    near = cells.join(_twice(cells), ["gram", "key"])
+    ranges = near.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("first", "count", "gram", "alone")).alias("ranges")).withColumnsRenamed({"doc_id": "_d", "twin": "_t"})
+    windows = stored(texts.select("doc_id", "twin", "text").join(ranges, same).select("doc_id", "twin", "text", "ranges").mapInArrow(_windows(width), CELL))
+    partly = windows.filter("alone").join(_twice(windows), ["gram", "key"]).select("doc_id", "twin", "first", (F.col("first") + width).alias("past"))
     whole = left.join(spans.filter("n > 1").select("gram", "span"), ["gram", "span"])
     return whole.select("doc_id", "twin", "first", (F.col("first") + F.col("windows") - 1 + width).alias("past")).union(partly)
 
