@@ -26,9 +26,9 @@ def interface_name(name: Column) -> Column:
     return name.contains("Interface") | (name.startswith("I") & (F.length(name) > 1))
 
 
-def small_text(content: Column) -> Column:
-    """Neither larger than the size guard nor binary."""
-    return (F.length(content) <= K.MAX_FILE_CHARS) & (F.instr(content, "\x00") == 0)
+def size_class(content: Column) -> Column:
+    """``large`` beyond the size guard, ``binary`` with a zero byte, else ``text``. Nothing is dropped; callers choose."""
+    return F.when(F.length(content) > K.MAX_FILE_CHARS, "large").when(F.instr(content, "\x00") > 0, "binary").otherwise("text")
 
 
 def parsed_and_not_blank(content: Column, parse_error: Column) -> Column:

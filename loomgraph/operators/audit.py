@@ -188,11 +188,11 @@ def service_edges(pairs: dict[str, DataFrame], k: int = 10) -> DataFrame:
 
 
 def key_uniqueness(keys: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Duplicate keys and null keys per table."""
+    """Duplicate keys and null keys per table. A key is shown as a JSON list of its parts, so no separator can blur it."""
     parts = []
     for name, (rows, cols) in keys.items():
-        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in cols])
         null = D.any_of([F.col(c).isNull() for c in cols])
-        parts.append(rows.groupBy(text.alias("key"), null.alias("has_null")).agg(F.count("*").alias("n"))
-                     .filter("n > 1 OR has_null").withColumn("table", F.lit(name)))
+        text = F.to_json(F.array(*[F.col(c).cast("string") for c in cols]))
+        found = rows.groupBy(*cols).agg(F.count("*").alias("n")).withColumn("has_null", null).filter("n > 1 OR has_null")
+        parts.append(found.select(text.alias("key"), "has_null", "n", F.lit(name).alias("table")))
     return union_all(parts)

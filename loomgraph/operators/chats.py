@@ -30,13 +30,15 @@ def chats_by_user(chats: DataFrame, user_id: int) -> DataFrame:
 
 
 def chat_by_id(chats: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requested (req_id, user_id) matched on the row id, else on the payload id among the user's chats."""
-    by_row = requests.withColumnRenamed("user_id", "req_user").join(chats, F.col("req_id") == F.col("id")).withColumn(
-        "rank", F.lit(1)).drop("req_user")
-    by_payload = requests.withColumnRenamed("user_id", "req_user").join(
-        chats, (F.col("req_id") == F.col("payload_id")) & (F.col("req_user") == F.col("user_id"))).withColumn(
-        "rank", F.lit(2)).drop("req_user")
-    w = Window.partitionBy("req_id").orderBy("rank", "id")
+    """One answer per request (req_id, user_id): the row with that id, else the user's chat with that payload id.
+
+    The columns of the answer follow req_id and req_user.
+    """
+    asked = requests.select("req_id", F.col("user_id").alias("req_user")).distinct()
+    by_row = asked.join(chats, F.col("req_id") == F.col("id")).withColumn("rank", F.lit(1))
+    by_payload = asked.join(chats, (F.col("req_id") == F.col("payload_id")) & (F.col("req_user") == F.col("user_id"))) \
+        .withColumn("rank", F.lit(2))
+    w = Window.partitionBy("req_id", "req_user").orderBy("rank", "id")
     return by_row.unionByName(by_payload).withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
 

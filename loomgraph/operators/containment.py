@@ -166,14 +166,16 @@ def assign_chunks(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
         F.min(F.when(F.col("o_label") == "Class", rank)).alias("cl")).drop("line_block")
 
     # Mentions: symbols are listed in three line blocks each, so that chunks and their texts are not repeated.
+    # Of several, the one that begins first counts, the longer one at equal starts.
     places = symbols.select("repo_url", "file_path", "label", "unique_id", "name", F.col("start_line").alias("at"),
+                            (-F.col("end_line")).alias("end"),
                             F.explode(F.array(*[F.floor(F.col("start_line") / 10) + d for d in (-1, 0, 1)])).alias("line_block"))
     mentioned = (
         chunks.select(*key, "content", "start_line", F.floor(F.col("start_line") / 10).alias("line_block"))
         .join(places, FILE_BLOCK)
         .filter((F.abs(F.col("at") - F.col("start_line")) < 10) & F.col("content").contains(F.col("name")))
         .groupBy(*FILE_BLOCK, "chunk_id")
-        .agg(F.min(F.struct(F.when(F.col("label") == "Function", 0).otherwise(1).alias("kind"), "at", "label",
+        .agg(F.min(F.struct("at", "end", F.when(F.col("label") == "Function", 0).otherwise(1).alias("kind"), "label",
                             "unique_id")).alias("mention")).drop("line_block")
     )
     merged = (

@@ -36,26 +36,33 @@ def hashed_embedder(dim: int = DIM):
 
 def embed_chunks(chunks: DataFrame, dim: int = DIM, model: Callable[[list[str]], list[list[float]]] | None = None,
                  batch: int = 100) -> DataFrame:
-    """Chunks with an embedding. Vectors of another dimension are dropped.
+    """Every chunk with ``embedding`` and ``embedding_error``.
 
-    With a model, texts go to it in batches of ``batch``; a batch that fails or comes back short is dropped as a whole.
+    With a model, texts go to it in batches of ``batch``. Chunks of a batch that fails or comes back short, and chunks whose
+    vector has another dimension, keep a null vector and the reason, so that they can be asked for again.
     """
     if model is None:
-        return chunks.withColumn("embedding", hashed_embedder(dim)("content"))
+        return chunks.withColumn("embedding", hashed_embedder(dim)("content")).withColumn("embedding_error", F.lit(None).cast("string"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at:at + batch]
                 try:
-                    vectors = model(part["content"].tolist())
-                except Exception:  # a failed batch is dropped, the count shows it
-                    continue
-                if len(vectors) == len(part):
-                    yield part.assign(embedding=vectors)
+                    vectors = list(model(part["content"].tolist()))
+                    errors = [None if len(v) == dim else f"dimension {len(v)}" for v in vectors]
+                except Exception as e:  # the service may fail in any way; the chunk says how
+                    vectors, errors = [None] * len(part), [f"{type(e).__name__}: {e}"[:200]] * len(part)
+                if len(vectors) != len(part):
+                    errors = [f"{len(vectors)} vectors for {len(part)} texts"] * len(part)
+                    vectors = [None] * len(part)
+                kept = [None if e else v for v, e in zip(vectors, errors, strict=True)]
+                yield part.assign(embedding=pd.Series(kept, index=part.index, dtype=object),
+                                  embedding_error=pd.Series(errors, index=part.index, dtype=object))
 
-    schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
-    return chunks.mapInPandas(run, schema).filter(F.size("embedding") == dim)
+    schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())),
+                           T.StructField("embedding_error", T.StringType())])
+    return chunks.mapInPandas(run, schema)
 
 
 def embedding_counts(chunks: DataFrame, embedded: DataFrame) -> DataFrame:

@@ -16,17 +16,21 @@ from loomgraph.sources import scan as S
 CLIENT_WORDS = ["the", "der", "que", "la"]
 OTHER_REPO = "https://git.example.org/src1.git"
 
-register("may_call", f"""
-    SELECT f.repo_url, f.service_name, f.unique_id, k.rule, k.key, count(*) AS n_endpoints
+register("endpoint_hits", f"""
+    SELECT f.repo_url, f.service_name, f.unique_id, e.endpoint_id, e.name, e.path, e.service_name AS service,
+           (e.name <> '' AND contains(f.text, e.name)) OR (e.name <> '' AND contains(f.text, replace(e.name, '_', '-'))) AS by_name,
+           e.path <> '' AND contains(f.text, e.path) AS by_path, e.service_name <> '' AND contains(f.text, e.service_name) AS by_service
     FROM (SELECT repo_url, service_name, unique_id, lower(text) AS text FROM functions) f
-    JOIN (SELECT 'name' AS rule, name AS key, name AS needle, service_name FROM endpoints WHERE length(name) >= 8
-          UNION ALL SELECT 'path', path, path, service_name FROM endpoints WHERE length(path) >= 8) k
-      ON contains(f.text, k.needle) AND k.service_name <> f.service_name
-    WHERE {contains_any_sql('f.text', CLIENT_WORDS)} GROUP BY ALL""")
+    JOIN endpoints e ON e.service_name <> f.service_name
+    WHERE {contains_any_sql('f.text', CLIENT_WORDS)}""")
+register("may_call", """
+    SELECT repo_url, service_name, unique_id, rule, key, count(*) AS n_endpoints FROM (
+      SELECT *, 'name' AS rule, name AS key FROM endpoint_hits WHERE by_name
+      UNION ALL SELECT *, 'path', path FROM endpoint_hits WHERE by_path
+      UNION ALL SELECT *, 'service', service FROM endpoint_hits WHERE by_service) GROUP BY ALL""")
 register("cross_imports", """
     SELECT f.repo_url AS source_repo, f.path AS source_path, t.repo_url AS target_repo, t.path AS target_path
-    FROM lines l JOIN files f USING (repo_url, path) JOIN files t ON t.doc_id = (f.doc_id * 7 + l.i) % (SELECT count(*) FROM documents)
-    WHERE l.i % 5 = 2""")
+    FROM lines l JOIN files f USING (repo_url, path) JOIN files t ON t.doc_id = (f.doc_id * 7 + l.i) % (SELECT count(*) FROM documents)""")
 register("communicates", """
     SELECT DISTINCT a.service_name AS src, b.service_name AS dst, 'api_call' AS type
     FROM cross_imports i JOIN files a ON a.repo_url = i.source_repo AND a.path = i.source_path
@@ -42,7 +46,7 @@ register("repo_pairs", """
 register("connected", f"""
     SELECT DISTINCT repo_url FROM (
       SELECT m.repo_url FROM may_call m JOIN endpoints e ON e.repo_url = '{ACTIVE_REPO}' AND
-        ((m.rule = 'name' AND m.key = e.name) OR (m.rule = 'path' AND m.key = e.path))
+        ((m.rule = 'name' AND m.key = e.name) OR (m.rule = 'path' AND m.key = e.path) OR (m.rule = 'service' AND m.key = e.service_name))
       UNION ALL SELECT b.repo_url FROM data_models a JOIN data_models b USING (name) WHERE a.repo_url = '{ACTIVE_REPO}'
       UNION ALL SELECT m.repo_url FROM endpoints e JOIN data_models m ON m.model_id = e.endpoint_id WHERE e.repo_url = '{ACTIVE_REPO}')
     WHERE repo_url <> '{ACTIVE_REPO}'""")
@@ -57,7 +61,7 @@ def cross_imports(g):
     t = g.files.select(F.col("doc_id").alias("t"), F.col("repo_url").alias("target_repo"), F.col("path").alias("target_path"))
     return (
         g.files.select("doc_id", F.col("repo_url").alias("source_repo"), F.col("path").alias("source_path"),
-                       F.posexplode(F.split("content", "\n")).alias("i", "l")).filter(F.col("i") % 5 == 2)
+                       F.posexplode(F.split("content", "\n")).alias("i", "l"))
         .withColumn("t", (F.col("doc_id") * 7 + F.col("i")) % n_docs).join(t, "t")
         .select("source_repo", "source_path", "target_repo", "target_path"))
 
@@ -95,7 +99,7 @@ query("d21_repo_connections", """
 query("d22_connection_details", f"""
     SELECT 'api_call' AS kind, unique_id AS source_item, m.key AS target_item, 1 AS n_source, count(*) AS n_target
     FROM may_call m JOIN endpoints e ON e.repo_url = '{OTHER_REPO}' AND
-      ((m.rule = 'name' AND m.key = e.name) OR (m.rule = 'path' AND m.key = e.path))
+      ((m.rule = 'name' AND m.key = e.name) OR (m.rule = 'path' AND m.key = e.path) OR (m.rule = 'service' AND m.key = e.service_name))
     WHERE m.repo_url = '{ACTIVE_REPO}' GROUP BY ALL
     UNION ALL
     SELECT 'shared_model', name, name, a.n, b.n FROM (SELECT name, count(*) AS n FROM data_models WHERE repo_url = '{ACTIVE_REPO}' GROUP BY ALL) a
@@ -113,8 +117,7 @@ query("d24_keyword_scoped_query", f"""
 query("d29_repo_list_active", "SELECT url, service_name, description, is_active FROM repositories")(
     lambda g: X.repo_list_active(g.repositories))
 query("f14_calls_service_weight", """
-    SELECT m.service_name AS src, e.service_name AS dst, count(*) AS n FROM may_call m JOIN endpoints e
-      ON e.service_name <> m.service_name AND ((m.rule = 'name' AND m.key = e.name) OR (m.rule = 'path' AND m.key = e.path))
+    SELECT service_name AS src, service AS dst, count(*) AS n FROM endpoint_hits WHERE by_name OR by_path OR by_service
     GROUP BY ALL""")(lambda g: X.calls_service(callers(g), g.endpoints))
 query("f14_shares_model_weight", "SELECT src, dst, n FROM shares_model")(lambda g: X.shares_model_with(g.data_models))
 query("f14_accumulate_weights", """

@@ -307,7 +307,7 @@ query("d28_assign_chunks", f"""
     named AS (SELECT c.repo_url, c.file_path, c.chunk_id, 2 AS level, 0 AS r1, 0 AS r2, d.decl_line AS r3, d.label, d.unique_id FROM sig c JOIN decl d
       ON d.repo_url = c.repo_url AND d.file_path = c.file_path AND ((c.is_function_signature AND d.label = 'Function' AND d.name = c.function_name)
          OR (NOT c.is_function_signature AND c.is_class_signature AND d.label = 'Class' AND d.name = c.class_name))),
-    mentioned AS (SELECT c.repo_url, c.file_path, c.chunk_id, 3 AS level, CASE WHEN s.label = 'Function' THEN 0 ELSE 1 END AS r1, 0 AS r2, s.start_line AS r3, s.label, s.unique_id
+    mentioned AS (SELECT c.repo_url, c.file_path, c.chunk_id, 3 AS level, s.start_line AS r1, -s.end_line AS r2, CASE WHEN s.label = 'Function' THEN 0 ELSE 1 END AS r3, s.label, s.unique_id
       FROM sig c JOIN symbols s ON s.repo_url = c.repo_url AND s.file_path = c.file_path AND abs(c.start_line - s.start_line) < 10 AND contains(c.content, s.name)
       WHERE NOT c.is_function_signature AND NOT c.is_class_signature),
     own AS (SELECT repo_url, file_path, chunk_id, 4 AS level, 0 AS r1, 0 AS r2, 0 AS r3, 'File' AS label, 'file::' || file_path AS unique_id FROM sig)

@@ -121,8 +121,7 @@ TABLES: dict[str, str] = {
                  t.dir || '/doc_' || t.doc_id AS stem,
                  CASE WHEN f.ext = 'go' THEN regexp_extract(t.dir, '[^/]*$') ELSE 'doc_' || t.doc_id END AS import_name
           FROM lines l JOIN files f USING (repo_url, path)
-          JOIN docs t ON t.doc_id = (f.doc_id + 20 * (1 + l.i % 7)) % (SELECT count(*) FROM documents)
-          WHERE l.i % 5 = 2)""",
+          JOIN docs t ON t.doc_id = (f.doc_id + 20 * (1 + l.i % 7)) % (SELECT count(*) FROM documents))""",
     "endpoints": """
     SELECT page_id AS endpoint_id, 'https://git.example.org/src' || (page_id % 20) || '.git' AS repo_url,
            'src' || (page_id % 20) AS service_name,
@@ -135,7 +134,11 @@ TABLES: dict[str, str] = {
            'src' || (regexp_extract(p_brand, '[0-9]+')::INT % 20) AS service_name,
            'https://git.example.org/src' || (regexp_extract(p_brand, '[0-9]+')::INT % 20) || '.git' AS repo_url
     FROM part""",
-    "embedded_chunks": "SELECT c.*, e.embedding FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id WHERE c.n = 0",
+    "embedded_chunks": """
+    SELECT repo_url, service_name, path AS file_path, language, doc_id, is_documentation, 0 AS n, 1 AS start_line,
+           len(string_split(content, chr(10))) AS end_line, content, 'file::' || path || '_chunk_0' AS chunk_id,
+           'file::' || path AS parent_id, e.embedding
+    FROM files JOIN embeddings e ON e.vec_id = doc_id""",
     "messages": "SELECT conv_id AS chat_id, turn::BIGINT AS turn, role, text AS content FROM conversations",
     "chats": """
     SELECT chat_id AS id, chat_id % 10 AS user_id,

@@ -315,11 +315,11 @@ query("g13_sample_by_predicate", """
         H.first_rows(g.data_models.select(F.lit("models").alias("kind"), F.concat_ws("#", "name", "model_id").alias("item"), "name", "model_id"), ["kind", "item"], ["name", "model_id"], 10),
         H.first_rows(g.endpoints.select(F.lit("endpoints").alias("kind"), F.concat_ws("#", "path", "endpoint_id").alias("item"), "path", "endpoint_id"), ["kind", "item"], ["path", "endpoint_id"], 10)]))
 query("g14_key_uniqueness", """
-    SELECT 'files' AS "table", repo_url || '|' || path AS key, false AS has_null, count(*) AS n FROM files GROUP BY ALL HAVING count(*) > 1
-    UNION ALL SELECT 'functions', name, false, count(*) FROM functions GROUP BY ALL HAVING count(*) > 1
-    UNION ALL SELECT 'endpoints', name || '|' || repo_url, false, count(*) FROM endpoints GROUP BY ALL HAVING count(*) > 1
-    UNION ALL SELECT 'data_models', name || '|' || repo_url, false, count(*) FROM data_models GROUP BY ALL HAVING count(*) > 1
-    UNION ALL SELECT 'chats', coalesce(path, '<null>'), path IS NULL, count(*) FROM chats GROUP BY ALL HAVING count(*) > 1 OR path IS NULL""")(
+    SELECT 'files' AS "table", to_json([repo_url, path])::VARCHAR AS key, false AS has_null, count(*) AS n FROM files GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT 'functions', to_json([name])::VARCHAR, false, count(*) FROM functions GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT 'endpoints', to_json([name, repo_url])::VARCHAR, false, count(*) FROM endpoints GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT 'data_models', to_json([name, repo_url])::VARCHAR, false, count(*) FROM data_models GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT 'chats', to_json([path])::VARCHAR, path IS NULL, count(*) FROM chats GROUP BY ALL HAVING count(*) > 1 OR path IS NULL""")(
     lambda g: A.key_uniqueness({"files": (g.files, ["repo_url", "path"]), "functions": (g.functions, ["name"]),
                                 "endpoints": (g.endpoints, ["name", "repo_url"]), "data_models": (g.data_models, ["name", "repo_url"]),
                                 "chats": (g.chats, ["path"])}))

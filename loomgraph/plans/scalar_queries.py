@@ -222,8 +222,9 @@ query("c04_interface_names", """
     SELECT unique_id, name FROM classes WHERE contains(name, 'Interface') OR (starts_with(name, 'I') AND length(name) > 1)""")(
     lambda g: g.classes.filter(P.interface_name(F.col("name"))).select("unique_id", "name"))
 query("c05_skip_large_or_binary", """
-    SELECT path FROM files WHERE length(content) <= 1000000 AND instr(content, chr(0)) = 0""")(
-    lambda g: g.files.filter(P.small_text(F.col("content"))).select("path"))
+    SELECT path, CASE WHEN length(content) > 1000000 THEN 'large' WHEN instr(content, chr(0)) > 0 THEN 'binary' ELSE 'text' END AS size_class
+    FROM files""")(
+    lambda g: g.files.select("path", P.size_class(F.col("content")).alias("size_class")))
 query("c06_skip_empty_or_error", """
     SELECT path FROM files WHERE NOT (size % 11 = 0) AND regexp_replace(content, '\\s', '', 'g') <> ''""")(
     lambda g: g.files.filter(P.parsed_and_not_blank(F.col("content"), F.col("size") % 11 == 0)).select("path"))

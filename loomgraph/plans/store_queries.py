@@ -69,9 +69,18 @@ query("a14_chats_sample_export", "SELECT id, title, created_at FROM chats ORDER
 query("m01_chats_by_user", "SELECT id, title, created_at, payload_id FROM chats WHERE user_id = 4")(
     lambda g: M.chats_by_user(g.chats, 4).select("id", "title", "created_at", "payload_id"))
 query("m02_chat_by_id", """
-    SELECT req_id, id, title FROM (SELECT r.req_id, c.id, c.title, row_number() OVER (PARTITION BY r.req_id ORDER BY CASE WHEN c.id = r.req_id THEN 1 ELSE 2 END, c.id) AS rn
-      FROM (SELECT id * 2 AS req_id, user_id FROM chats) r JOIN chats c ON c.id = r.req_id OR (c.payload_id = r.req_id AND c.user_id = r.user_id)) WHERE rn = 1""")(
-    lambda g: M.chat_by_id(g.chats, g.chats.select((F.col("id") * 2).alias("req_id"), "user_id")).select("req_id", "id", "title"))
+    SELECT req_id, req_user, id, title FROM (SELECT r.req_id, r.user_id AS req_user, c.id, c.title,
+        row_number() OVER (PARTITION BY r.req_id, r.user_id ORDER BY CASE WHEN c.id = r.req_id THEN 1 ELSE 2 END, c.id) AS rn
+      FROM (SELECT id * 2 AS req_id, user_id FROM chats UNION SELECT id * 2, user_id + 1 FROM chats UNION SELECT payload_id, user_id FROM chats) r JOIN chats c ON c.id = r.req_id OR (c.payload_id = r.req_id AND c.user_id = r.user_id)) WHERE rn = 1""")(
+    lambda g: M.chat_by_id(g.chats, _chat_requests(g)).select("req_id", "req_user", "id", "title"))
+
+
+def _chat_requests(g):
+    """Every second id, asked for by two users, and every payload id."""
+    twice = g.chats.select((F.col("id") * 2).alias("req_id"), F.explode(F.array("user_id", F.col("user_id") + 1)).alias("user_id"))
+    return twice.union(g.chats.select("payload_id", "user_id"))
+
+
 register("new_chats", """
     SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN id ELSE id + 1000000 END AS id, 'New Chat' AS title) FROM chats""")
 

@@ -335,7 +335,6 @@ class Graph:
         )
         return (
             self.files.select("doc_id", "repo_url", "path", "ext", F.posexplode(F.split("content", "\n")).alias("i", "l"))
-            .filter(i % 5 == 2)
             .withColumn("target_doc", (F.col("doc_id") + 20 * (1 + i % 7)) % n_docs)
             .join(target, "target_doc")
             .select(
@@ -371,9 +370,14 @@ class Graph:
 
     @cached_property
     def embedded_chunks(self) -> DataFrame:
-        """First chunk of each document that has a vector."""
+        """One chunk with the whole text of each document that has a vector."""
         vectors = self.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-        return self.chunks.filter("n = 0").join(vectors, "doc_id")
+        file_id = D.file_parent_id(F.col("path"))
+        whole = self.files.select(
+            "doc_id", "repo_url", "service_name", F.col("path").alias("file_path"), "language", "is_documentation",
+            F.lit(0).cast("long").alias("n"), F.lit(1).alias("start_line"), F.size(F.split("content", "\n")).alias("end_line"),
+            "content", D.chunk_id(file_id, F.lit(0)).alias("chunk_id"), file_id.alias("parent_id"))
+        return whole.join(vectors, "doc_id")
 
     @cached_property
     def messages(self) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,17 +25,26 @@ def build_session(app: str = "loomgraph", cpus: str | None = None, shuffle: int
     return spark
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables, which all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only when the session names none
-    (tests on one machine) a scratch folder is made.
+    The one the cluster names in ``spark.checkpoint.dir``; without it a folder in the session's warehouse, which Spark
+    needs to be shared as well. Never a folder of one machine.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse:
+            raise RuntimeError("neither spark.checkpoint.dir nor spark.sql.warehouse.dir names a shared folder")
+        folder = f"{warehouse.rstrip('/')}/_loomgraph"
+    return folder.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage through a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomgraph-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

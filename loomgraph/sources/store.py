@@ -13,15 +13,17 @@ CHAT_PAYLOAD = ("id string, title string, createdAt string, userId string, path
 CHAT_ROW = f"{CHAT_PAYLOAD}, payload struct<{CHAT_PAYLOAD.replace(' string', ':string').replace('messages array', 'messages:array')}>"
 
 
-def upsert_nodes(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+def upsert_nodes(stored: DataFrame, incoming: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
     """Stored rows with incoming values laid over them. A null never overwrites, rows without a full key or value are skipped.
 
-    Of several incoming rows with one key, each column takes a non-null value of them (the greatest, to be deterministic).
+    Of several incoming rows with one key the last by ``order`` counts, as a whole; without an order, or at equal places,
+    the one with the greatest values. Order columns are not stored.
     """
-    values = [c for c in incoming.columns if c not in key]
+    values = [c for c in incoming.columns if c not in key and c not in (order or [])]
     filled = incoming.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in key)).filter(
         " OR ".join(f"`{c}` IS NOT NULL" for c in values))
-    fresh = filled.groupBy(*key).agg(*[F.max(c).alias(f"new_{c}") for c in values])
+    last = F.max(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order or [])], *values)).alias("last")
+    fresh = filled.groupBy(*key).agg(last).select(*key, *[F.col(f"last.{c}").alias(f"new_{c}") for c in values])
     joined = stored.join(fresh, key, "full_outer")
     return joined.select(*[
         F.coalesce(f"new_{c}", c).alias(c) if c in values else F.col(c) for c in stored.columns])

@@ -5,7 +5,6 @@ The window jobs take a streaming or a batch DataFrame, so a stream's result can
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,16 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.search import changed_repositories
+from loomgraph.session import shared_folder
 
 OPERATION = {"signup": "insert", "purchase": "update", "click": "update", "error": "delete", "view": "read"}
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared folder the cluster names; a scratch folder only where the session names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="loomgraph-")
+    """A new folder below the shared folder."""
+    return f"{shared_folder(spark)}/loomgraph-{uuid.uuid4().hex}"
 
 
 def change_feed(events: DataFrame) -> DataFrame:

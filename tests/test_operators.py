@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import chunking, containment, cross_service, embedding, imports, repair, search
+from loomgraph.operators import audit, chats, chunking, containment, cross_service, embedding, imports, repair, search
 from loomgraph.operators import edges as E
 from loomgraph.projection import ACTIVE_REPO, Graph
 from loomgraph.sources import scan, store
@@ -83,14 +83,55 @@ def test_secondary_repositories(spark):
 
 def test_text_mentions_match_brute_force(spark):
     rnd = random.Random(2)
-    words = ["".join(rnd.choice("ab") for _ in range(rnd.randint(3, 14))) for _ in range(120)]
-    texts = [(i, " ".join(rnd.choice(words) for _ in range(6))) for i in range(80)]
-    needles = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randint(8, 10))) for _ in range(60)} | {w for w in words if len(w) >= 8})
+    words = ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 14))) for _ in range(120)]
+    texts = [(i, rnd.choice([" ", "\n"]).join(rnd.choice(words) for _ in range(6))) for i in range(80)]
+    needles = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randint(1, 10))) for _ in range(60)} | set(words[:20])
+                     | {f"{rnd.choice(words)} {rnd.choice(words)[:2]}" for _ in range(40)} | {"c", "a\nb", "a  b"})
     got = cross_service.text_mentions(spark.createDataFrame(texts, "id int, text string"),
-                                      spark.createDataFrame([(n,) for n in needles], "needle string"), ["id"])
+                                      spark.createDataFrame([(n,) for n in [*needles, "", " "]], "needle string"), ["id"])
     assert as_set(got, "id", "needle") == {(i, n) for i, t in texts for n in needles if n in t}
 
 
+def test_calls_are_counted_once_per_endpoint(spark):
+    endpoints = spark.createDataFrame(
+        [(1, "ru", "users", "getUser", "/pay"), (2, "ru", "users", "get_all", "/all"), (3, "ru", "users", "getUser", "/x"), (4, "ro", "orders", "getUser", "/pay")],
+        "endpoint_id long, repo_url string, service_name string, name string, path string")
+    texts = [("f1", "http getUser /pay"), ("f2", "fetch get-all"), ("f3", "http of users with /pay"), ("f4", "getUser without client"), ("f5", "http getUser")]
+    functions = spark.createDataFrame([("rw", "web", u, t) for u, t in texts] + [("ro", "orders", "o1", "http getUser")],
+                                      "repo_url string, service_name string, unique_id string, text string")
+    calls = cross_service.may_call(functions, endpoints)
+    assert as_set(calls, "unique_id", "rule", "key", "n_endpoints") == {
+        ("f1", "name", "getUser", 3), ("f1", "path", "/pay", 2), ("f2", "name", "get_all", 1), ("f3", "service", "users", 3), ("f3", "path", "/pay", 2),
+        ("f5", "name", "getUser", 3), ("o1", "name", "getUser", 2)}
+    # web -> users: f1 sees 1 and 3, f2 sees 2, f3 sees all three, f5 sees 1 and 3.
+    assert as_set(cross_service.calls_service(calls, endpoints), "src", "dst", "n") == {("web", "users", 8), ("web", "orders", 3), ("orders", "users", 2)}
+
+
+def test_upsert_takes_one_incoming_row(spark):
+    stored = spark.createDataFrame([("a", "c", 1)], "path string, language string, size long")
+    incoming = spark.createDataFrame([("a", "go", 5, 2), ("a", "java", 2, 3), ("b", None, 7, 1)], "path string, language string, size long, at int")
+    assert as_set(store.upsert_nodes(stored, incoming, ["path"], ["at"]), "path", "language", "size") == {("a", "java", 2), ("b", None, 7)}
+    assert as_set(store.upsert_nodes(stored, incoming.drop("at"), ["path"]), "path", "language", "size") == {("a", "java", 2), ("b", None, 7)}
+
+
+def test_keys_with_separators_are_not_duplicates(spark):
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("x", "y"), ("x", "y"), ("n", None)], "p string, q string")
+    assert as_set(audit.key_uniqueness({"t": (rows, ["p", "q"])}), "table", "key", "has_null", "n") == {("t", '["x","y"]', False, 2), ("t", '["n",null]', True, 1)}
+
+
+def test_two_users_asking_one_id(spark):
+    store_ = spark.createDataFrame([(1, 7, 5), (2, 8, 5)], "id long, user_id long, payload_id long")
+    asked = spark.createDataFrame([(5, 7), (5, 8), (1, 8)], "req_id long, user_id long")
+    assert as_set(chats.chat_by_id(store_, asked), "req_id", "req_user", "id") == {(5, 7, 1), (5, 8, 2), (1, 8, 1)}
+
+
+def test_mentions_go_to_the_first_symbol(spark):
+    symbols = spark.createDataFrame([("r", "f", "Class", "cx", "Alpha", 1, 3), ("r", "f", "Function", "fx", "beta", 8, 9)],
+                                    "repo_url string, file_path string, label string, unique_id string, name string, start_line int, end_line int")
+    chunks = spark.createDataFrame([("r", "f", "k", 5, 6, "x beta and Alpha")], "repo_url string, file_path string, chunk_id string, start_line int, end_line int, content string")
+    assert as_set(containment.assign_chunks(chunks, symbols), "parent_id", "rule") == {("cx", "mention")}
+
+
 def test_parents_naming_symbols_match_brute_force(spark):
     rnd = random.Random(3)
     part = lambda: "".join(rnd.choice("ab/") for _ in range(rnd.randint(1, 4)))
@@ -180,8 +221,10 @@ def test_embedder_plug_in(spark):
         return [[1.0, 2.0]] * len(texts)
 
     got = embedding.embed_chunks(chunks, dim=2, model=model, batch=3)
-    assert as_set(got, "chunk_id") == {(f"c{i}",) for i in (0, 1, 2, 6, 7, 8)}
-    assert embedding.embed_chunks(chunks, dim=3, model=model, batch=3).count() == 0
+    assert as_set(got.filter("embedding IS NOT NULL"), "chunk_id") == {(f"c{i}",) for i in (0, 1, 2, 6, 7, 8)}
+    assert as_set(got.filter("embedding IS NULL"), "chunk_id", "embedding_error") == {(f"c{i}", "RuntimeError: down") for i in (3, 4, 5)}
+    other = embedding.embed_chunks(chunks, dim=3, model=model, batch=3)
+    assert other.count() == 9 and other.filter("embedding IS NULL AND embedding_error IS NOT NULL").count() == 9
     blank = embedding.embed_chunks(spark.createDataFrame([("c", "")], "chunk_id string, content string")).first()
     assert blank.embedding == [0.0] * embedding.DIM
 
