@@ -76,7 +76,7 @@ def vector_topk_many(candidates: DataFrame, questions: DataFrame, per_repo: bool
     """
     asked = questions.select("query_id", "embedding", "k").orderBy("query_id").toLocalIterator()
     slim = candidates.select("repo_url", "file_path", F.col("start_line").cast("int"), "chunk_id", "embedding")
-    parts, batch = [], []
+    parts, batch, max_k = [], [], 0
 
     def flush():
         if batch:
@@ -87,6 +87,7 @@ def vector_topk_many(candidates: DataFrame, questions: DataFrame, per_repo: bool
 
     for row in asked:
         batch.append(row)
+        max_k = max(max_k, row.k)
         if len(batch) == QUESTION_BATCH:
             flush()
     flush()
@@ -96,7 +97,8 @@ def vector_topk_many(candidates: DataFrame, questions: DataFrame, per_repo: bool
     w = Window.partitionBy(*scope).orderBy(F.desc("score"), "file_path", "start_line", "repo_url", "chunk_id")
     ks = questions.select("query_id", F.col("k").alias("max_k"))
     return (
-        union_all(parts).withColumn("rn", F.row_number().over(w)).join(ks, "query_id")
+        # The largest k as a literal is a limit Spark applies in every task before the shuffle; each question's own k follows.
+        union_all(parts).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max_k).join(ks, "query_id")
         .filter(F.col("rn") <= F.col("max_k")).drop("max_k")
     )
 
@@ -184,13 +186,42 @@ def project_structure(chunks: DataFrame, files: DataFrame, words: list[str] | No
                       shape(worded, 1.0)]).distinct()
 
 
+def readme_hits(asked: DataFrame, candidates: DataFrame, files: DataFrame, active_repo: str) -> DataFrame:
+    """For questions about the structure of a repository: its README and documentation chunks at a fixed high score.
+
+    asked: query_id, question, k. The questions are those of one time and become one array; per repository the first
+    k rows leave a task (five of a connected repository).
+    """
+    wanting = asked.filter(D.wants_readme_first(F.col("question"))).agg(F.collect_list(F.struct("query_id", "k"))).scalar()
+    docs = files.filter(F.col("path").contains("README") | F.col("is_documentation")).select("repo_url", F.col("path").alias("file_path"))
+    most = max(K.K_HIGH_LEVEL, K.K_NORMAL)
+    w = Window.partitionBy("repo_url").orderBy("file_path", "start_line", "chunk_id")
+    first = candidates.filter("embedding IS NOT NULL").join(docs, ["repo_url", "file_path"], "left_semi").select(
+        "repo_url", "file_path", F.col("start_line").cast("int").alias("start_line"), "chunk_id").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most)
+    limit = F.when(F.col("repo_url") == active_repo, F.col("k")).otherwise(K.K_SECONDARY)
+    return first.select("*", F.inline(wanting)).filter(F.col("rn") <= limit).select(
+        "query_id", "repo_url", "file_path", "start_line", "chunk_id", F.lit(K.README_FIXED_SCORE).alias("score"), "rn")
+
+
+def services_shortcut(questions: DataFrame, service_topic: DataFrame) -> DataFrame:
+    """(query_id, rows): the topical rows for every question that mentions services, where there are at least two of them.
+
+    The topical rows are one top-k result, the same for all questions: one small array.
+    """
+    topic_rows = service_topic.agg(F.array_sort(F.collect_list(F.struct(
+        "repo_url", "chunk_id", F.col("path").alias("source"), "start_line", "text"))).alias("rows")).scalar()
+    return questions.filter(D.contains_any(F.lower("question"), ["services"])).select(
+        "query_id", topic_rows.alias("rows")).filter(F.size("rows") >= 2)
+
+
 def retrieve_context(questions: DataFrame, candidates: DataFrame, chunks: DataFrame, files: DataFrame,
                      connected: DataFrame, active_repo: str, service_topic: DataFrame) -> DataFrame:
     """Ranked context for each question (query_id, question, embedding).
 
     Questions that mention services get the topical rows (``service_topic``) when there are at least two of them. The
     others get the boosted vector hits of the active repository and, when those are fewer than three, up to five of each
-    connected repository at a lower score. README hits count more for high-level questions.
+    connected repository at a lower score. A question about structure takes the README and documentation chunks of a
+    repository that has any instead of its vector hits. README hits count more for high-level questions.
     """
     q = F.col("question")
     asked = questions.select("query_id", "question", D.is_high_level(q).alias("is_high_level"), "embedding",
@@ -202,17 +233,17 @@ def retrieve_context(questions: DataFrame, candidates: DataFrame, chunks: DataFr
     hits = vector_topk_many(in_scope, asked, per_repo=True)
     is_active = F.col("repo_url") == active_repo
     limited = hits.filter(is_active | (F.col("rn") <= K.K_SECONDARY))
-    ranked = boost_hits(limited, files, ["query_id", "repo_url"])
+    readme = readme_hits(asked, in_scope, files, active_repo)
+    boosted = boost_hits(limited, files, ["query_id", "repo_url"]).join(
+        readme.select("query_id", "repo_url").distinct(), ["query_id", "repo_url"], "left_anti")
+    ranked = union_all([t.select("query_id", "repo_url", "file_path", "start_line", "chunk_id", "score") for t in (boosted, readme)])
     # A window, not a second branch: the scan behind the hits runs once.
     n_primary = F.count_if(is_active).over(Window.partitionBy("query_id"))
-    flags = asked.select("query_id", "is_high_level", D.contains_any(F.lower(q), ["services"]).alias("asks_services"))
-    # The topical rows are one top-k result, the same for every question that takes the shortcut: one small array.
-    topic_rows = service_topic.agg(F.array_sort(F.collect_list(F.struct(
-        "repo_url", "chunk_id", F.col("path").alias("source"), "start_line", "text"))).alias("rows")).scalar()
-    shortcut = F.col("asks_services") & (F.size(topic_rows) >= 2)
+    short = services_shortcut(questions, service_topic)
+    flags = asked.select("query_id", "is_high_level").join(short.select("query_id"), "query_id", "left_anti")
     searched = (
         ranked.withColumn("n_primary", n_primary).join(flags, "query_id")
-        .filter(~shortcut & (is_active | (F.col("n_primary") < K.MIN_PRIMARY_HITS)))
+        .filter(is_active | (F.col("n_primary") < K.MIN_PRIMARY_HITS))
         .withColumn("secondary_repo", ~is_active)
         .withColumn("score", F.round(
             F.col("score")
@@ -223,7 +254,7 @@ def retrieve_context(questions: DataFrame, candidates: DataFrame, chunks: DataFr
     vector_rows = attach_text(searched, chunks).select(
         "query_id", "repo_url", "chunk_id", F.col("file_path").alias("source"), "start_line", "score", "secondary_repo",
         "text")
-    topical = flags.filter(shortcut).select("query_id", F.inline(topic_rows)).select(
+    topical = short.select("query_id", F.inline("rows")).select(
         "query_id", "repo_url", "chunk_id", "source", "start_line", F.lit(1.0).alias("score"),
         F.lit(False).alias("secondary_repo"), "text")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "source", "start_line", "repo_url", "chunk_id")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loomgraph import constants as K
 from loomgraph.constants import TOPIC_WORDS as _TW
 from loomgraph.functions import derive as D
 from loomgraph.operators import rollups as R
@@ -45,8 +46,8 @@ register("top_one", """
     SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, file_path, start_line, repo_url, chunk_id) AS rn FROM scored WHERE query_id = 'q0') WHERE rn <= 10""")
 HIT = "query_id, repo_url, file_path, start_line, chunk_id, score, rn"
 
-query("h01_vector_topk", "SELECT t.query_id, t.repo_url, t.file_path AS path, t.start_line, t.score, c.content AS text FROM top_one t JOIN chunks c USING (repo_url, chunk_id)")(
-    lambda g: H.attach_text(H.vector_topk(g.embedded_chunks, one_question(g, 10)), g.chunks).select(
+query("h01_vector_topk", "SELECT t.query_id, t.repo_url, t.file_path AS path, t.start_line, t.score, c.content AS text FROM top_one t JOIN embedded_chunks c USING (repo_url, chunk_id)")(
+    lambda g: H.attach_text(H.vector_topk(g.embedded_chunks, one_question(g, 10)), g.embedded_chunks).select(
         "query_id", "repo_url", F.col("file_path").alias("path"), "start_line", "score", "text"))
 query("h01_vector_topk_in_repo", f"""
     SELECT {HIT} FROM (SELECT *, row_number() OVER (ORDER BY score DESC, file_path, start_line, repo_url, chunk_id) AS rn FROM scored
@@ -79,17 +80,25 @@ register("context_hits", f"""
       SELECT s.query_id, s.repo_url, s.chunk_id, s.file_path, s.start_line, round({doc_boost_sql('file_path', 'is_documentation', 'score')}, 6) AS boosted, high
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id, repo_url ORDER BY score DESC, file_path, start_line, chunk_id) AS rn FROM scored) s
       JOIN asked_now a USING (query_id)
-      WHERE rn <= CASE WHEN repo_url = '{ACTIVE_REPO}' THEN CASE WHEN high THEN 20 ELSE 10 END ELSE 5 END
-        AND (repo_url = '{ACTIVE_REPO}' OR repo_url IN (SELECT repo_url FROM connected))) WHERE boosted > 0.4""")
+      WHERE NOT EXISTS (SELECT 1 FROM readme_hits r WHERE r.query_id = s.query_id AND r.repo_url = s.repo_url) AND rn <= CASE WHEN repo_url = '{ACTIVE_REPO}' THEN CASE WHEN high THEN 20 ELSE 10 END ELSE 5 END
+        AND (repo_url = '{ACTIVE_REPO}' OR repo_url IN (SELECT repo_url FROM connected))
+      UNION ALL SELECT query_id, repo_url, chunk_id, file_path, start_line, 0.95, high FROM readme_hits) WHERE boosted > 0.4""")
+register("readme_hits", f"""
+    SELECT query_id, repo_url, chunk_id, file_path, start_line, high FROM (
+      SELECT a.query_id, a.high, e.repo_url, e.chunk_id, e.file_path, e.start_line, row_number() OVER (PARTITION BY a.query_id, e.repo_url ORDER BY e.file_path, e.start_line, e.chunk_id) AS rn
+      FROM asked_now a JOIN embedded_chunks e ON a.readme
+      WHERE (e.is_documentation OR contains(e.file_path, 'README')) AND (e.repo_url = '{ACTIVE_REPO}' OR e.repo_url IN (SELECT repo_url FROM connected)))
+    WHERE rn <= CASE WHEN repo_url = '{ACTIVE_REPO}' THEN CASE WHEN high THEN 20 ELSE 10 END ELSE 5 END""")
 register("asked_now", """
     SELECT query_id, contains(lower(question), 'services') AS svc, contains(lower(question), 'overview') OR contains(lower(question), 'about')
-           OR contains(lower(question), 'what is') OR contains(lower(question), 'services') AS high FROM questions""")
+           OR contains(lower(question), 'what is') OR contains(lower(question), 'services') AS high,
+           """ + contains_any_sql("lower(question)", K.README_FIRST_TERMS) + " AS readme FROM questions")
 query("h05_retrieve_context", f"""
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, start_line, repo_url, chunk_id) AS rn FROM (
       SELECT h.query_id, h.repo_url, h.chunk_id, h.file_path AS source, h.start_line, round(h.boosted
              * CASE WHEN h.high AND (contains(h.file_path, 'README') OR contains(h.file_path, 'readme')) THEN 1.5 ELSE 1.0 END::DOUBLE
              * CASE WHEN h.repo_url = '{ACTIVE_REPO}' THEN 1.0 ELSE 0.8 END::DOUBLE, 6) AS score, h.repo_url <> '{ACTIVE_REPO}' AS secondary_repo, c.content AS text
-      FROM context_hits h JOIN asked_now a USING (query_id) JOIN chunks c ON c.repo_url = h.repo_url AND c.chunk_id = h.chunk_id
+      FROM context_hits h JOIN asked_now a USING (query_id) JOIN embedded_chunks c ON c.repo_url = h.repo_url AND c.chunk_id = h.chunk_id
       WHERE NOT (a.svc AND (SELECT count(*) FROM service_topic) >= 2) AND (h.repo_url = '{ACTIVE_REPO}' OR h.n_primary < 3)
       UNION ALL
       SELECT a.query_id, t.repo_url, t.chunk_id, t.path, t.start_line, 1.0, false, t.text FROM asked_now a JOIN service_topic t ON true
@@ -102,15 +111,15 @@ def service_topic(g):
 
 
 def context(g):
-    return H.retrieve_context(questions(g), g.embedded_chunks, g.chunks, g.files,
+    return H.retrieve_context(questions(g), g.embedded_chunks, g.embedded_chunks, g.files,
                               connected(g).select(F.col("url").alias("repo_url")), ACTIVE_REPO, service_topic(g))
 
 
 query("h06_services_shortcut", """
     SELECT a.query_id, t.repo_url, t.chunk_id, t.path AS source, 1.0 AS score FROM asked_now a JOIN service_topic t ON true
     WHERE a.svc AND (SELECT count(*) FROM service_topic) >= 2""")(
-    lambda g: context(g).join(questions(g).filter(F.col("question").contains("services")), "query_id", "left_semi").select(
-        "query_id", "repo_url", "chunk_id", "source", "score"))
+    lambda g: H.services_shortcut(questions(g), service_topic(g)).select("query_id", F.inline("rows")).select(
+        "query_id", "repo_url", "chunk_id", "source", F.lit(1.0).alias("score")))
 
 
 def _topic_sql(where: str, topic: str, repo: str = "") -> str:
