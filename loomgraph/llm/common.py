@@ -152,3 +152,20 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, step
 
 def as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Sorted batches cut so that the rows of a key stay together."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+        if not len(t):
+            continue
+        k = t.column(key).to_numpy()
+        cut = int(np.searchsorted(k, k[-1], "left"))
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+        rest = t.slice(cut)
+    if rest is not None and len(rest):
+        yield rest.combine_chunks()

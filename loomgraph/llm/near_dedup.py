@@ -2,24 +2,26 @@
 
 Documents with equal shingle sets are one class; only one document of each goes on. A band bucket is never expanded into all
 its pairs at first: its members are compared with its smallest one, what is linked becomes one component, and only members of
-different components are compared with each other. Within a component further links change nothing.
+different components are compared with each other, in blocks within a task that returns only pairs that join two components.
+Within a component further links change nothing.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import as_signed, mix, row_blocks, stored, utf8_rows, word_hashes
+from loomgraph.llm.common import as_signed, mix, row_blocks, stored, utf8_rows, whole_groups, word_hashes
 
 #: Words of a shingle; similarity in hundredths; rows of a band, bands (a pair at 0.75 shares no band with probability 3e-7);
-#: hashes of a batch; probability with which a true pair may be pruned at a batch.
-WORDS, PERCENT, ROWS, BANDS, BATCH, MISS = 5, 75, 4, 40, 32, 1e-7
+#: hashes of a batch; probability with which a true pair may be pruned at a batch; classes of a bucket in one task.
+WORDS, PERCENT, ROWS, BANDS, BATCH, MISS, GROUP = 5, 75, 4, 40, 32, 1e-7, 2048
 HASHES = ROWS * BANDS
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -98,9 +100,10 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             key = np.full(len(batch), k + 1, np.uint64)
             for j in range(ROWS):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, k * ROWS + j])
-            yield pa.RecordBatch.from_arrays([pa.array(as_signed(key)), batch.column("cls")], ["bucket", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(as_signed(key)), pa.array(np.full(len(batch), k), pa.int32()), batch.column("cls")], ["bucket", "band", "cls"])
 
 
+@lru_cache
 def least_matches(n: int, miss: float = MISS) -> int:
     """The fewest matches in n hashes at which P(similarity >= threshold), under an even prior, is not below ``miss``.
 
@@ -137,8 +140,79 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in row_blocks(offsets):
             owner, found = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             at = np.searchsorted(owner, np.arange(b - a + 1))
-            values = [found[at[i] : at[i + 1]].tobytes() for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([batch.column("cls").slice(a, b - a), pa.array(values, pa.binary())], ["cls", "members"])
+            values = [found[at[i] : at[i + 1]] for i in range(b - a)]
+            brief = [np.unique((v >> np.uint64(32)).astype(np.uint32)).tobytes() for v in values]
+            columns = [batch.column("cls").slice(a, b - a), pa.array([v.tobytes() for v in values], pa.binary()), pa.array(brief, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["cls", "members", "brief"])
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Likely links between the components of a bucket: as many as join them, not all.
+
+    Two batches of hashes prune pairs by the bound; pairs of one component, pairs whose sizes exclude a link and pairs that an
+    earlier band has in one bucket are left out. Survivors, most alike first, are held against the upper halves of their
+    shingle hashes, which can only make sets look more alike; linked components are one from then on.
+    """
+    early = 2 * BATCH // ROWS
+    for t in whole_groups(batches, "work"):
+        work, cls, root, n, band, part = (t.column(c).to_numpy() for c in ("work", "cls", "root", "n", "band", "part"))
+        both = t.column("both").to_numpy(zero_copy_only=False)
+        column = lambda c: pa.concat_arrays(t.column(c).chunks)  # noqa: B023, E731
+        signature = np.concatenate([_matrix(column(p), np.uint32, BATCH) for p in PARTS[:2]], 1)
+        briefs = column("brief")
+        found: list[tuple[int, int]] = []
+        cuts = [*np.flatnonzero(np.diff(work, prepend=work[0] - 1)), len(work)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            s, r, size, p = signature[lo:hi], root[lo:hi], n[lo:hi], part[lo:hi]
+            sets = [np.frombuffer(briefs[k].as_buffer(), np.uint32) for k in range(lo, hi)]
+            merged: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while x in merged:  # noqa: B023
+                    x = merged[x]  # noqa: B023
+                return x
+
+            for a in range(0, hi - lo, 256):
+                rows = slice(a, min(a + 256, hi - lo))
+                fine = (r[rows, None] != r[None, a:]) & (100 * np.minimum(size[rows, None], size[None, a:]) >= PERCENT * np.maximum(size[rows, None], size[None, a:]))
+                fine &= both[lo] | (p[rows, None] != p[None, a:])
+                fine &= np.arange(rows.start, rows.stop)[:, None] < np.arange(a, hi - lo)[None, :]
+                same = np.zeros(fine.shape, np.uint8)
+                for k in range(BATCH):
+                    same += s[rows, k][:, None] == s[None, a:, k]
+                i, j = np.nonzero(fine & (same >= least_matches(BATCH)))
+                i, j = i + a, j + a
+                if not len(i):
+                    continue
+                equal = s[i] == s[j]
+                first = equal.reshape(len(i), early, ROWS).all(2)[:, : min(int(band[lo]), early)].any(1)
+                total = equal.sum(1)
+                alive = np.flatnonzero(~first & (total >= least_matches(2 * BATCH)))
+                for k in alive[np.argsort(-total[alive], kind="stable")]:
+                    x, y = int(i[k]), int(j[k])
+                    u, v = find(int(r[x])), find(int(r[y]))
+                    if u == v:
+                        continue
+                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True)) + int(size[x]) - len(sets[x])
+                    if 100 * shared >= PERCENT * (int(size[x]) + int(size[y]) - shared):
+                        merged[max(u, v)] = min(u, v)
+                        found.append((int(cls[lo + x]), int(cls[lo + y])))
+        x, y = (np.array([f[k] for f in found], np.int64) for k in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+
+
+def bucket_links(rest: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (x, y) that join the components of each bucket of ``rest`` (bucket, band, cls, root, n).
+
+    A bucket is worked on in blocks of about ``GROUP`` classes, every two blocks together, so no task holds more.
+    """
+    sized = rest.join(rest.groupBy("bucket").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")), "bucket")
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    work = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
+    # A block with itself is work of its own; with another one, both are there and only pairs across count.
+    keyed = dealt.select("cls", "root", "n", "band", "part", work.alias("work"), (F.col("part") == F.col("other")).alias("both"))
+    full = keyed.join(signatures.select("cls", *PARTS[:2]), "cls").join(sets.select("cls", "brief"), "cls")
+    return full.repartition("work").sortWithinPartitions("work").mapInArrow(_bucket_links, "x long, y long").distinct()
 
 
 def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +236,12 @@ def confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataF
     others = PARTS[1:]
     both = stored(first).join(side("x", others), "x").join(side("y", others), "y")
     alive = both.mapInArrow(_prune(others, BATCH), "x long, y long, same long").select("x", "y")
-    full = alive.join(sets.select(F.col("cls").alias("x"), F.col("members").alias("xs")), "x").join(sets.select(F.col("cls").alias("y"), F.col("members").alias("ys")), "y")
+    return exact(alive, sets)
+
+
+def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose full sets are alike enough."""
+    full = pairs.join(sets.select(F.col("cls").alias("x"), F.col("members").alias("xs")), "x").join(sets.select(F.col("cls").alias("y"), F.col("members").alias("ys")), "y")
     return full.mapInArrow(_confirm_batches, "x long, y long")
 
 
@@ -198,25 +277,22 @@ def link(documents: DataFrame) -> DataFrame:
     named = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = stored(named.groupBy("n", "one", "two").agg(F.min(F.struct("doc_id", *PARTS)).alias("r")).select("n", "one", "two", F.col("r.doc_id").alias("cls"), *[f"r.{p}" for p in PARTS]))
     member = named.select("doc_id", "n", "one", "two").join(classes.select("n", "one", "two", "cls"), ["n", "one", "two"]).select("doc_id", "cls")
-    buckets = classes.select("cls", *PARTS).mapInArrow(_band_batches, "bucket long, cls long")
+    buckets = classes.select("cls", *PARTS).mapInArrow(_band_batches, "bucket long, band int, cls long")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("k"), F.min("cls").alias("leader")).filter("k > 1")
     held = stored(buckets.join(shared.select("bucket", "leader"), "bucket"))
     involved = held.select("cls").distinct()
     # A class is compared by all texts of its smallest document; with one text per doc_id that is its own set.
     source = documents.select(F.col("doc_id").cast("long").alias("cls"), F.col("text").cast("string").alias("text")).join(involved, "cls")
-    sets = stored(source.mapInArrow(_set_batches, "cls long, members binary"))
+    sets = stored(source.mapInArrow(_set_batches, "cls long, members binary, brief binary"))
     stars = held.filter("cls <> leader").select(F.col("leader").alias("x"), F.col("cls").alias("y")).distinct()
     tried = stored(stars)
     twins = member.groupBy("doc_id").agg(F.collect_set("cls").alias("c")).filter("size(c) > 1").select(F.array_min("c").alias("x"), F.explode("c").alias("y"))
     links = stored(confirmed(tried, classes, sets).union(twins))
     joined = components(links)
-    named_root = held.select("bucket", "cls").join(joined, "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
+    named_root = held.select("bucket", "band", "cls").join(joined, "cls", "left").select("bucket", "band", "cls", F.coalesce("root", "cls").alias("root"))
     open_ = named_root.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
     rest = stored(named_root.join(open_, "bucket").join(classes.select("cls", "n"), "cls"))
-    right = rest.select("bucket", F.col("cls").alias("y"), F.col("root").alias("yr"), F.col("n").alias("yn"))
-    near = (100 * F.least("n", "yn") >= PERCENT * F.greatest("n", "yn")) & (F.col("cls") < F.col("y")) & (F.col("root") != F.col("yr"))
-    cross = rest.join(right, "bucket").filter(near).select(F.col("cls").alias("x"), "y").distinct().join(tried, ["x", "y"], "left_anti")
-    more = stored(confirmed(cross, classes, sets))
+    more = stored(exact(bucket_links(rest, classes, sets), sets))
     final = components(links.union(more)) if more.head(1) else joined
     of_doc = member.join(final, "cls", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "cls")).alias("component_id"), F.min("cls").alias("class_id")).withColumnRenamed("doc_id", "_d")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(of_doc, F.col("doc_id") == F.col("_d"), "left")

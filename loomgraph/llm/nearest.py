@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored
+from loomgraph.llm.common import stored, whole_groups
 
 #: Neighbours of a node in the graph; of a node when neighbours meet (both directions of edges); random trees; rows of a block;
 #: rounds of refinement; rounds of a search; nodes a query expands in a round; nodes it remembers.
@@ -114,26 +114,9 @@ def _block_edges(block: int, degree: int) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Sorted batches cut so that the rows of a key stay together."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
-        if not len(t):
-            continue
-        k = t.column(key).to_numpy()
-        cut = int(np.searchsorted(k, k[-1], "left"))
-        if cut:
-            yield t.slice(0, cut).combine_chunks()
-        rest = t.slice(cut)
-    if rest is not None and len(rest):
-        yield rest.combine_chunks()
-
-
 def _best_edges(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, "src"):
+        for t in whole_groups(batches, "src"):
             src, dst, sim, fresh = (t.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst", "sim", "fresh"))
             order = np.lexsort((fresh, dst, src))  # of equal edges the one that was known stays
             src, dst, sim, fresh = src[order], dst[order], sim[order], fresh[order]
@@ -159,7 +142,7 @@ def both_ways(edges: DataFrame, k: int) -> DataFrame:
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of neighbours of a hub of which one is new to it, where the second beats the worst neighbour of the first."""
-    for t in _groups(batches, "src"):
+    for t in whole_groups(batches, "src"):
         hub, node, fresh, worst = (t.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst", "fresh", "worst"))
         x = _halves(t.column("half").combine_chunks() if not isinstance(t.column("half"), pa.ChunkedArray) else pa.concat_arrays(t.column("half").chunks))
         cuts = [*np.flatnonzero(np.diff(hub, prepend=hub[0] - 1)), len(hub)]

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from loomgraph.llm import near_dedup
 
 LETTERS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -48,7 +50,9 @@ def corpus(seed, bases=6, copies=25):
     return list(enumerate(docs))
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("group", [2048, 7])
+def test_matches_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(near_dedup, "GROUP", group)
     for seed in (1, 2):
         docs = corpus(seed)
         frame = spark.createDataFrame([(i, t, 5, "x") for i, t in docs], "doc_id long, text string, n int, cls string")
