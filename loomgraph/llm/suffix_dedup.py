@@ -6,8 +6,8 @@ mostly share one, so a run of neighbours travels as one record. The passes are
 
 1. by minimiser: runs whose minimiser occurs once hold no repeated window and leave (most of a corpus);
 2. by the whole span of a run: equal spans mean that all their windows are repeated, and only one run of each stays;
-3. by cell, for the runs that are left: nearly all bytes of STRIDE neighbouring windows;
-4. by window, for the cells that occur again: where a repeated passage begins or ends.
+3. by cell, for the runs that are left: the bytes that STRIDE neighbouring windows share, then their whole span as in 2;
+4. by window, for the cells that occur again in another span: where a repeated passage begins or ends.
 
 Every window is in exactly one run, so no repetition is missed; keys are 128 bits of hash. Counts are added up before they are
 shuffled, and joins back to runs are plain equi joins that adaptive execution may split.
@@ -105,12 +105,12 @@ def _ranges(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum()), owner
 
 
-CELL = "doc_id long, twin long, gram long, key long, first long, count int, alone boolean"
+CELL = "doc_id long, twin long, gram long, key long, span long, first long, count int, alone boolean, sure boolean"
 
 
-def _batch(batch: pa.RecordBatch, i: int, gram: np.ndarray, key: np.ndarray, first: np.ndarray, count: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
+def _batch(batch: pa.RecordBatch, i: int, gram: np.ndarray, key: np.ndarray, span: np.ndarray, first: np.ndarray, count: np.ndarray, alone: np.ndarray, sure: bool = False) -> pa.RecordBatch:
     rows = pa.array(np.full(len(first), i))
-    columns = [batch.column("doc_id").take(rows), batch.column("twin").take(rows), pa.array(gram, pa.int64()), pa.array(as_signed(key)), pa.array(first, pa.int64()), pa.array(count, pa.int32()), pa.array(alone, pa.bool_())]
+    columns = [batch.column("doc_id").take(rows), batch.column("twin").take(rows), pa.array(gram, pa.int64()), pa.array(as_signed(key)), pa.array(as_signed(span)), pa.array(first, pa.int64()), pa.array(count, pa.int32()), pa.array(alone, pa.bool_()), pa.array(np.full(len(first), sure))]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CELL.split(", ")])
 
 
@@ -119,7 +119,8 @@ def _cells(width: int, gram: int, stride: int) -> Callable[[Iterator[pa.RecordBa
 
     A cell is width - stride + 1 bytes long and begins a multiple of ``stride`` bytes before or behind the first minimiser of the
     windows. Every window holds the cell that begins in its first ``stride`` bytes, so equal windows have an equal cell. Runs
-    that loop have no single minimiser and give a cell for each byte.
+    that loop have no single minimiser and give a cell for each byte in which one of their different windows can have it;
+    windows that such a run repeats itself are ``sure``: they come as ranges that need no further pass.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,13 +136,30 @@ def _cells(width: int, gram: int, stride: int) -> Callable[[Iterator[pa.RecordBa
                     at, owner = _ranges(begin, n + width - gram)
                     place = np.where(grams[at] == value[owner], at, len(piece))
                     anchor = np.minimum.reduceat(place, np.concatenate([[0], np.cumsum(n + width - gram)[:-1]]))
+                    wanted = np.zeros(len(piece) + stride, bool)
+                    if loops[group].any():
+                        loop = np.flatnonzero(loops[group])
+                        at, owner = _ranges(begin[loop], n[loop])
+                        key = mix((sums[at + width] - sums[at]) * down[at] + loop[owner].astype(np.uint64))
+                        _, one, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                        for k in range(stride):
+                            wanted[at[one] + k] = True
+                        sure = (times[back] > 1) & alone[group][loop][owner]
+                        if sure.any():
+                            at, owner = at[sure], owner[sure]
+                            head = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(owner) != 0)]))
+                            count = np.diff(head, append=len(at))
+                            of = loop[owner[head]]
+                            nothing = np.zeros(len(head), np.uint64)
+                            yield _batch(batch, i, value[of], nothing, nothing, at[head] + start, count, alone[group][of], True)
                     at, owner = _ranges(begin, n + stride - 1)
-                    chosen = loops[group][owner] | ((at - anchor[owner]) % stride == 0)
+                    chosen = np.where(loops[group][owner], wanted[at], (at - anchor[owner]) % stride == 0)
                     at, owner = at[chosen], owner[chosen]
                     size = width - stride + 1
                     key = mix((sums[at + size] - sums[at]) * down[at] + np.uint64(size))
                     low, high = np.maximum(at - stride + 1, begin[owner]), np.minimum(at, begin[owner] + n[owner] - 1)
-                    yield _batch(batch, i, value[owner], key, low + start, high - low + 1, alone[group][owner])
+                    span = mix((sums[high + width] - sums[low]) * down[low] + mix((high - low).astype(np.uint64)))
+                    yield _batch(batch, i, value[owner], key, span, low + start, high - low + 1, alone[group][owner])
 
     return run
 
@@ -166,7 +184,7 @@ def _windows(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                         continue
                     done = int(at[-1]) + start
                     key = mix((sums[at + width] - sums[at]) * down[at] + np.uint64(width))
-                    yield _batch(batch, i, least[group][owner], key, at + start, np.ones(len(at)), alone[group][owner])
+                    yield _batch(batch, i, least[group][owner], key, key, at + start, np.ones(len(at)), alone[group][owner])
 
     return run
 
@@ -199,12 +217,17 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("twin") == F.col("_t"))
     texts = stored(rows.join(listed, same).select("doc_id", "twin", "text", "runs"))
     cells = stored(texts.mapInArrow(_cells(width, gram, min(STRIDE, width - gram)), CELL))
-    near = cells.join(_twice(cells), ["gram", "key"])
+    open_cells = cells.filter("NOT sure")
+    of_span = stored(open_cells.groupBy("gram", "key", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "twin", "first", "count", "alone")).alias("r")))
+    mixed = of_span.groupBy("gram", "key").agg(F.count("*").alias("k"), F.sum((F.col("n") == 1).cast("int")).alias("singles")).filter("k > 1 and singles > 0").select("gram", "key")
+    near = of_span.join(mixed, ["gram", "key"]).select("gram", "r.doc_id", "r.twin", "r.first", "r.count", (F.col("r.alone") & (F.col("n") == 1)).alias("alone"))
     ranges = near.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("first", "count", "gram", "alone")).alias("ranges")).withColumnsRenamed({"doc_id": "_d", "twin": "_t"})
+    same_span = open_cells.filter("alone").join(of_span.filter("n > 1").select("gram", "key", "span"), ["gram", "key", "span"])
     windows = stored(texts.select("doc_id", "twin", "text").join(ranges, same).select("doc_id", "twin", "text", "ranges").mapInArrow(_windows(width), CELL))
+    repeated = cells.filter("sure").select("doc_id", "twin", "first", "count").union(same_span.select("doc_id", "twin", "first", "count")).select("doc_id", "twin", "first", (F.col("first") + F.col("count") - 1 + width).alias("past"))
     partly = windows.filter("alone").join(_twice(windows), ["gram", "key"]).select("doc_id", "twin", "first", (F.col("first") + width).alias("past"))
     whole = left.join(spans.filter("n > 1").select("gram", "span"), ["gram", "span"])
-    return whole.select("doc_id", "twin", "first", (F.col("first") + F.col("windows") - 1 + width).alias("past")).union(partly)
+    return whole.select("doc_id", "twin", "first", (F.col("first") + F.col("windows") - 1 + width).alias("past")).union(partly).union(repeated)
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
