@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,10 +37,39 @@ DECLARATIONS = {
 DECLARATIONS["typescript"] = DECLARATIONS["javascript"]
 
 
-def _ends_by_indent(indent: np.ndarray, starts: np.ndarray) -> list[int]:
-    """Last line of the block each start opens: before the next filled line that is not indented deeper."""
-    n = len(indent)
-    nxt, stack = np.full(n, n), []
+# What is no code: comments and literals, some of them over several lines. The longer quotes come first.
+_QUOTED = r""" "(?:\\.|[^"\\\n])*" | '(?:\\.|[^'\\\n])*' """
+_LONG = r""" "{3}.*?(?:"{3}|\Z) """
+_NO_CODE = {
+    "python": re.compile(rf""" \#[^\n]* | {_LONG} | '{{3}}.*?(?:'{{3}}|\Z) | {_QUOTED} """, re.S | re.X),
+    "brace": re.compile(rf""" //[^\n]* | /\*.*?(?:\*/|\Z) | {_LONG} | {_QUOTED} | `(?:\\.|[^`\\])*` """, re.S | re.X),
+}
+_MARK = re.compile(r"[{}()\[\];]")
+_ARROW = re.compile(r"=>\s*(?=\S)")
+
+
+def _blank(text: str, language: str) -> str:
+    """The text with comments and literals as spaces; line ends stay, and a literal stays one quote wide at its ends."""
+    kind = "python" if language == "python" else "brace"
+    return _NO_CODE[kind].sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] in "#/" else '"' + re.sub(r"[^\n]", " ", m[0][1:-1]) + '"', text)
+
+
+def _ends_by_indent(text: str, starts: list[int]) -> list[int]:
+    """Last line of the block each start opens: before the next filled line that is not indented deeper.
+
+    Lines that continue brackets or a literal belong to the line before them, whatever their indentation.
+    """
+    bare = _blank(text, "python")
+    lines, at, depth, indent = bare.split("\n"), 0, 0, []
+    inside = np.zeros(len(bare) + 1, bool)
+    for m in _NO_CODE["python"].finditer(text):
+        inside[m.start() + 1:m.end()] = True
+    for line in lines:
+        # -2: continues the line before; -1: blank or a comment.
+        indent.append(-2 if depth > 0 or inside[at] else -1 if not line.strip() else len(line) - len(line.lstrip()))
+        depth = max(0, depth + sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}"))
+        at += len(line) + 1
+    nxt, stack = [len(lines)] * len(lines), []
     for i, d in enumerate(indent):
         if d < 0:
             continue
@@ -48,35 +79,65 @@ def _ends_by_indent(indent: np.ndarray, starts: np.ndarray) -> list[int]:
     out = []
     for s in starts:
         e = nxt[s]
-        while e - 1 > s and indent[e - 1] < 0:
+        while e - 1 > s and indent[e - 1] == -1:
             e -= 1
-        out.append(int(e))
+        out.append(e)
     return out
 
 
-def _ends_by_brace(opened: np.ndarray, closed: np.ndarray, starts: np.ndarray) -> list[int]:
-    """Last line of each declaration: where the depth is back at its value before the declaration."""
-    after = np.cumsum(opened - closed)
+def _ends_by_brace(text: str, language: str, starts: list[int]) -> list[int]:
+    """Last line of each declaration: the brace that closes its first block, or the semicolon that ends it before one.
+
+    The block may open any number of lines below. A declaration without either ends on its own line, an arrow function
+    without a block where its expression ends.
+    """
+    bare = _blank(text, language)
+    line_at = np.cumsum([0, *(len(x) + 1 for x in bare.split("\n"))])
+    marks = [(m.start(), m[0]) for m in _MARK.finditer(bare)]
+    places = np.array([at for at, _ in marks], dtype=int)
+    closes, stack = {}, []
+    for at, c in marks:
+        if c == "{":
+            stack.append(at)
+        elif c == "}" and stack:
+            closes[stack.pop()] = at
+    line_of = lambda at: int(np.searchsorted(line_at, at, "right"))
     out = []
     for s in starts:
-        before = after[s - 1] if s else 0
-        first = np.flatnonzero(opened[s:s + 3] > 0)
-        if not len(first):
-            out.append(int(s) + 1)
-            continue
-        tail = np.flatnonzero(after[s + first[0]:] <= before)
-        out.append(int(s + first[0] + tail[0] + 1) if len(tail) else len(after))
+        begin, end = int(line_at[s]), s + 1
+        arrow = _ARROW.search(bare, begin, int(line_at[s + 1]) - 1)
+        expression = arrow is not None and bare[arrow.end()] != "{"
+        depth, last = 0, begin
+        for at, c in marks[int(np.searchsorted(places, begin)):]:
+            if expression and depth == 0 and "\n" in bare[max(last, arrow.end()):at]:
+                break
+            last = at
+            if c in "([" or (c == "{" and (depth or expression)):
+                depth += 1
+            elif c in ")]" or (c == "}" and (depth or expression)):
+                depth -= 1
+                end = line_of(at) if expression else end
+                if depth < 0:
+                    break
+            elif c == "{":
+                end = line_of(closes.get(at, len(bare)))
+                break
+            elif c == ";" and depth == 0:
+                end = line_of(at)
+                break
+            elif c == "}":
+                break
+        out.append(max(end, s + 1))
     return out
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def span_ends(language: pd.Series, starts: pd.Series, indent: pd.Series, opened: pd.Series, closed: pd.Series) -> pd.Series:
+def span_ends(language: pd.Series, content: pd.Series, starts: pd.Series) -> pd.Series:
     """End lines (1-based) for the 0-based start lines of a file's declarations."""
     out = []
-    for lang, s, ind, o, c in zip(language, starts, indent, opened, closed):
-        s = np.asarray(s, dtype=int)
-        out.append(_ends_by_indent(np.asarray(ind), s) if lang == "python"
-                   else _ends_by_brace(np.asarray(o), np.asarray(c), s))
+    for lang, text, s in zip(language, content, starts):
+        begins = [int(x) for x in s]
+        out.append([] if not begins else _ends_by_indent(text, begins) if lang == "python" else _ends_by_brace(text, lang, begins))
     return pd.Series(out)
 
 
@@ -94,19 +155,11 @@ def symbols(files: DataFrame) -> DataFrame:
             name = F.when(F.col("language") == language, n).otherwise(name)
         return F.struct(i.alias("i"), kind.alias("kind"), name.alias("name"))
 
-    # Strings and line comments are blanked first so that their braces do not count.
-    bare = lambda l: F.regexp_replace(l, r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|//.*$", "")
-    count = lambda l, c: F.length(l) - F.length(F.replace(l, F.lit(c), F.lit("")))
     prepared = (
         files.filter(F.col("language").isin(list(DECLARATIONS)))
         .withColumn("lines", F.split("content", "\n"))
         .withColumn("decl", F.filter(F.transform("lines", at), lambda d: d["kind"].isNotNull()))
-        .withColumn("indent", F.transform("lines", lambda l: F.when(F.trim(l) == "", -1).otherwise(
-            F.length(l) - F.length(F.regexp_replace(l, r"^\s+", "")))))
-        .withColumn("code", F.transform("lines", bare))
-        .withColumn("opened", F.transform("code", lambda l: count(l, "{")))
-        .withColumn("closed", F.transform("code", lambda l: count(l, "}")))
-        .withColumn("ends", span_ends("language", F.transform("decl", lambda d: d["i"]), "indent", "opened", "closed"))
+        .withColumn("ends", span_ends("language", "content", F.transform("decl", lambda d: d["i"])))
     )
     return (
         prepared.select("repo_url", "path", "language", "lines", F.inline(F.arrays_zip("decl", "ends")))

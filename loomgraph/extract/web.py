@@ -125,15 +125,15 @@ def sqlalchemy_models(symbols: DataFrame) -> DataFrame:
     col_form = r"(\w+)\s*=\s*Column\(((?:[^()]|\([^()]*\))+)\)"
     columns = base.select(*keys, F.posexplode_outer(_groups("text", col_form, ["field", "def"])).alias("n", "m")) \
         .filter("m IS NOT NULL").select(*keys, "n", "m.field", F.col("m.def").alias("def")) \
-        .select(*keys, F.col("n"), "field", kind.alias("type"), constraints.alias("constraints"))
+        .select(*keys, F.lit(0).alias("part"), F.col("n"), "field", kind.alias("type"), constraints.alias("constraints"))
     related = F.regexp_extract(definition, r"""['"]([^'"]+)['"]""", 1)
     relations = base.select(*keys, F.posexplode(_groups("text", RELATION_FORM, ["field", "def"])).alias("n", "m")) \
-        .select(*keys, (F.col("n") + 10000).alias("n"), "m.field", F.col("m.def").alias("def")) \
-        .select(*keys, "n", "field", F.concat(F.lit("Relationship<"), F.when(related == "", "Unknown").otherwise(related),
+        .select(*keys, F.col("n"), "m.field", F.col("m.def").alias("def")) \
+        .select(*keys, F.lit(1).alias("part"), "n", "field", F.concat(F.lit("Relationship<"), F.when(related == "", "Unknown").otherwise(related),
                                               F.lit(">")).alias("type"), F.array().cast("array<string>").alias("constraints"))
-    bare = base.select(*keys, F.lit(-1).alias("n"), F.lit(None).cast("string").alias("field"),
+    bare = base.select(*keys, F.lit(0).alias("part"), F.lit(-1).alias("n"), F.lit(None).cast("string").alias("field"),
                        F.lit(None).cast("string").alias("type"), F.array().cast("array<string>").alias("constraints"))
-    item = F.when(F.col("n") >= 0, F.struct("n", F.col("field").alias("name"), "type", "constraints"))
+    item = F.when(F.col("n") >= 0, F.struct("part", "n", F.col("field").alias("name"), "type", "constraints"))
     # A group is one class of one file.
     return union_all([columns, relations, bare]).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("f")).select(
         "repo_url", "path", "name", "table_name", F.transform("f", lambda x: F.struct(
@@ -179,14 +179,19 @@ def js_endpoints(files: DataFrame) -> DataFrame:
     return routes.unionByName(pages)
 
 
+# Text with balanced braces, three levels deep.
+NESTED = r"(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*"
+
+
 def ts_models(files: DataFrame) -> DataFrame:
     """Interfaces with fields (required without ``?``), and type aliases."""
     ts = files.filter(F.col("path").endswith(".ts") | F.col("path").endswith(".tsx"))
-    member = r"(?m)^\s*(?:readonly\s+)?(\w+)(\?)?\s*:\s*([^;,\n]+)"
+    kind = rf"(?:\{{{NESTED}\}}|[^;,\n{{}}])+"
+    member = rf"(?:^|[;,\n])\s*(?:readonly\s+)?(\w+)(\?)?\s*(?::\s*({kind}))?(?=\s*(?:[;,\n]|$))"
     fields = F.transform(_groups("body", member, ["name", "opt", "type"]), lambda f: F.struct(
         f["name"].alias("name"), F.trim(f["type"]).alias("type"), (f["opt"] == "").alias("required")))
     interfaces = ts.select("repo_url", "path", F.inline(_groups(
-        "content", r"\binterface\s+(\w+)[^{]*\{([^}]*)\}", ["name", "body"]))).select(
+        "content", rf"\binterface\s+(\w+)[^{{]*\{{({NESTED})\}}", ["name", "body"]))).select(
         "repo_url", "path", "name", F.lit("Interface").alias("type"), fields.alias("fields"))
     aliases = ts.select("repo_url", "path", F.explode(F.regexp_extract_all(
         "content", F.lit(r"(?m)^\s*(?:export\s+)?type\s+(\w+)[^=\n]*="), F.lit(1))).alias("name")).select(
@@ -268,10 +273,10 @@ def go_endpoints(files: DataFrame, go_imports: DataFrame) -> DataFrame:
 
 def go_models(files: DataFrame) -> DataFrame:
     """Structs with fields and tags."""
-    fields = F.transform(_groups("body", r"(?m)^[ \t]*(\w+)[ \t]+([^\s`]+)[ \t]*(`[^`]*`)?", ["name", "type", "tags"]),
+    fields = F.transform(_groups("body", rf"(?m)^[ \t]*(\w+)[ \t]+(struct\s*\{{{NESTED}\}}|[^\s`]+)[ \t]*(`[^`]*`)?", ["name", "type", "tags"]),
                          lambda f: F.struct(f["name"].alias("name"), f["type"].alias("type"), f["tags"].alias("tags")))
     return files.filter("language = 'go'").select("repo_url", "path", F.inline(_groups(
-        "content", r"type\s+(\w+)\s+struct\s*\{([^}]*)\}", ["name", "body"]))).select(
+        "content", rf"type\s+(\w+)\s+struct\s*\{{({NESTED})\}}", ["name", "body"]))).select(
         "repo_url", "path", "name", F.lit("Struct").alias("type"), fields.alias("fields"))
 
 

@@ -323,3 +323,30 @@ def test_manifests(spark):
     got = rows(S.scan_service_manifests(df), "repo_url", "service_name", "origin", "labels")
     assert got == [("a", "cart", "kubernetes", "app: cart\n"), ("b", "db", "compose", ""), ("b", "web", "compose", "")] or \
         [(r, s, o) for r, s, o, _ in got] == [("a", "cart", "kubernetes"), ("b", "db", "compose"), ("b", "web", "compose")]
+
+
+SPANS = {
+    "python": ("def f(\n    a,\n    b,\n):\n    x = \"\"\"\nclass no:\n\"\"\"\n    # }\n    return g(\n1,\n)\n\n# end\ndef h(): pass\n", {("f", 1, 11), ("h", 14, 14)}),
+    "java": ("class A {\n  void f(\n    int a,\n    int b,\n    int c)\n    throws X\n  {\n    /* } */\n    String s = \"}\";\n    char c = '}';\n  }\n}\n", {("A", 1, 12), ("f", 2, 11)}),
+    "javascript": ("function f(a) {\n  const t = `}\n}`;\n  // }\n  return t;\n}\nconst g = (x) => x + 1\nconst h = (x) => {\n  return x\n}\nfunction k() {}\n", {("f", 1, 6), ("g", 7, 7), ("h", 8, 10), ("k", 11, 11)}),
+    "go": ("type A struct {\n\tB struct {\n\t\tC int\n\t}\n}\nfunc f(a int,\n\tb int) error {\n\ts := `{`\n\treturn nil\n}\n", {("A", 1, 5), ("f", 6, 10)}),
+    "csharp": ("public class A\n{\n  public int F(int a)\n  {\n    return a;\n  }\n}\n", {("A", 1, 7), ("F", 3, 6)}),
+}
+
+
+@pytest.mark.parametrize("language", list(SPANS))
+def test_spans_end_where_the_block_does(spark, language):
+    text, wanted = SPANS[language]
+    files = spark.createDataFrame([("r", "f", language, text)], "repo_url string, path string, language string, content string")
+    got = {(r["name"], r.start_line, r.end_line) for r in KS.symbols(files).collect()}
+    assert {g for g in got if g[0] in {n for n, _, _ in wanted}} == wanted
+
+
+def test_nested_types(spark):
+    schema = "repo_url string, path string, language string, content string"
+    ts = spark.createDataFrame([("r", "a.ts", "typescript", "interface A { a; b?: {c: number; d: {e: string}}; f: string }\ninterface B {\n  x: {\n    y: number;\n  };\n  z?: Map<string, A>;\n}\n")], schema)
+    got = {r["name"]: [(f["name"], f["required"]) for f in r["fields"]] for r in KW.ts_models(ts).collect()}
+    assert got == {"A": [("a", True), ("b", False), ("f", True)], "B": [("x", True), ("z", False)]}
+    go = spark.createDataFrame([("r", "a.go", "go", "type A struct {\n\tB struct {\n\t\tC int\n\t} `json:\"b\"`\n\tD string\n}\n")], schema)
+    row, = KW.go_models(go).collect()
+    assert [(f["name"], f["tags"]) for f in row["fields"]] == [("B", '`json:"b"`'), ("D", "")]
