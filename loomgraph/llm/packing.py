@@ -27,6 +27,8 @@ SENTENCE_CUT, HARD_CUT, GAP = 8, 64, 64
 STRETCH, GROUP, REMEMBERED, END_ID = 1 << 20, 1 << 20, 1_000_000, 1
 #: Marks that never join the letters before them in one token.
 _MARKS = ".,!?;:*$%&#"
+#: Characters of texts in which only points and commas stand next to letters.
+_PLAIN = frozenset(" \n.,0123456789" + "".join(c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()))
 
 
 class WordEncoder:
@@ -47,25 +49,22 @@ class WordEncoder:
         self.flat, self.codes, self.closes, self.met = array("I"), array("q"), bytearray(), np.zeros(1, np.int64)
 
     def _plain(self, path: str):  # noqa: ANN202
-        """The same merges without normaliser, for words of a-z; None where words do not end in tokens of their own kind."""
+        """The same merges without normaliser, for lower-case words of Latin-1 letters, which it would leave as they are; None
+        where words do not end in tokens of their own kind."""
         from tokenizers import Tokenizer
 
         made = json.loads(Path(path).read_text())
         suffix = made["model"].get("end_of_word_suffix")
         if not suffix:
             return None
+        bytes_ = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closing[[i for t, i in made["model"]["vocab"].items() if t.endswith(suffix)]] = True
-        return Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None}))
+        return Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_]}, "post_processor": None}))
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; words of a-z and other texts without special tokens go many to a call."""
+        """Ids of each text; texts without special tokens go many to a call."""
         found: dict[str, np.ndarray] = {}
-        letters = [t for t in texts if t.isascii() and t.isalpha() and t.islower()] if self.plain else []
-        for lo in range(0, len(letters), 500):
-            ids = np.array(self.plain.encode(" ".join(letters[lo : lo + 500]), add_special_tokens=False).ids, np.uint32)
-            cuts = [0, *(np.flatnonzero(self.closing[ids]) + 1).tolist()]
-            found.update(zip(letters[lo : lo + 500], [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
         others = [] if self.separator_id is None else [t for t in texts if t not in found and "<|" not in t]
         for lo in range(0, len(others), 500):
             ids = np.array(self.tokenizer.encode(self.separator.join(others[lo : lo + 500]), add_special_tokens=False).ids, np.uint32)
@@ -88,11 +87,25 @@ class WordEncoder:
         self.met = np.zeros(len(again) + 1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        """A word is two pieces: letters and what else comes first, and marks that end it."""
+        """Words of Latin-1 letters in lower case are one piece and need no second look; others are two: letters and what else
+        comes first, and marks that end them."""
+        easy, hard = [], words
+        if self.plain:
+            easy = [w for w in words if w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0100")]
+            known = set(easy)
+            hard = [w for w in words if w not in known] if len(easy) < len(words) else []
+        for lo in range(0, len(easy), 500):
+            group = easy[lo : lo + 500]
+            ids = np.array(self.plain.encode(" ".join(group), add_special_tokens=False).ids, np.uint32)
+            cuts = np.concatenate([[0], np.flatnonzero(self.closing[ids]) + 1])
+            codes = np.zeros((len(group), 2), np.int64)
+            codes[:, 0] = (cuts[:-1] + len(self.flat)) << 24 | np.diff(cuts)
+            self.flat.frombytes(ids.tobytes())
+            self._name(group, codes.tobytes())
         pieces, flat = self.pieces, self.flat
         firsts: list[str] = []
         lasts: list[str] = []
-        for w in words:
+        for w in hard:
             first = w.rstrip(_MARKS)
             if not first[-1:].isalpha():
                 first = w
@@ -102,8 +115,11 @@ class WordEncoder:
         for piece, ids in zip(new, self._encode(new), strict=True):
             pieces[piece] = len(flat) << 24 | len(ids)
             flat.frombytes(ids.tobytes())
+        self._name(hard, array("q", map(pieces.__getitem__, chain.from_iterable(zip(firsts, lasts, strict=True)))).tobytes())
+
+    def _name(self, words: list[str], codes: bytes) -> None:
         self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
-        self.codes.extend(map(pieces.__getitem__, chain.from_iterable(zip(firsts, lasts, strict=True))))
+        self.codes.frombytes(codes)
         self.closes.extend(w[-1] in ".!?" for w in words)
 
     @staticmethod
@@ -116,6 +132,9 @@ class WordEncoder:
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
+        if _PLAIN.issuperset(text) and not any(c in text for c in ("..", ",,", ".,", ",.")):
+            # Points and commas behind letters, digits or spaces are tokens of their own.
+            return text.replace(".", " .").replace(",", " ,").split()
         if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return text.split()
         return [w for w in text.replace("\n", " ").split(" ") if w]
