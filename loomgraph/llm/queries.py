@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import language_id, line_dedup, mixing, near_dedup, nearest, packing, quality_rules, suffix_dedup, url_filter
+from loomgraph.llm import language_id, license_scan, line_dedup, mixing, near_dedup, nearest, packing, quality_rules, suffix_dedup, url_filter
 from loomgraph.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -54,9 +58,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_near_dedup, op4_suffix_dedup, op5_quality_rules, op6_nearest, op7_line_dedup, op8_url_filter, op9_packing, op10_language_id]
+    found = [op1_mixing, op2_near_dedup, op3_license_scan, op4_suffix_dedup, op5_quality_rules, op6_nearest, op7_line_dedup, op8_url_filter, op9_packing, op10_language_id]
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE, "op8_url_filter": url_filter.ORACLE}
+    return {"op3_license_scan": license_scan.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_url_filter": url_filter.ORACLE}
