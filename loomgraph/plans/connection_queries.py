@@ -105,10 +105,18 @@ query("d22_connection_details", f"""
     SELECT 'shared_model', name, name, a.n, b.n FROM (SELECT name, count(*) AS n FROM data_models WHERE repo_url = '{ACTIVE_REPO}' GROUP BY ALL) a
     JOIN (SELECT name, count(*) AS n FROM data_models WHERE repo_url = '{OTHER_REPO}' GROUP BY ALL) b USING (name)""")(
     lambda g: X.connection_details(callers(g), g.endpoints, g.data_models, ACTIVE_REPO, OTHER_REPO))
-query("d23_dependency_mentions", r"""
-    SELECT source, target, count(*) AS strength FROM (
-      SELECT file_path AS source, unnest(list_distinct(regexp_extract_all(content, '[A-Za-z0-9_.\-]+(?:/[A-Za-z0-9_.\-]+)+'))) AS target FROM code_chunks)
-    WHERE source <> target AND target IN (SELECT path FROM files) GROUP BY ALL ORDER BY strength DESC, source, target LIMIT 25""")(
+query("d23_dependency_mentions", """
+    WITH mention AS (
+      SELECT c.repo_url, c.file_path AS a, f.path AS b, count(*) AS m FROM code_chunks c JOIN files f
+        ON f.repo_url = c.repo_url AND f.path <> c.file_path AND contains(c.content, f.path) GROUP BY ALL),
+    pair AS (SELECT repo_url, a AS source, b AS target FROM mention UNION SELECT repo_url, b, a FROM mention),
+    held AS (SELECT repo_url, file_path, count(*) AS n FROM code_chunks GROUP BY ALL)
+    SELECT p.repo_url, p.source, p.target,
+           (coalesce(x.m, 0) * h2.n + coalesce(y.m, 0) * h1.n - coalesce(x.m, 0) * coalesce(y.m, 0))::BIGINT AS strength
+    FROM pair p JOIN held h1 ON h1.repo_url = p.repo_url AND h1.file_path = p.source JOIN held h2 ON h2.repo_url = p.repo_url AND h2.file_path = p.target
+    LEFT JOIN mention x ON x.repo_url = p.repo_url AND x.a = p.source AND x.b = p.target
+    LEFT JOIN mention y ON y.repo_url = p.repo_url AND y.a = p.target AND y.b = p.source
+    ORDER BY strength DESC, 1, 2, 3 LIMIT 25""")(
     lambda g: X.dependency_mentions(g.code_chunks, g.files))
 query("d24_keyword_scoped_query", f"""
     SELECT repo_url, path FROM files f WHERE EXISTS (SELECT 1 FROM chunks c WHERE c.repo_url = f.repo_url AND c.file_path = f.path

@@ -107,6 +107,18 @@ def test_calls_are_counted_once_per_endpoint(spark):
     assert as_set(cross_service.calls_service(calls, endpoints), "src", "dst", "n") == {("web", "users", 8), ("web", "orders", 3), ("orders", "users", 2)}
 
 
+def test_dependencies_are_chunk_pairs(spark):
+    files = spark.createDataFrame([(r, p) for r in ("r", "q") for p in ("main.py", "src/a.py", "b.py")], "repo_url string, path string")
+    texts = [("r", "main.py", "see ./src/a.py:3"), ("r", "main.py", "import x"), ("r", "src/a.py", "(main.py)"), ("r", "src/a.py", "none"), ("r", "src/a.py", "xmain.pyx"),
+             ("q", "b.py", "nothing"), ("q", "main.py", "main.py itself")]
+    rows = [(r, p, f"c{i}", t) for i, (r, p, t) in enumerate(texts)]
+    chunks_ = spark.createDataFrame(rows, "repo_url string, file_path string, chunk_id string, content string")
+    pairs = sum((("src/a.py" in t1 and p1 == "main.py") or "main.py" in t2) for r1, p1, _, t1 in rows for r2, p2, _, t2 in rows
+                if r1 == r2 == "r" and p1 == "main.py" and p2 == "src/a.py")
+    got = as_set(cross_service.dependency_mentions(chunks_, files), "repo_url", "source", "target", "strength")
+    assert got == {("r", "main.py", "src/a.py", pairs), ("r", "src/a.py", "main.py", pairs)}
+
+
 def test_upsert_takes_one_incoming_row(spark):
     stored = spark.createDataFrame([("a", "c", 1)], "path string, language string, size long")
     incoming = spark.createDataFrame([("a", "go", 5, 2), ("a", "java", 2, 3), ("b", None, 7, 1)], "path string, language string, size long, at int")
