@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names. A local session without one gets a scratch folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         folder = tempfile.mkdtemp(prefix="loomgraph-llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -41,7 +41,17 @@ def stored(df: DataFrame) -> DataFrame:
     # Shuffle files go when the driver's JVM finds that nothing refers to them; big steps in a row would fill the disks first.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.stored_at = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import as_signed, mix, powers, prefix_sums, row_blocks, stored, utf8_rows
+from loomgraph.llm.common import as_signed, discard, mix, powers, prefix_sums, row_blocks, stored, utf8_rows
 
 WIDTH, GRAM, STRIDE, BLOCK = 200, 80, 15, 1 << 19
 RUN = "doc_id long, twin long, first long, windows int, gram long, span long, loops boolean"
@@ -199,7 +199,7 @@ def _twice(cells: DataFrame) -> DataFrame:
 
 
 def repeated_spans(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, twin, first, past): byte ranges whose union is all bytes in windows that also start elsewhere.
+    """(doc_id, twin, spans): byte ranges [first, past) whose union is all bytes in windows that also start elsewhere.
 
     ``twin`` is a hash of the text, so rows with one doc_id and different texts stay apart. Repeated rows are copies of each
     other, so all their windows are repeated. Texts shorter than ``width`` bytes have no window.
@@ -224,10 +224,14 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -
     ranges = near.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("first", "count", "gram", "alone")).alias("ranges")).withColumnsRenamed({"doc_id": "_d", "twin": "_t"})
     same_span = open_cells.filter("alone").join(of_span.filter("n > 1").select("gram", "key", "span"), ["gram", "key", "span"])
     windows = stored(texts.select("doc_id", "twin", "text").join(ranges, same).select("doc_id", "twin", "text", "ranges").mapInArrow(_windows(width), CELL))
+    discard(texts)
     repeated = cells.filter("sure").select("doc_id", "twin", "first", "count").union(same_span.select("doc_id", "twin", "first", "count")).select("doc_id", "twin", "first", (F.col("first") + F.col("count") - 1 + width).alias("past"))
     partly = windows.filter("alone").join(_twice(windows), ["gram", "key"]).select("doc_id", "twin", "first", (F.col("first") + width).alias("past"))
     whole = left.join(spans.filter("n > 1").select("gram", "span"), ["gram", "span"])
-    return whole.select("doc_id", "twin", "first", (F.col("first") + F.col("windows") - 1 + width).alias("past")).union(partly).union(repeated)
+    every = whole.select("doc_id", "twin", "first", (F.col("first") + F.col("windows") - 1 + width).alias("past")).union(partly).union(repeated)
+    found = stored(every.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("first", "past")).alias("spans")))
+    discard(left, spans, cells, of_span, windows)
+    return found
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +258,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of every row. Null text is empty. What is left is bytes: a cut
     may fall within a character. An empty table gives an empty table."""
-    spans = repeated_spans(documents, width, gram)
-    listed = spans.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("first", "past")).alias("spans")).withColumnsRenamed({"doc_id": "_d", "twin": "_t"})
+    listed = repeated_spans(documents, width, gram).withColumnsRenamed({"doc_id": "_d", "twin": "_t"})
     texts = _rows(documents).join(listed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("twin") == F.col("_t")), "left")
     return texts.select("doc_id", "text", "spans").mapInArrow(_cut_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
