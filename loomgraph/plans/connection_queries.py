@@ -52,8 +52,11 @@ register("connected", f"""
     WHERE repo_url <> '{ACTIVE_REPO}'""")
 
 
-def callers(g):
-    return X.may_call(g.functions.withColumn("text", F.lower("text")), g.endpoints, CLIENT_WORDS)
+def callers(g, of_repo=None, to_repo=None):
+    """Callers of endpoints; only those of one repository, or of endpoints of one repository, where asked."""
+    functions = g.functions if of_repo is None else g.functions.filter(F.col("repo_url") == of_repo)
+    endpoints = g.endpoints if to_repo is None else g.endpoints.filter(F.col("repo_url") == to_repo)
+    return X.may_call(functions.withColumn("text", F.lower("text")), endpoints, CLIENT_WORDS)
 
 
 def cross_imports(g):
@@ -75,7 +78,7 @@ def endpoint_models(g):
 
 
 def connected(g, repo_url=ACTIVE_REPO):
-    return X.connected_repositories(g.repositories, callers(g), g.endpoints, g.data_models, endpoint_models(g), repo_url)
+    return X.connected_repositories(g.repositories, callers(g, to_repo=repo_url), g.endpoints, g.data_models, endpoint_models(g), repo_url)
 
 
 def repo_edges(g):
@@ -104,7 +107,7 @@ query("d22_connection_details", f"""
     UNION ALL
     SELECT 'shared_model', name, name, a.n, b.n FROM (SELECT name, count(*) AS n FROM data_models WHERE repo_url = '{ACTIVE_REPO}' GROUP BY ALL) a
     JOIN (SELECT name, count(*) AS n FROM data_models WHERE repo_url = '{OTHER_REPO}' GROUP BY ALL) b USING (name)""")(
-    lambda g: X.connection_details(callers(g), g.endpoints, g.data_models, ACTIVE_REPO, OTHER_REPO))
+    lambda g: X.connection_details(callers(g, ACTIVE_REPO, OTHER_REPO), g.endpoints, g.data_models, ACTIVE_REPO, OTHER_REPO))
 query("d23_dependency_mentions", """
     WITH mention AS (
       SELECT c.repo_url, c.file_path AS a, f.path AS b, count(*) AS m FROM code_chunks c JOIN files f
