@@ -7,6 +7,7 @@ million tokens at a time; the last window of a stretch is carried over into the
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections import deque
@@ -24,11 +25,11 @@ from pyspark.sql import functions as F
 #: tokens may be cut every GAP // 2 tokens.
 SENTENCE_CUT, HARD_CUT, GAP = 8, 64, 64
 #: Tokens that one dynamic programme covers, characters encoded together, words a task remembers, end-of-document id.
-STRETCH, GROUP, REMEMBERED, END_ID = 1 << 20, 1 << 20, 1_000_000, 1
+STRETCH, GROUP, REMEMBERED, END_ID = 1 << 20, 3 << 20, 1_000_000, 1
 #: Marks that never join the letters before them in one token.
 _MARKS = ".,!?;:*$%&#"
-#: Characters of texts in which only points and commas stand next to letters.
-_PLAIN = frozenset(" \n.,0123456789" + "".join(c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()))
+#: A character that is not in texts in which only points and commas stand next to letters.
+_OTHER = re.compile("[^ \n.,0-9" + "".join(c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()) + "]")
 
 
 class WordEncoder:
@@ -91,9 +92,9 @@ class WordEncoder:
         comes first, and marks that end them."""
         easy, hard = [], words
         if self.plain:
-            easy = [w for w in words if w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0100")]
-            known = set(easy)
-            hard = [w for w in words if w not in known] if len(easy) < len(words) else []
+            hard = []
+            for w in words:
+                (easy if w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0100") else hard).append(w)
         for lo in range(0, len(easy), 500):
             group = easy[lo : lo + 500]
             ids = np.array(self.plain.encode(" ".join(group), add_special_tokens=False).ids, np.uint32)
@@ -101,7 +102,7 @@ class WordEncoder:
             codes = np.zeros((len(group), 2), np.int64)
             codes[:, 0] = (cuts[:-1] + len(self.flat)) << 24 | np.diff(cuts)
             self.flat.frombytes(ids.tobytes())
-            self._name(group, codes.tobytes())
+            self._name(group, codes.tobytes(), bytes(len(group)))
         pieces, flat = self.pieces, self.flat
         firsts: list[str] = []
         lasts: list[str] = []
@@ -115,12 +116,12 @@ class WordEncoder:
         for piece, ids in zip(new, self._encode(new), strict=True):
             pieces[piece] = len(flat) << 24 | len(ids)
             flat.frombytes(ids.tobytes())
-        self._name(hard, array("q", map(pieces.__getitem__, chain.from_iterable(zip(firsts, lasts, strict=True)))).tobytes())
+        self._name(hard, array("q", map(pieces.__getitem__, chain.from_iterable(zip(firsts, lasts, strict=True)))).tobytes(), bytes(w[-1] in ".!?" for w in hard))
 
-    def _name(self, words: list[str], codes: bytes) -> None:
+    def _name(self, words: list[str], codes: bytes, closes: bytes) -> None:
         self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
         self.codes.frombytes(codes)
-        self.closes.extend(w[-1] in ".!?" for w in words)
+        self.closes.extend(closes)
 
     @staticmethod
     def _split(text: str) -> list[str]:
@@ -132,7 +133,7 @@ class WordEncoder:
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
-        if _PLAIN.issuperset(text) and not any(c in text for c in ("..", ",,", ".,", ",.")):
+        if not _OTHER.search(text) and not any(c in text for c in ("..", ",,", ".,", ",.")):
             # Points and commas behind letters, digits or spaces are tokens of their own.
             return text.replace(".", " .").replace(",", " ,").split()
         if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -174,19 +175,17 @@ def best_cuts(ends: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
     cost[j] = penalty[j] + min over i of cost[i] + size - (ends[j] - ends[i]); the minimum of cost[i] + ends[i] over the sliding
     window of possible i is the head of a monotone queue.
     """
-    at, fee = [0, *ends.tolist()], [0, *penalty.tolist()]
-    back = [0] * len(at)
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost[i] + ends[i], i), increasing
-    for j in range(1, len(at)):
-        here, oldest = at[j], at[j] - size
-        while at[queue[0][1]] < oldest:
+    at, back = [0, *ends.tolist()], [0]
+    queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # cost[i] + ends[i], increasing; i; ends[i]
+    for j, (here, fee) in enumerate(zip(at[1:], penalty.tolist(), strict=True), 1):
+        while queue[0][2] < here - size:
             queue.popleft()
-        key, i = queue[0]
-        back[j] = i
-        key += fee[j] + size  # cost[j] + ends[j]
+        key, i, _ = queue[0]
+        back.append(i)
+        key += fee + size  # cost[j] + ends[j]
         while queue and queue[-1][0] >= key:
             queue.pop()
-        queue.append((key, j))
+        queue.append((key, j, here))
     cuts, j = [], len(at) - 1
     while j:
         cuts.append(at[j])
