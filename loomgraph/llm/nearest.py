@@ -3,8 +3,12 @@
 The graph starts from blocks of random-projection trees and is refined by joining the neighbours of every node with each other:
 who meets at a common neighbour and beats the worst neighbour so far becomes a neighbour. Only pairs with a new member are
 compared. A search expands, for all queries at once, the best nodes not expanded yet. Every row is indexed; equal vectors are
-one node. Graph work uses half-precision vectors scaled to length 1 at most, with one more component that turns largest inner
-product into nearest neighbour; results are scored on the original vectors in double precision.
+one node.
+
+Lengths may differ by any factor: nodes are dealt into strata of lengths within a factor of 4, and each stratum has its own
+graph. Graph work uses single-precision vectors scaled by the longest of their stratum, with one more component that turns
+largest inner product into nearest neighbour, less the mean of a sample of the stratum. A query enters every stratum and leaves
+those whose longest vector cannot reach its best k rows. Results are scored on the original vectors in double precision.
 
 A node's list never exceeds REACH, so a task handles groups of bounded size whatever the data; popular nodes are the hot keys
 of joins on node ids, which adaptive execution may split.
@@ -13,6 +17,7 @@ of joins on node ids, which adaptive execution may split.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,8 @@ from loomgraph.llm.common import stored, whole_groups
 #: Neighbours of a node in the graph; of a node when neighbours meet (both directions of edges); random trees; rows of a block;
 #: rounds of refinement; rounds of a search; nodes a query expands in a round; nodes it remembers.
 DEGREE, REACH, TREES, BLOCK, ROUNDS, HOPS, WIDTH, BEAM = 48, 96, 8, 512, 3, 3, 10, 64
+#: Ratio of lengths within a stratum; nodes of a stratum in the driver's sample; nodes of it where a query enters.
+RATIO, SAMPLE, ENTRIES = 4.0, 256, 4
 EDGE = "src long, dst long, sim float, fresh boolean"
 
 
@@ -41,10 +48,10 @@ def _dense(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _halves(column: pa.Array) -> np.ndarray:
+def _units(column: pa.Array) -> np.ndarray:
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.float16).reshape(len(column), -1).astype(np.float32)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.float32).reshape(len(column), -1)
 
 
 def _binaries(matrix: np.ndarray) -> pa.Array:
@@ -53,27 +60,90 @@ def _binaries(matrix: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
 
-def _shrink(longest: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+@dataclass
+class Strata:
+    """Keys of the strata in order; of each the longest length, the mean of its sample and the sample (nodes and vectors)."""
+
+    keys: np.ndarray
+    longest: np.ndarray
+    means: np.ndarray
+    samples: list[tuple[np.ndarray, np.ndarray]]
+
+    def at(self, column: pa.Array) -> np.ndarray:
+        return np.searchsorted(self.keys, column.to_numpy())
+
+
+def _lift(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1 at most with the component that makes their length 1."""
+    return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))], 1)
+
+
+def by_length(groups: DataFrame) -> DataFrame:
+    """(node, vector, length, stratum): lengths within a factor of RATIO, so that the median is in the middle of stratum 0."""
+    big = F.array_max(F.transform("vector", F.abs))
+    length = F.col("big") * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / F.col("big")) * (x / F.col("big"))))
+    sized = groups.withColumn("big", big).select("node", "vector", length.alias("length"))
+    median = sized.agg(F.percentile_approx("length", 0.5)).first()[0] or 1.0
+    step = F.floor(F.log(F.col("length") / median) / float(np.log(RATIO)) + 0.5)
+    return sized.withColumn("stratum", step.cast("int"))
+
+
+def strata_of(sized: DataFrame) -> Strata:
+    """What tasks need to know of the strata: of each a bounded sample comes to the driver."""
+    found = sized.groupBy("stratum").agg(F.max("length").alias("longest")).orderBy("stratum").collect()
+    some = Window.partitionBy("stratum").orderBy(F.xxhash64("node"), "node")
+    drawn: dict[int, list[tuple[int, list[float]]]] = {f.stratum: [] for f in found}
+    for row in sized.withColumn("r", F.row_number().over(some)).filter(F.col("r") <= SAMPLE).select("stratum", "node", "vector").collect():
+        drawn[row.stratum].append((row.node, row.vector))
+    samples = [(np.array([n for n, _ in drawn[f.stratum]], np.int64), np.array([v for _, v in drawn[f.stratum]])) for f in found]
+    means = np.array([_lift(x / f.longest).mean(0) for f, (_, x) in zip(found, samples, strict=True)])
+    return Strata(np.array([f.stratum for f in found], np.int32), np.array([f.longest for f in found]), means, samples)
+
+
+def _shrink(strata: Strata) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                x = _dense(batch.column("vector")) / longest
-                more = np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), _binaries(np.concatenate([x, more], 1).astype(np.float16))], ["node", "half"])
+                at = strata.at(batch.column("stratum"))
+                x = _lift(_dense(batch.column("vector")) / strata.longest[at, None]) - strata.means[at]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("stratum"), _binaries(x.astype(np.float32))], ["node", "stratum", "unit"])
 
     return run
 
 
+def _entries(strata: Strata) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the sample of each stratum the best nodes of a query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            query, q = batch.column("query_id").to_numpy(), _dense(batch.column("vector"))
+            for node, x in strata.samples:
+                k = min(ENTRIES, len(node))
+                top = np.argpartition(-(q @ x.T), k - 1, axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query, k), pa.int64()), pa.array(node[top].ravel(), pa.int64())], ["query_id", "node"])
+
+    return run
+
+
+def _distances(x: np.ndarray) -> np.ndarray:
+    """Similarity of all pairs of rows: squared distance, negated."""
+    own = (x * x).sum(1)
+    return 2 * (x @ x.T) - own[:, None] - own[None, :]
+
+
 def _codes(trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            x = _halves(batch.column("half"))
+            x = _units(batch.column("unit"))[:, :-1]
             planes = np.random.default_rng(x.shape[1]).standard_normal((trees, x.shape[1], 24)).astype(np.float32)
             for t in range(trees):
                 code = (x @ planes[t] > 0) @ (1 << np.arange(23, -1, -1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(code, pa.int32()), batch.column("node"), batch.column("half")], ["tree", "code", "node", "half"])
+                tree = batch.column("stratum").to_numpy() * trees + t
+                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(code, pa.int32()), batch.column("node"), batch.column("unit")], ["tree", "code", "node", "unit"])
 
     return run
 
@@ -83,11 +153,11 @@ def _edges(src: np.ndarray, dst: np.ndarray, sim: np.ndarray, fresh: np.ndarray)
 
 
 def _block_edges(block: int, degree: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Nearest neighbours within blocks of ``block`` rows of one tree, in the order of codes."""
+    """Nearest neighbours within blocks of ``block`` rows of one tree of a stratum, in the order of codes."""
 
     def best(node: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         k = min(degree, len(node) - 1)
-        sims = x @ x.T
+        sims = _distances(x)
         np.fill_diagonal(sims, -np.inf)
         near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
         return _edges(np.repeat(node, k), node[near].ravel(), np.take_along_axis(sims, near, 1).ravel(), np.ones(len(node) * k, bool))
@@ -97,7 +167,7 @@ def _block_edges(block: int, degree: int) -> Callable[[Iterator[pa.RecordBatch]]
         for batch in batches:
             if not len(batch):
                 continue
-            x = _halves(batch.column("half"))
+            x = _units(batch.column("unit"))
             trees, nodes = np.concatenate([trees, batch.column("tree").to_numpy()]), np.concatenate([nodes, batch.column("node").to_numpy()])
             xs = x if xs is None else np.concatenate([xs, x])
             while len(nodes) >= 2 * block:
@@ -144,11 +214,11 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of neighbours of a hub of which one is new to it, where the second beats the worst neighbour of the first."""
     for t in whole_groups(batches, "src"):
         hub, node, fresh, worst = (t.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst", "fresh", "worst"))
-        x = _halves(t.column("half").combine_chunks() if not isinstance(t.column("half"), pa.ChunkedArray) else pa.concat_arrays(t.column("half").chunks))
+        x = _units(pa.concat_arrays(t.column("unit").chunks))
         cuts = [*np.flatnonzero(np.diff(hub, prepend=hub[0] - 1)), len(hub)]
         found: list[tuple[np.ndarray, ...]] = []
         for a, b in zip(cuts, cuts[1:], strict=False):
-            sims = x[a:b] @ x[a:b].T
+            sims = _distances(x[a:b])
             fine = (sims > worst[a:b][:, None]) & (fresh[a:b][:, None] | fresh[a:b][None, :])
             np.fill_diagonal(fine, False)
             i, j = np.nonzero(fine)
@@ -163,14 +233,14 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, reach: int = REACH, trees: int = TREES, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
-    """Edges (src, dst, sim, fresh) of the neighbour graph of ``nodes`` (node, half)."""
-    coded = nodes.mapInArrow(_codes(trees), "tree int, code int, node long, half binary")
+    """Edges (src, dst, sim, fresh) of the neighbour graph of ``nodes`` (node, stratum, unit); no edge leaves a stratum."""
+    coded = nodes.mapInArrow(_codes(trees), "tree int, code int, node long, unit binary")
     sorted_ = coded.repartitionByRange("tree", "code", "node").sortWithinPartitions("tree", "code", "node")
     graph = stored(best_edges(sorted_.mapInArrow(_block_edges(block, degree), EDGE), degree))
     for _ in range(rounds):
-        worst = graph.groupBy("src").agg(F.count("*").alias("n"), F.min("sim").alias("least")).select(F.col("src").alias("node"), F.when(F.col("n") >= degree, F.col("least")).otherwise(F.lit(-2.0).cast("float")).alias("worst"))
-        known = nodes.join(worst, "node").select(F.col("node").alias("dst"), "half", "worst")
-        lists = both_ways(graph, reach).join(known, "dst").select("src", "dst", "fresh", "worst", "half")
+        worst = graph.groupBy("src").agg(F.count("*").alias("n"), F.min("sim").alias("least")).select(F.col("src").alias("node"), F.when(F.col("n") >= degree, F.col("least")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
+        known = nodes.join(worst, "node").select(F.col("node").alias("dst"), "unit", "worst")
+        lists = both_ways(graph, reach).join(known, "dst").select("src", "dst", "fresh", "worst", "unit")
         met = lists.repartition("src").sortWithinPartitions("src").mapInArrow(_meetings, EDGE)
         graph = stored(best_edges(graph.withColumn("fresh", F.lit(False)).union(met), degree))
         if not graph.filter("fresh").head(1):
@@ -178,41 +248,56 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, reach: int = REACH, tree
     return graph
 
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Inner products of half-precision nodes with query vectors, and the best of each query of a batch only."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        q, x = _dense(batch.column("vector")).astype(np.float32), _halves(batch.column("half"))[:, :-1]
-        score = np.einsum("ij,ij->i", q, x)
-        query, node = batch.column("query_id").to_numpy(), batch.column("node").to_numpy()
-        order = np.lexsort((node, -score, query))
-        query, node, score = query[order], node[order], score[order]
-        top = np.arange(len(query)) - np.searchsorted(query, query) < BEAM
-        yield pa.RecordBatch.from_arrays([pa.array(query[top]), pa.array(node[top]), pa.array(score[top], pa.float32())], ["query_id", "node", "score"])
-
-
-def search(queries: DataFrame, entries: DataFrame, nodes: DataFrame, graph: DataFrame, hops: int = HOPS, width: int = WIDTH, beam: int = BEAM) -> DataFrame:
-    """(query_id, node): the ``beam`` best nodes met on the walk from the entries.
-
-    queries: (query_id, vector); entries: (query_id, node); nodes: (node, half); graph: edges. Every hop expands the ``width``
-    best nodes of each query that were not expanded yet.
+def _scores(strata: Strata) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Inner products of nodes with query vectors, of a batch only the best of each query and stratum, and what the stratum can reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            q, x, at = _dense(batch.column("vector")), _units(batch.column("unit"))[:, :-1], strata.at(batch.column("stratum"))
+            score = np.einsum("ij,ij->i", q, x + strata.means[at, :-1]) * strata.longest[at]
+            bound = np.sqrt((q * q).sum(1)) * strata.longest[at] * (1 + 1e-5)
+            query, node = batch.column("query_id").to_numpy(), batch.column("node").to_numpy()
+            order = np.lexsort((node, -score, at, query))
+            pair = query[order].astype(np.int64), at[order]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(pair[0]) != 0) | (np.diff(pair[1]) != 0)]))
+            place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
+            top = order[place < BEAM]
+            yield pa.RecordBatch.from_arrays([pa.array(query[top]), batch.column("stratum").take(pa.array(top)), pa.array(node[top]), pa.array(score[top]), pa.array(bound[top])], ["query_id", "stratum", "node", "score", "bound"])
+
+    return run
+
+
+def search(queries: DataFrame, entries: DataFrame, nodes: DataFrame, graph: DataFrame, strata: Strata, k: int, hops: int = HOPS, width: int = WIDTH, beam: int = BEAM) -> DataFrame:
+    """(query_id, node): of each stratum the ``beam`` best nodes met on the walk from the entries.
+
+    queries: (query_id, vector); entries: (query_id, node); nodes: (node, stratum, unit); graph: edges. Every hop expands the
+    ``width`` best nodes of each query and stratum that were not expanded yet, unless the stratum cannot reach the best k + 1
+    nodes found so far (one of them may be the query's own).
     """
     roads = stored(both_ways(graph, REACH).select(F.col("src").alias("node"), F.col("dst").alias("next")))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        seen = pairs.join(nodes, "node").join(queries, "query_id").select("query_id", "node", "half", "vector")
-        return seen.mapInArrow(_scores, "query_id long, node long, score float").withColumn("open", F.lit(True))
+        seen = pairs.join(nodes, "node").join(queries, "query_id").select("query_id", "stratum", "node", "unit", "vector")
+        return seen.mapInArrow(_scores(strata), "query_id long, stratum int, node long, score double, bound double").withColumn("open", F.lit(True))
+
+    best = Window.partitionBy("query_id", "stratum").orderBy(F.desc("score"), "node")
+    overall = Window.partitionBy("query_id")
+
+    def pruned(met: DataFrame) -> DataFrame:
+        placed = met.withColumn("place", F.row_number().over(overall.orderBy(F.desc("score"), "node")))
+        least = F.coalesce(F.max(F.when(F.col("place") == k + 1, F.col("score"))).over(overall), F.lit(float("-inf")))
+        return placed.withColumn("least", least).withColumn("open", F.col("open") & (F.col("bound") >= F.col("least"))).drop("place", "least")
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
-    state = stored(scored(entries.select("query_id", "node")))
+    state = stored(pruned(scored(entries.select("query_id", "node").distinct())))
     for _ in range(hops):
         ranked = state.withColumn("r", F.sum(F.col("open").cast("int")).over(best.rowsBetween(Window.unboundedPreceding, 0)))
         ranked = ranked.withColumn("now", F.col("open") & (F.col("r") <= width)).drop("r")
         reached = ranked.filter("now").join(roads, "node").select("query_id", F.col("next").alias("node")).distinct()
         fresh = scored(reached.join(state.select("query_id", "node"), ["query_id", "node"], "left_anti"))
-        all_ = ranked.select("query_id", "node", "score", (F.col("open") & ~F.col("now")).alias("open")).union(fresh)
-        state = stored(all_.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= beam).drop("rank"))
+        all_ = ranked.withColumn("open", F.col("open") & ~F.col("now")).drop("now").unionByName(fresh)
+        state = stored(pruned(all_.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= beam).drop("rank")))
         if not state.filter("open").head(1):
             break
     return state.select("query_id", "node")
@@ -236,12 +321,14 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     same = Window.partitionBy("node").orderBy("vec_id")
     groups = stored(rows.groupBy("vector").agg(F.min("vec_id").alias("node")))
     member = stored(rows.join(groups, "vector").select("vec_id", "node"))
-    longest = groups.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 1.0
-    nodes = stored(groups.select("node", "vector").mapInArrow(_shrink(longest), "node long, half binary"))
+    sized = stored(by_length(groups))
+    strata = strata_of(sized)
+    nodes = stored(sized.select("node", "stratum", "vector").mapInArrow(_shrink(strata), "node long, stratum int, unit binary"))
     graph = build_graph(nodes)
     asking = stored(rows.filter(F.col("vec_id") % every == 0).join(member, "vec_id").withColumnRenamed("vec_id", "query_id"))
     queries = asking.select("query_id", "vector")
-    met = search(queries, asking.select("query_id", "node"), nodes, graph)
+    entries = asking.select("query_id", "node").union(queries.mapInArrow(_entries(strata), "query_id long, node long"))
+    met = search(queries, entries, nodes, graph, strata, k)
     exact = met.join(groups.select("node", "vector"), "node").join(queries.select("query_id", F.col("vector").alias("q")), "query_id").mapInArrow(_exact, "query_id long, node long, score double")
     # k + 1 members of a node are enough: one may be the query's own row.
     first = member.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= k + 1).select("node", "vec_id")

@@ -41,3 +41,24 @@ def test_few_and_no_rows(spark):
     assert rows == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 4)]
     assert nearest.neighbours(few.limit(0)).collect() == []
     assert nearest.neighbours(few.limit(1)).collect() == []
+
+
+def recall(spark, x, every, k=20):
+    """Share of the true neighbours that the query finds, against brute force in blocks of queries."""
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    found = {}
+    for r in nearest.neighbours(rows, every, k).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    asked, hits, d = np.arange(0, len(x), every), 0, x.astype(float)
+    for block in np.array_split(asked, -(-len(asked) // 500)):
+        scores = d[block] @ d.T
+        scores[np.arange(len(block)), block] = -np.inf
+        top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        hits += sum(len(found[q] & set(t)) for q, t in zip(block.tolist(), top.tolist(), strict=True))
+    return hits / (k * len(asked))
+
+
+def test_lengths_of_several_strata(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal((6_000, 16)) * 10 ** rng.uniform(-3, 1, (6_000, 1))).astype(np.float32)
+    assert recall(spark, x, 20) >= 0.9
