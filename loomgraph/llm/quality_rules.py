@@ -83,13 +83,20 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         data, offsets = utf8_rows(batch.column("text"))
         parts = [block_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_blocks(offsets)]
         columns = [pa.array(np.concatenate([p[c] for p in parts]).astype(np.int64) if parts else [], pa.int64()) for c in COUNTS + EXTRA]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *COUNTS, *EXTRA])
+        others = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, others), *columns], [*others, *COUNTS, *EXTRA])
 
 
-def counts(documents: DataFrame) -> DataFrame:
-    """doc_id, the base counts and what the rules look at besides, for every row; null text counts as empty."""
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS + EXTRA)
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_count_batches, schema)
+def text_key(text: Column) -> Column:
+    """128 bits that tell texts apart; null is empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def counts(documents: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, the base counts and what the rules look at besides, for every row; null text counts as empty. ``keyed`` adds text_key."""
+    schema = "doc_id long, " + "text_key binary, " * keyed + ", ".join(f"{c} long" for c in COUNTS + EXTRA)
+    keys = [text_key(F.col("text")).alias("text_key")] if keyed else []
+    return documents.select(F.col("doc_id").cast("long"), *keys, F.col("text").cast("string")).mapInArrow(_count_batches, schema)
 
 
 def votes() -> list[Column]:
@@ -140,24 +147,26 @@ def posterior(columns: list[Column], good: float, right: np.ndarray) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-log_odds))
 
 
-def judge(documents: DataFrame) -> DataFrame:
+def judge(documents: DataFrame, keyed: bool = False) -> DataFrame:
     """One row per row of ``documents``: doc_id, the counts, base_failed, kept, quality (the posterior).
 
     A document fails the base with fewer than 50 words or more than half of its words in repeated windows. Null and
-    empty texts have no words and fail. Repeated rows are judged alike. An empty table gives an empty table.
+    empty texts have no words and fail. Repeated rows are judged alike. An empty table gives an empty table. ``keyed`` adds
+    text_key behind doc_id.
     """
-    seen = stored(counts(documents))
+    seen, keys = stored(counts(documents, keyed)), ["doc_id", *["text_key"] * keyed]
     names = [f"v{j}" for j in range(len(votes()))]
     voted = seen.select("*", *[v.alias(n) for v, n in zip(votes(), names, strict=True)])
     table = [((*[r[n] for n in names],), r["n"]) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()]
     if not table:
-        return seen.select("doc_id", *COUNTS, F.lit(True).alias("base_failed"), F.lit(False).alias("kept"), F.lit(0.0).alias("quality"))
+        return seen.select(*keys, *COUNTS, F.lit(True).alias("base_failed"), F.lit(False).alias("kept"), F.lit(0.0).alias("quality"))
     quality = posterior([F.col(n) for n in names], *estimate(table))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return voted.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & (quality >= MIN_POSTERIOR)).alias("kept"), quality.alias("quality"))
+    return voted.select(*keys, *COUNTS, failed.alias("base_failed"), (~failed & (quality >= MIN_POSTERIOR)).alias("kept"), quality.alias("quality"))
 
 
 def keep_good(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that judge() keeps; of rows with one doc_id all stay if any is kept."""
-    good = judge(documents).filter("kept").select("doc_id").distinct()
-    return documents.join(good, "doc_id", "left_semi")
+    """The rows of ``documents`` that judge() keeps, whatever their doc_id: rows are known by doc_id, null as well, and text."""
+    good = judge(documents, keyed=True).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    same = documents["doc_id"].cast("long").eqNullSafe(good["_id"]) & (text_key(documents["text"]) == good["_key"])
+    return documents.join(good, same, "left_semi")

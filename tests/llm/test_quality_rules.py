@@ -67,5 +67,17 @@ def test_junk_goes_and_prose_stays(spark):
     assert kept == {i for i, _ in good}
 
 
+def test_rows_without_id_and_texts_under_one_id_are_judged_each(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7)))
+    good = [(i, " ".join(word() for _ in range(80)), "x") for i in range(40)] + [(None, " ".join(word() for _ in range(80)), "x") for _ in range(5)]
+    junk = [(i, " ".join(word() + "###" for _ in range(80)), "x") for i in (0, 1, None, None)] + [(2, None, "x"), (None, "", "x")]
+    docs = spark.createDataFrame(good + junk + good[-1:], "doc_id long, text string, lang string")
+    kept = q.keep_good(docs)
+    assert kept.columns == docs.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted(good + good[-1:], key=key)
+
+
 def test_empty_table(spark):
     assert q.judge(spark.createDataFrame([], "doc_id long, text string")).collect() == []
