@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import stored, whole_groups
 
 #: Neighbours of a node in the graph; of a node when neighbours meet (both directions of edges); random trees; rows of a block;
-#: rounds of refinement; rounds of a search; nodes a query expands in a round; nodes it remembers.
-DEGREE, REACH, TREES, BLOCK, ROUNDS, HOPS, WIDTH, BEAM = 48, 96, 8, 512, 3, 3, 10, 64
+#: nodes a query expands in a round; nodes it remembers.
+DEGREE, REACH, TREES, BLOCK, WIDTH, BEAM = 48, 96, 8, 512, 10, 64
+#: The graph is refined until a round changes no more than this share of its edges.
+SETTLED = 0.002
 #: Ratio of lengths within a stratum; nodes of a stratum in the driver's sample; nodes of it where a query enters.
 RATIO, SAMPLE, ENTRIES = 4.0, 256, 4
 EDGE = "src long, dst long, sim float, fresh boolean"
@@ -232,20 +234,20 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _edges(src[new], dst[new], sim[new], np.ones(int(new.sum()), bool))
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, reach: int = REACH, trees: int = TREES, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(nodes: DataFrame, degree: int = DEGREE, reach: int = REACH, trees: int = TREES, block: int = BLOCK, settled: float = SETTLED) -> DataFrame:
     """Edges (src, dst, sim, fresh) of the neighbour graph of ``nodes`` (node, stratum, unit); no edge leaves a stratum."""
     coded = nodes.mapInArrow(_codes(trees), "tree int, code int, node long, unit binary")
     sorted_ = coded.repartitionByRange("tree", "code", "node").sortWithinPartitions("tree", "code", "node")
     graph = stored(best_edges(sorted_.mapInArrow(_block_edges(block, degree), EDGE), degree))
-    for _ in range(rounds):
+    while True:
         worst = graph.groupBy("src").agg(F.count("*").alias("n"), F.min("sim").alias("least")).select(F.col("src").alias("node"), F.when(F.col("n") >= degree, F.col("least")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
         known = nodes.join(worst, "node").select(F.col("node").alias("dst"), "unit", "worst")
         lists = both_ways(graph, reach).join(known, "dst").select("src", "dst", "fresh", "worst", "unit")
         met = lists.repartition("src").sortWithinPartitions("src").mapInArrow(_meetings, EDGE)
         graph = stored(best_edges(graph.withColumn("fresh", F.lit(False)).union(met), degree))
-        if not graph.filter("fresh").head(1):
-            break
-    return graph
+        n, changed = graph.agg(F.count("*"), F.count_if("fresh")).first()
+        if changed <= settled * n:
+            return graph
 
 
 def _scores(strata: Strata) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -269,12 +271,12 @@ def _scores(strata: Strata) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def search(queries: DataFrame, entries: DataFrame, nodes: DataFrame, graph: DataFrame, strata: Strata, k: int, hops: int = HOPS, width: int = WIDTH, beam: int = BEAM) -> DataFrame:
+def search(queries: DataFrame, entries: DataFrame, nodes: DataFrame, graph: DataFrame, strata: Strata, k: int, width: int = WIDTH, beam: int = BEAM) -> DataFrame:
     """(query_id, node): of each stratum the ``beam`` best nodes met on the walk from the entries.
 
     queries: (query_id, vector); entries: (query_id, node); nodes: (node, stratum, unit); graph: edges. Every hop expands the
     ``width`` best nodes of each query and stratum that were not expanded yet, unless the stratum cannot reach the best k + 1
-    nodes found so far (one of them may be the query's own).
+    nodes found so far (one of them may be the query's own). The walk ends when no node that could enter the result is open.
     """
     roads = stored(both_ways(graph, REACH).select(F.col("src").alias("node"), F.col("dst").alias("next")))
 
@@ -291,15 +293,13 @@ def search(queries: DataFrame, entries: DataFrame, nodes: DataFrame, graph: Data
         return placed.withColumn("least", least).withColumn("open", F.col("open") & (F.col("bound") >= F.col("least"))).drop("place", "least")
 
     state = stored(pruned(scored(entries.select("query_id", "node").distinct())))
-    for _ in range(hops):
+    while state.filter("open").head(1):
         ranked = state.withColumn("r", F.sum(F.col("open").cast("int")).over(best.rowsBetween(Window.unboundedPreceding, 0)))
         ranked = ranked.withColumn("now", F.col("open") & (F.col("r") <= width)).drop("r")
         reached = ranked.filter("now").join(roads, "node").select("query_id", F.col("next").alias("node")).distinct()
         fresh = scored(reached.join(state.select("query_id", "node"), ["query_id", "node"], "left_anti"))
         all_ = ranked.withColumn("open", F.col("open") & ~F.col("now")).drop("now").unionByName(fresh)
         state = stored(pruned(all_.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= beam).drop("rank")))
-        if not state.filter("open").head(1):
-            break
     return state.select("query_id", "node")
 
 

@@ -58,6 +58,13 @@ def recall(spark, x, every, k=20):
     return hits / (k * len(asked))
 
 
+def test_one_long_vector_does_not_spoil_the_graph(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((20_000, 24)).astype(np.float32)
+    x[777] *= 100
+    assert recall(spark, x, 100) >= 0.9
+
+
 def test_lengths_of_several_strata(spark):
     rng = np.random.default_rng(6)
     x = (rng.standard_normal((6_000, 16)) * 10 ** rng.uniform(-3, 1, (6_000, 1))).astype(np.float32)
