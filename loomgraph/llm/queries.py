@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import language_id, lexical, license_scan, line_dedup, mixing, near_dedup, nearest, packing, quality_rules, suffix_dedup, url_filter
+from loomgraph.llm import language_id, lexical, license_scan, line_dedup, mixing, near_dedup, nearest, packing, prefix_trie, quality_rules, suffix_dedup, url_filter
 from loomgraph.llm.common import table
 
 
@@ -61,10 +61,14 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_near_dedup, op3_license_scan, op4_suffix_dedup, op5_quality_rules, op6_nearest, op7_line_dedup, op8_url_filter, op9_packing, op10_language_id, op12_lexical_search]
+    found = [op1_mixing, op2_near_dedup, op3_license_scan, op4_suffix_dedup, op5_quality_rules, op6_nearest, op7_line_dedup, op8_url_filter, op9_packing, op10_language_id, op12_lexical_search, op13_prefix_trie]
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_license_scan": license_scan.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_url_filter": url_filter.ORACLE, "op12_lexical_search": lexical.ORACLE}
+    return {"op3_license_scan": license_scan.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_url_filter": url_filter.ORACLE, "op12_lexical_search": lexical.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
