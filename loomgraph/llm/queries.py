@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import language_id, lexical, license_scan, line_dedup, mixing, near_dedup, nearest, packing, prefix_trie, quality_rules, suffix_dedup, url_filter
+from loomgraph.llm import language_id, lexical, license_scan, line_dedup, mixing, near_dedup, nearest, packing, prefix_trie, quality_rules, suffix_dedup, toxicity, url_filter
 from loomgraph.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mixing, op2_near_dedup, op3_license_scan, op4_suffix_dedup, op5_quality_rules, op6_nearest, op7_line_dedup, op8_url_filter, op9_packing, op10_language_id, op12_lexical_search, op13_prefix_trie]
+    found = [op1_mixing, op2_near_dedup, op3_license_scan, op4_suffix_dedup, op5_quality_rules, op6_nearest, op7_line_dedup, op8_url_filter, op9_packing, op10_language_id, op11_toxicity, op12_lexical_search, op13_prefix_trie]
     return {f.__name__: f for f in found}
 
 
