@@ -320,16 +320,17 @@ def learn_words(rows: DataFrame, limit: int = LEXICON) -> dict[int, float]:
     return {r["word"]: r["odds"] for r in telling.collect()}
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
-    """Weights and intercept by Newton's method with a ridge; without labels everything is unlikely."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
+    """Weights and intercept by Newton's method with a ridge, from rows that occur ``times`` times; without rows everything is
+    unlikely."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     w = np.zeros(x.shape[1])
     if not len(y):
         return np.concatenate([np.ones(x.shape[1] - 1), [-4.0]])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), gradient)
+        gradient = x.T @ (times * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), gradient)
         w = w - step / max(1.0, np.abs(step).max() / 4)
         if np.abs(step).max() < 1e-6:
             break
@@ -355,9 +356,10 @@ def learn(rows: DataFrame) -> Model:
     """From (doc_id, text, toxic) of a bounded sample. Equal rows of features are counted together, so what the driver fits is small."""
     lex = lexicon(learn_words(rows))
     shared = rows.sparkSession.sparkContext.broadcast(lex)  # LEXICON words and the seeds
-    made = rows.mapInArrow(_feature_batches(shared), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).orderBy("toxic", *FEATURES).toArrow()
+    made = rows.mapInArrow(_feature_batches(shared), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
+    made = made.groupBy("toxic", *FEATURES).agg(F.count("*").alias("times")).toArrow().sort_by([(c, "ascending") for c in ["toxic", *FEATURES]])
     x = np.stack([made[f].to_numpy() for f in FEATURES], 1)
-    return Model(lex, fit_logistic(x, (made["toxic"].to_numpy() == 1).astype(float)))
+    return Model(lex, fit_logistic(x, (made["toxic"].to_numpy() == 1).astype(float), made["times"].to_numpy()))
 
 
 # --- scores ------------------------------------------------------------------------------------------------------------
