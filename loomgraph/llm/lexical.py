@@ -93,14 +93,16 @@ def classes(bagged: DataFrame, n_docs: int, n_terms: int, top: int) -> DataFrame
 
 
 class Postings:
-    """Items by term: the slice ``starts[t]:starts[t + 1]`` of ``items`` holds those with the term ``terms[t]``."""
+    """Items by term: the slice ``starts[t]:starts[t + 1]`` of ``items`` holds those with the term ``terms[t]``; ``ids``: their ids."""
 
-    def __init__(self, item: np.ndarray, term: np.ndarray, weight: np.ndarray):
+    def __init__(self, item_id: pa.Array, term: np.ndarray, weight: np.ndarray):
+        coded = item_id.cast(pa.int64()).dictionary_encode(null_encoding="encode")
+        item, self.ids = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         order = np.lexsort((item, term))
         self.items, term = item[order], term[order]
         self.terms, first = np.unique(term, return_index=True)
         self.starts, self.weights = np.append(first, len(term)), weight[order][first]
-        self.n_items = int(item.max()) + 1 if len(item) else 0
+        self.n_items = len(self.ids)
 
 
 def score_rows(p: Postings, row: np.ndarray, term: np.ndarray, tf: np.ndarray, m: np.ndarray, n: int) -> np.ndarray:
@@ -160,7 +162,8 @@ def _score_batches(shared, top: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 terms = part.column(2)
                 row = np.repeat(np.arange(n), terms.value_lengths().to_numpy())
                 best.add(score_rows(p, row, terms.flatten().to_numpy(), part.column(3).flatten().to_numpy(), part.column(1).to_numpy(), n), first, members)
-        yield pa.RecordBatch.from_arrays([pa.array(best.item, pa.int32()), pa.array(best.score), pa.array(best.members, pa.list_(pa.int64()))], ["item", "score", "members"])
+        ids = p.ids.take(pa.array(best.item))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(best.score), pa.array(best.members, pa.list_(pa.int64()))], ["item_id", "score", "members"])
 
     return run
 
@@ -188,15 +191,13 @@ def search(items: DataFrame, documents: DataFrame, top: int = 10, vocabulary_lim
     found = []
     for block in range(blocks):
         here = postings.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toArrow()
-        coded = here["item_id"].combine_chunks().dictionary_encode(null_encoding="encode")
         df = here["df"].to_numpy()
         weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * d + 1))) for d in df.tolist()], np.int64)
-        shared = spark.sparkContext.broadcast(Postings(coded.indices.to_numpy().astype(np.int64), here["term"].to_numpy(), weight))
+        shared = spark.sparkContext.broadcast(Postings(here["item_id"].combine_chunks(), here["term"].to_numpy(), weight))
         if not len(df):
             continue
-        scored = groups.mapInArrow(_score_batches(shared, top), "item int, score long, members array<long>")
-        listed = spark.createDataFrame(list(enumerate(coded.dictionary.to_pylist())), "item int, item_id long")
-        found.append(scored.select("item", "score", F.explode("members").alias("doc_id")).join(listed, "item"))
+        scored = groups.mapInArrow(_score_batches(shared, top), "item_id long, score long, members array<long>")
+        found.append(scored.select("item_id", "score", F.explode("members").alias("doc_id")))
     if not found:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     rows = found[0]
