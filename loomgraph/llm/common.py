@@ -76,7 +76,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and BASE ** -i modulo 2 ** 64 for i < n."""
     if "up" not in _powers or len(_powers["up"]) < n:
         for name, base in (("up", BASE), ("down", BASE_INVERSE)):
-            steps = np.full(max(n, 1 << 16), base, np.uint64)
+            steps = np.full(max(1 << (n - 1).bit_length(), 1 << 16), base, np.uint64)
             steps[0] = 1
             _powers[name] = np.cumprod(steps)
     return _powers["up"][:n], _powers["down"][:n]

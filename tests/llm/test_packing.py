@@ -23,6 +23,22 @@ def test_ids_are_those_of_the_tokenizer():
         assert encoder.encode([t])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_plain_texts_and_clashing_hashes(monkeypatch):
+    rng = random.Random(5)
+    tokenizer = Tokenizer.from_file(PATH)
+    words = ["The", "ÉTÉ", "straße", "naïve", "x9y", "12", "a.b", "1,5", ".", ",", "Ünited.", "a" * 40, "÷", "it's", "日本", "\n", ". ."]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "\n", ""]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def check():
+        ids, counts, _ = packing.WordEncoder(PATH).encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+    check()
+    monkeypatch.setattr(packing, "mix", lambda x: x & np.uint64(3))  # nearly all words share a hash
+    check()
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 5)
     encoder, tokenizer = packing.WordEncoder(PATH), Tokenizer.from_file(PATH)
@@ -95,3 +111,26 @@ def test_little_padding(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_many_rows_without_id(spark):
+    docs = spark.createDataFrame([(None, f"text {i} of many") for i in range(1000)] + [(5, f"other {i}") for i in range(1000)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pieces = packing.pack(docs.repartition(8), PATH).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for name in (None, 5):
+        ranges = {p.sequence_id >> 40 for p in pieces if p.doc_id == name}
+        assert len(ranges) > 1
+    whole = Tokenizer.from_file(PATH)
+    assert sum(p.length for p in pieces) == sum(len(whole.encode(r.text, add_special_tokens=False).ids) + 1 for r in docs.collect())
+
+
+def test_pieces_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 50)
+    data, offsets = packing.utf8_rows(packing.pa.array(["short", "one two three " * 40 + "z" * 300, "", None, "last one"]))
+    parts = list(packing._cut_rows(data, offsets))
+    assert b"".join(p[2].tobytes() for p in parts) == data.tobytes()
+    assert sorted({p[0] + k for p in parts for k in range(p[1])}) == [0, 1, 2, 3, 4]
+    assert all(p[2][0] in (32, 10) for q, p in zip(parts, parts[1:], strict=False) if p[0] == q[0] == 1)
