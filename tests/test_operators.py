@@ -304,3 +304,19 @@ def test_append_mode_gives_closed_sessions(spark):
     streamed = as_set(feeds.materialize_stream(feeds.debounced_saves(feeds.read_changes(spark, SF), "10 minutes"), "append"),
                       "chat_id", "event_id", "changes")
     assert streamed <= whole and len(streamed) > 0.9 * len(whole)
+
+
+def test_text_mentions_in_a_very_long_word(spark):
+    """One word of a million characters, needles of forty lengths, in one automaton and in many."""
+    import time
+
+    needles = ["ab" * n + "c" for n in range(1, 21)] + [f"x{n}/" + "y" * n for n in range(20)] + [" ", "é日", "a b"]
+    text = "ab" * 500_000 + "c" + "x7/yyyyyyyyyy é日"
+    frames = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string"), spark.createDataFrame([(n,) for n in needles], "needle string")
+    expected = sorted(n for n in needles if n.strip() and n in text)
+    for shard in (10**6, 100):
+        start = time.time()
+        found = cross_service.text_mentions(*frames, ["id"], shard=shard).collect()
+        assert sorted(r.needle for r in found) == expected and {r.id for r in found} == {1}
+        assert shard == 100 or time.time() - start < 5
+    assert cross_service.text_mentions(frames[0], frames[1].limit(0), ["id"]).collect() == []
