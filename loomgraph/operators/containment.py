@@ -1,6 +1,6 @@
-"""Interval joins: which symbol covers a chunk or another symbol.
+"""Which symbol covers a chunk or another symbol.
 
-A plain range join inside a file is quadratic in the length of the file. Here every outer span is listed once per block
+Where one cover is wanted, spans are swept (``sweep``) and no pairs arise. Where all pairs are the result they are joined: a plain range join inside a file is quadratic in the length of the file. Here every outer span is listed once per block
 of lines it touches, the inner span carries the block of its first line, and the join is an equi join on
 (repo_url, file_path, block) with the exact range test on top. The work is linear in the lines of a file.
 """
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from loomgraph import constants as K
 from loomgraph.functions import derive as D
 from loomgraph.operators.edges import union_all
+from loomgraph.operators.sweep import BLOCK_LINES, best_covering
 
-BLOCK_LINES = 256
 FILE_BLOCK = ["repo_url", "file_path", "line_block"]
 
 
@@ -38,16 +38,10 @@ def covering_pairs(inner: DataFrame, outer: DataFrame, how: str = "inner") -> Da
 def chunk_parent_by_range(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """Smallest symbol of the same file that covers the chunk; null parent when none does."""
     inner = chunks.select("repo_url", "file_path", "chunk_id", "start_line", "end_line")
-    outer = symbols.select("repo_url", "file_path", "label", "unique_id", "start_line", "end_line")
-    pairs = covering_pairs(inner, outer, "left")
-    rank = F.struct((F.col("o_end_line") - F.col("o_start_line")).alias("span"), "o_start_line", "o_unique_id")
-    # The block is a grouping key too, so the join's partitioning serves the aggregation.
-    return (
-        pairs.groupBy(*FILE_BLOCK, "chunk_id")
-        .agg(F.min_by(F.struct("o_label", "o_unique_id"), F.when(F.col("o_unique_id").isNotNull(), rank)).alias("p"))
-        .select("repo_url", "file_path", "chunk_id", F.col("p.o_label").alias("parent_label"),
-                F.col("p.o_unique_id").alias("parent_id"))
-    )
+    outer = symbols.select("repo_url", "file_path", "label", "unique_id", "start_line", "end_line",
+                           (F.col("end_line") - F.col("start_line")).alias("span"))
+    found = best_covering(inner, outer, ["repo_url", "file_path", "chunk_id"], [], ["span", "start_line", "unique_id"], ["label", "unique_id"])
+    return found.select("repo_url", "file_path", "chunk_id", F.col("best_label").alias("parent_label"), F.col("best_unique_id").alias("parent_id"))
 
 
 def methods_of_class(classes: DataFrame, functions: DataFrame) -> DataFrame:
@@ -66,18 +60,10 @@ def entity_nesting(symbols: DataFrame) -> DataFrame:
     a function of the same span only when it precedes it in that order.
     """
     cols = ["repo_url", "file_path", "label", "unique_id", "name", "start_line", "end_line"]
-    rank_of = lambda p: F.struct(*[F.col(f"{p}{c}").alias(c) for c in ("label", "name", "unique_id")])
-    inner = symbols.select(*cols)
-    pairs = covering_pairs(inner, inner, "left")
-    same_span = (F.col("o_start_line") == F.col("start_line")) & (F.col("o_end_line") == F.col("end_line"))
-    contains = F.col("o_unique_id").isNotNull() & (~same_span | (rank_of("o_") < rank_of("")))
-    size = F.when(contains, F.struct(F.col("o_end_line") - F.col("o_start_line"), F.col("o_unique_id")))
-    return (
-        pairs.groupBy(*FILE_BLOCK, *cols[2:])
-        .agg(F.min_by("o_unique_id", size).alias("parent_id"),
-             F.count(F.when(contains, 1)).alias("nesting_level"))
-        .drop("line_block")
-    )
+    spans = symbols.select(*cols, (F.col("end_line") - F.col("start_line")).alias("span"))
+    order = [F.col(c) for c in ("label", "name", "unique_id")]
+    found = best_covering(spans, None, cols, order, ["span", "unique_id"], ["unique_id"], counted=True)
+    return found.select(*cols, F.col("best_unique_id").alias("parent_id"), F.col("best_count").alias("nesting_level"))
 
 
 def chunk_file_cascade(chunks: DataFrame, files: DataFrame) -> DataFrame:
@@ -159,11 +145,12 @@ def assign_chunks(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
     # Covering symbols: the best of each kind, as the kind's bonus is the same for all of them.
-    pairs = covering_pairs(spans, entity_nesting(symbols).drop("parent_id"))
-    rank = F.struct((-F.col("o_nesting_level")).alias("depth"), "o_start_line", "o_unique_id")
-    covering = pairs.groupBy(*FILE_BLOCK, "chunk_id").agg(
-        F.min(F.when(F.col("o_label") == "Function", rank)).alias("fn"),
-        F.min(F.when(F.col("o_label") == "Class", rank)).alias("cl")).drop("line_block")
+    depths = entity_nesting(symbols).select("repo_url", "file_path", "label", "unique_id", "start_line", "end_line",
+                                            (-F.col("nesting_level")).alias("depth"))
+    found = best_covering(spans, depths, key, [], ["depth", "start_line", "unique_id"], ["depth", "start_line", "unique_id"], ["Function", "Class"])
+    of = lambda kind: F.when(F.col(f"{kind}_unique_id").isNotNull(), F.struct(
+        F.col(f"{kind}_depth").alias("depth"), F.col(f"{kind}_start_line").alias("o_start_line"), F.col(f"{kind}_unique_id").alias("o_unique_id")))
+    covering = found.select(*key, of("Function").alias("fn"), of("Class").alias("cl"))
 
     # Mentions: symbols are listed in three line blocks each, so that chunks and their texts are not repeated.
     # Of several, the one that begins first counts, the longer one at equal starts.

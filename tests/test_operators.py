@@ -320,3 +320,56 @@ def test_text_mentions_in_a_very_long_word(spark):
         assert sorted(r.needle for r in found) == expected and {r.id for r in found} == {1}
         assert shard == 100 or time.time() - start < 5
     assert cross_service.text_mentions(frames[0], frames[1].limit(0), ["id"]).collect() == []
+
+
+def test_nesting_like_brute_force(spark):
+    rnd = random.Random(27)
+    rows = []
+    for i in range(400):
+        start = rnd.choice([1, 2, 3, rnd.randint(1, 900)])
+        rows.append(("r", f"f{i % 3}", rnd.choice(["Class", "Function"]), f"u{i}", rnd.choice("abc"), start, start + rnd.choice([0, 0, 1, 5, 40, 600])))
+    rows += [("r", "f0", "Class", "open", "a", None, None), ("r", None, "Class", "nowhere", "a", 1, 1)]
+    cols = ["repo_url", "file_path", "label", "unique_id", "name", "start_line", "end_line"]
+    got = containment.entity_nesting(spark.createDataFrame(rows, "repo_url string, file_path string, label string, unique_id string, name string, start_line int, end_line int").repartition(5))
+    expected = set()
+    for a in rows:
+        over = [b for b in rows if a is not b and None not in (a[1], a[5], b[1], b[5]) and a[1] == b[1] and b[5] <= a[5] and b[6] >= a[6]
+                and ((a[5], a[6]) != (b[5], b[6]) or (b[2], b[4], b[3]) < (a[2], a[4], a[3]))]
+        best = min(over, key=lambda b: (b[6] - b[5], b[3]))[3] if over else None
+        expected.add((a[3], best, len(over)))
+    assert as_set(got, "unique_id", "parent_id", "nesting_level") == expected
+
+
+def test_chunk_parents_like_brute_force(spark):
+    rnd = random.Random(6)
+    spans = lambda n, size: [(f"f{i % 2}", i, s, s + rnd.randint(0, size)) for i in range(n) for s in [rnd.randint(1, 1500)]]
+    chunks, symbols = spans(200, 30), spans(150, 700)
+    got = containment.chunk_parent_by_range(
+        spark.createDataFrame([("r", f, f"c{i}", s, e) for f, i, s, e in chunks], "repo_url string, file_path string, chunk_id string, start_line int, end_line int"),
+        spark.createDataFrame([("r", f, "Function", f"u{i:03}", s, e) for f, i, s, e in symbols], "repo_url string, file_path string, label string, unique_id string, start_line int, end_line int"))
+    expected = set()
+    for f, i, s, e in chunks:
+        over = [(q - p, p, f"u{k:03}") for g, k, p, q in symbols if g == f and p <= s and q >= e]
+        expected.add((f"c{i}", min(over)[2] if over else None))
+    assert as_set(got, "chunk_id", "parent_id") == expected
+
+
+def test_many_symbols_on_one_line(spark):
+    """Four times the symbols of one line cost about four times the time, not sixteen times."""
+    import time
+
+    import numpy as np
+
+    from loomgraph.operators.sweep import dominated
+
+    took = []
+    for n in (50_000, 200_000):
+        start = time.time()
+        count, best = dominated(np.zeros(n, np.int64), np.ones(n, np.int64), np.ones(n, bool), np.ones(n, bool), np.arange(n)[::-1].copy())
+        took.append(time.time() - start)
+        assert count.tolist() == list(range(n)) and best[1:].tolist() == [n - 1 - k for k in range(n - 1)]
+    assert took[1] < 10 * took[0]
+    rows = spark.range(20_000).selectExpr("'r' AS repo_url", "'one.js' AS file_path", "'Function' AS label", "printf('u%05d', id) AS unique_id",
+                                          "printf('n%05d', id) AS name", "1 AS start_line", "1 AS end_line")
+    got = {r.unique_id: (r.parent_id, r.nesting_level) for r in containment.entity_nesting(rows).collect()}
+    assert len(got) == 20_000 and got["u00000"] == (None, 0) and got["u19999"] == ("u00000", 19_999)
