@@ -115,16 +115,22 @@ def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
             s = np.concatenate(scores)
             s = np.exp(s - s.max(1, keepdims=True)) if len(s) else s
             s = s / s.sum(1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(tokens), pa.int64()), *[pa.array(c, pa.float64()) for c in s.T]], ["doc_id", "n_tokens", *[f"p_{x}" for x in DOMAINS]])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.concatenate(tokens), pa.int64()), *[pa.array(c, pa.float64()) for c in s.T]], ["doc_id", "key", "n_tokens", *[f"p_{x}" for x in DOMAINS]])
 
     return run
 
 
 def posteriors(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_tokens and p_<domain> for every row; null text is empty and gets the domains' prior without features."""
+    """doc_id, key (a hash of doc_id and text), n_tokens and p_<domain> for every row; null text is empty and gets the domains'
+    prior without features."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # at most KEPT features per domain
-    schema = "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS)
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scorer(shared), schema)
+    schema = "doc_id long, key long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key_of().alias("key")).mapInArrow(_scorer(shared), schema)
+
+
+def key_of() -> Column:
+    """Tells rows apart by doc_id and text: many rows may have no doc_id, or the same one."""
+    return F.xxhash64(F.lit(17), F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def rate_of(steps: list[list[float]], max_rate: float) -> Column:
@@ -141,17 +147,23 @@ def rate_of(steps: list[list[float]], max_rate: float) -> Column:
     return F.aggregate(table, rate, step)
 
 
+def as_used(rate: Column) -> Column:
+    """Rates from ``WHOLE_FROM`` to 1 are 1: a document of a wanted domain never goes for a shade of doubt."""
+    return F.when(rate.between(WHOLE_FROM, 1.0), F.lit(1.0)).otherwise(rate)
+
+
 def expected(rows: DataFrame, rate: Column) -> list[float]:
     """Expected tokens of each domain under the rates."""
     sums = [F.sum((F.col("n_tokens") * F.col(f"p_{d}") * rate).cast("decimal(30,6)")).alias(d) for d in DOMAINS]
     return [float(x or 0) for x in rows.agg(*sums).first()]
 
 
-def fit(rows: DataFrame, weights: dict[str, float] = WEIGHTS, max_rate: float = MAX_RATE) -> tuple[list[list[float]], list[float], list[float]]:
-    """Steps of the projected gradient, targets and expected tokens at the end.
+def fit(rows: DataFrame, weights: dict[str, float] = WEIGHTS, max_rate: float = MAX_RATE) -> tuple[list[list[float]], list[float], list[float], bool]:
+    """Steps of the projected gradient, targets and expected tokens at the end, all at the rates as they are used.
 
     Minimises the sum over domains of (expected - target) ** 2 / (tokens of the domain), with steps in the metric in which a
-    document weighs as its tokens; there the largest curvature is 1, so a unit step never diverges. Stops when no domain moves.
+    document weighs as its tokens; there the largest curvature is 1, so a unit step never diverges. Stops when no
+    domain moves; the last value says whether that happened within ``ROUNDS`` steps.
     """
     have = expected(rows, F.lit(1.0))
     heaviest = max(weights, key=weights.get)
@@ -161,30 +173,36 @@ def fit(rows: DataFrame, weights: dict[str, float] = WEIGHTS, max_rate: float =
     now = have
     for _ in range(ROUNDS):
         steps.append([(e - t) / h if h else 0.0 for e, t, h in zip(now, targets, have, strict=True)])
-        was, now = now, expected(rows, rate_of(steps, max_rate))
-        if max(abs(a - b) for a, b in zip(was, now, strict=True)) <= TOLERANCE * max(sum(have), 1.0) / len(have):
+        was, now = now, expected(rows, as_used(rate_of(steps, max_rate)))
+        settled = max(abs(a - b) for a, b in zip(was, now, strict=True)) <= TOLERANCE * max(sum(have), 1.0) / len(have)
+        if settled:
             break
-    return steps, targets, now
+    return steps, targets, now, settled
 
 
 def mix(documents: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, max_rate: float = MAX_RATE) -> DataFrame:
-    """doc_id, n_tokens, p_<domain>, rate and copies, for every row of ``documents``.
+    """doc_id, n_tokens, p_<domain>, rate, copies, residual_<domain> and settled, for every row of ``documents``.
 
-    copies is the rate rounded up or down at random by a hash of doc_id, so that its expectation is the rate; rates from
-    ``WHOLE_FROM`` to 1 count as 1, so that a document of a wanted domain never goes for a shade of doubt. Repeated rows are
-    rated each; a null doc_id draws like one more id. Without labels all domains are alike and the weights cannot bind. An
-    empty table gives an empty table.
+    The rate is the one that is used; copies is the rate rounded up or down at random by a hash of doc_id and text, so that its
+    expectation is the rate. residual_<domain> is the share of all tokens by which the fitted rates miss the domain's target
+    (above 0: too many), settled whether the fit came to rest; both are the same in all rows. Repeated rows draw alike; rows
+    without doc_id, or with one doc_id and different texts, draw apart. Without labels all domains are alike and the weights
+    cannot bind. An empty table gives an empty table.
     """
+    return _mixed(documents, labels, weights, max_rate).drop("key")
+
+
+def _mixed(documents: DataFrame, labels: DataFrame, weights: dict[str, float], max_rate: float) -> DataFrame:
     rows = stored(posteriors(documents, learn(labelled(documents, labels))))
-    steps, _, _ = fit(rows, weights, max_rate)
-    rated = rows.withColumn("rate", rate_of(steps, max_rate))
-    rate = F.when(F.col("rate").between(WHOLE_FROM, 1.0), F.lit(1.0)).otherwise(F.col("rate"))
-    draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
-    return rated.withColumn("copies", copies.cast("long"))
+    steps, targets, now, settled = fit(rows, weights, max_rate)
+    rated = rows.withColumn("rate", as_used(rate_of(steps, max_rate)))
+    draw = F.pmod("key", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
+    missed = [F.lit((e - t) / max(sum(now), 1.0)).alias(f"residual_{d}") for d, e, t in zip(DOMAINS, now, targets, strict=True)]
+    return rated.select("*", copies.cast("long").alias("copies"), *missed, F.lit(settled).alias("settled"))
 
 
 def keep_mixed(documents: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """The rows of ``documents`` that stay when no document may be taken more than once."""
-    stay = mix(documents, labels, weights, max_rate=1.0).filter("copies > 0").select("doc_id").distinct()
-    return documents.join(stay, documents["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    """The rows of ``documents`` that stay when no document may be taken more than once; rows are told apart by doc_id and text."""
+    stay = _mixed(documents, labels, weights, max_rate=1.0).filter("copies > 0").select(F.col("key").alias("_stay")).distinct()
+    return documents.join(stay, key_of() == F.col("_stay"), "left_semi")

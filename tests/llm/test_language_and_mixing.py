@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import language_id as lid
@@ -97,3 +98,45 @@ def test_odd_rows(spark):
     rows = mixing.mix(docs.union(odd), labels.union(both)).collect()
     assert len(rows) == 304 and all(r.copies is not None for r in rows)
     assert mixing.mix(docs.limit(0), labels.limit(0)).collect() == []
+
+
+def test_rows_without_or_with_one_id_draw_apart(spark):
+    docs, labels = corpus(spark)
+    texts = {i % 5: r.text for i, r in enumerate(docs.orderBy("doc_id").limit(10).collect())}
+    odd = [(None, texts[4] + f" n{i}", "s", 1) for i in range(5)] + [(None, texts[0] + f" n{i}", "s", 1) for i in range(5)]
+    odd += [(700, texts[4] + " more", "s", 1), (700, texts[1] + " more", "s", 1)]
+    rows = mixing.keep_mixed(docs.union(spark.createDataFrame(odd, docs.schema)), labels).collect()
+    kept = [r.text for r in rows if r.doc_id is None or r.doc_id == 700]
+    assert sorted(kept) == sorted(t for _, t, *_ in odd if "nastyword" not in t)
+
+
+@pytest.mark.parametrize("whole_from", [0.9, 1.0])
+def test_fit_like_a_plain_solver(spark, monkeypatch, whole_from):
+    """The same least squares by plain projected gradient over arrays, with and without the rule for rates
+    near 1."""
+    monkeypatch.setattr(mixing, "WHOLE_FROM", whole_from)
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.5, 0.3, 0.2], 400)
+    n = rng.integers(0, 300, 400)
+    rows = spark.createDataFrame([(i, int(k), *map(float, q)) for i, (k, q) in enumerate(zip(n, p, strict=True))], "doc_id long, n_tokens long, p_clean double, p_low double, p_toxic double")
+    weights = {"clean": 0.7, "low": 0.25, "toxic": 0.05}
+    steps, targets, now, settled = mixing.fit(rows, weights, 4.0)
+    have = n @ p
+    assert np.allclose(targets, np.array([0.7, 0.25, 0.05]) * have[0] / 0.7, rtol=1e-6)
+    rate = np.ones(400)
+    for _ in range(len(steps)):
+        used = np.where((rate >= mixing.WHOLE_FROM) & (rate <= 1), 1.0, rate)
+        rate = np.clip(rate - p @ (((n * used) @ p - targets) / have), 0, 4.0)
+    used = np.where((rate >= mixing.WHOLE_FROM) & (rate <= 1), 1.0, rate)
+    assert np.allclose((n * used) @ p, now, rtol=1e-4) and isinstance(settled, bool)
+    assert np.abs(np.array(now) / sum(now) - list(weights.values())).max() < 0.01
+
+
+def test_residuals_say_what_the_rates_miss(spark):
+    docs, labels = corpus(spark)
+    out = mixing.mix(docs, labels, {"clean": 0.8, "low": 0.15, "toxic": 0.05})
+    one = out.first()
+    tokens = out.agg(*[F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{d}")).alias(d) for d in mixing.DOMAINS]).first()
+    base = out.agg(F.sum(F.col("n_tokens") * F.col("p_clean"))).first()[0]
+    for d, w in (("clean", 0.8), ("low", 0.15), ("toxic", 0.05)):
+        assert abs(one[f"residual_{d}"] - (tokens[d] - w * base / 0.8) / sum(tokens)) < 1e-4
