@@ -54,10 +54,12 @@ def _blank(text: str, language: str) -> str:
     return _NO_CODE[kind].sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] in "#/" else '"' + re.sub(r"[^\n]", " ", m[0][1:-1]) + '"', text)
 
 
-def _ends_by_indent(text: str, starts: list[int]) -> list[int]:
-    """Last line of the block each start opens: before the next filled line that is not indented deeper.
+def _ends_by_indent(text: str, starts: list[int]) -> list[tuple[int, int]]:
+    """First decorator line (0-based) and last line of the block each start opens: before the next filled line that is not
+    indented deeper.
 
-    Lines that continue brackets or a literal belong to the line before them, whatever their indentation.
+    Lines that continue brackets or a literal belong to the line before them, whatever their indentation. Blank lines and
+    comments may stand between decorators.
     """
     bare = _blank(text, "python")
     lines, at, depth, indent = bare.split("\n"), 0, 0, []
@@ -81,7 +83,12 @@ def _ends_by_indent(text: str, starts: list[int]) -> list[int]:
         e = nxt[s]
         while e - 1 > s and indent[e - 1] == -1:
             e -= 1
-        out.append(e)
+        first, above = s, s - 1
+        while above >= 0 and (indent[above] < 0 or lines[above].lstrip().startswith("@")):
+            if indent[above] >= 0:
+                first = above
+            above -= 1
+        out.append((first, e))
     return out
 
 
@@ -131,18 +138,20 @@ def _ends_by_brace(text: str, language: str, starts: list[int]) -> list[int]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def span_ends(language: pd.Series, content: pd.Series, starts: pd.Series) -> pd.Series:
-    """End lines (1-based) for the 0-based start lines of a file's declarations."""
+@F.pandas_udf(T.ArrayType(T.StructType().add("first", "integer").add("last", "integer")))
+def spans(language: pd.Series, content: pd.Series, starts: pd.Series) -> pd.Series:
+    """First decorator line (0-based) and end line (1-based) for the 0-based start lines of a file's declarations."""
     out = []
     for lang, text, s in zip(language, content, starts):
         begins = [int(x) for x in s]
-        out.append([] if not begins else _ends_by_indent(text, begins) if lang == "python" else _ends_by_brace(text, lang, begins))
+        found = [] if not begins else _ends_by_indent(text, begins) if lang == "python" else zip(
+            begins, _ends_by_brace(text, lang, begins))
+        out.append([{"first": a, "last": b} for a, b in found])
     return pd.Series(out)
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """Functions, classes, structs, interfaces and enums with their spans and text."""
+    """Functions, classes, structs, interfaces and enums with their spans, text and, in Python, the decorators above."""
     def at(l: Column, i: Column) -> Column:
         kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
         for language, forms in reversed(DECLARATIONS.items()):
@@ -159,15 +168,15 @@ def symbols(files: DataFrame) -> DataFrame:
         files.filter(F.col("language").isin(list(DECLARATIONS)))
         .withColumn("lines", F.split("content", "\n"))
         .withColumn("decl", F.filter(F.transform("lines", at), lambda d: d["kind"].isNotNull()))
-        .withColumn("ends", span_ends("language", "content", F.transform("decl", lambda d: d["i"])))
+        .withColumn("span", spans("language", "content", F.transform("decl", lambda d: d["i"])))
     )
     return (
-        prepared.select("repo_url", "path", "language", "lines", F.inline(F.arrays_zip("decl", "ends")))
+        prepared.select("repo_url", "path", "language", "lines", F.inline(F.arrays_zip("decl", "span")))
         .select("repo_url", F.col("path").alias("file_path"), "language", F.col("decl.kind").alias("kind"),
                 F.col("decl.name").alias("name"), D.symbol_id(F.col("path"), F.col("decl.name")).alias("unique_id"),
-                (F.col("decl.i") + 1).alias("start_line"), F.col("ends").alias("end_line"),
-                F.array_join(F.slice("lines", F.col("decl.i") + 1, F.col("ends") - F.col("decl.i")), "\n").alias("text"),
-                F.when(F.col("decl.i") > 0, F.get("lines", F.col("decl.i") - 1)).alias("line_above"))
+                (F.col("decl.i") + 1).alias("start_line"), F.col("span.last").alias("end_line"),
+                F.array_join(F.slice("lines", F.col("decl.i") + 1, F.col("span.last") - F.col("decl.i")), "\n").alias("text"),
+                F.array_join(F.slice("lines", F.col("span.first") + 1, F.col("decl.i") - F.col("span.first")), "\n").alias("decorators"))
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import constants as K
+from loomgraph.extract.members import blocks, statements
 from loomgraph.extract.structure import _groups
 from loomgraph.functions import derive as D
 from loomgraph.operators.edges import union_all
@@ -26,8 +27,10 @@ GORILLA_ROUTE = r"""(?:r|router)\.HandleFunc\(['"]([^'"]+)['"]"""
 GORILLA_METHOD = r"""Methods\(['"]([A-Z]+)['"]"""
 # Table mapping forms and field types.
 TABLE_NAME = r"""__tablename__\s*=\s*['"]([^'"]+)['"]"""
-COLUMN_FORM = r"(\w+)\s*=\s*Column\(([^)]+)\)"
-RELATION_FORM = r"(\w+)\s*=\s*relationship\(([^)]+)\)"
+# Statements with a colon that annotate nothing, members of interfaces (name, ``?``, type or signature) and fields of structs.
+NO_ATTRIBUTE = r"^(?:else|try|finally|except)\s*:"
+TS_MEMBER = r"""(?s)^(?:readonly\s+)?(?!new\b\s*[(<])([\w$]+|"[^"]*"|'[^']*'|\[[^\]]*\])\s*(\?)?\s*(?::\s*(.*)|([(<].*)|)$"""
+GO_FIELD = r"(?s)^(\w+(?:\s*,\s*\w+)*)[ \t]+([^`]+?)\s*(`[^`]*`)?$"
 COLUMN_TYPES = ["Integer", "String", "Boolean", "DateTime", "Float"]
 
 ENDPOINT = ["repo_url", "path", "name", "route", "method", "framework"]
@@ -104,52 +107,50 @@ def python_endpoints(files: DataFrame) -> DataFrame:
 
 
 def sqlalchemy_models(symbols: DataFrame) -> DataFrame:
-    """Mapped classes with table name, typed columns with constraints, and relationships."""
-    text, definition = F.col("text"), F.col("def")
-    bases = F.regexp_extract(text, PY_CLASS, 2)
+    """Mapped classes with table name, typed columns with constraints, and relationships.
+
+    Fields are statements of the class body itself; what methods and inner classes assign is none.
+    """
+    text = F.col("text")
     mapped = (D.contains_any(text, ["__tablename__", "Column(", "relationship(", "ForeignKey("])
-              | F.array_contains(_comma_list(bases), "Base"))
-    kind = F.lit("Unknown")
-    for t in reversed(COLUMN_TYPES):
-        kind = F.when(definition.contains(t), t).otherwise(kind)
-    target = F.regexp_extract(definition, r"""ForeignKey\(['"]([^'"]+)['"]""", 1)
-    constraints = F.array_compact(F.array(
-        F.when(definition.contains("primary_key=True"), "PRIMARY KEY"), F.when(definition.contains("unique=True"), "UNIQUE"),
-        F.when(definition.contains("nullable=False"), "NOT NULL"),
-        F.when(target != "", F.concat(F.lit("FOREIGN KEY ("), target, F.lit(")")))))
-    classes = symbols.filter((F.col("language") == "python") & (F.col("kind") == "class") & mapped)
-    base = classes.select("repo_url", F.col("file_path").alias("path"), "unique_id", "name", "start_line",
-                          F.nullif(F.regexp_extract(text, TABLE_NAME, 1), F.lit("")).alias("table_name"), "text")
-    keys = ["repo_url", "path", "unique_id", "name", "start_line", "table_name"]
-    # A column definition may hold one pair of inner parentheses (ForeignKey, String(50)).
-    col_form = r"(\w+)\s*=\s*Column\(((?:[^()]|\([^()]*\))+)\)"
-    columns = base.select(*keys, F.posexplode_outer(_groups("text", col_form, ["field", "def"])).alias("n", "m")) \
-        .filter("m IS NOT NULL").select(*keys, "n", "m.field", F.col("m.def").alias("def")) \
-        .select(*keys, F.lit(0).alias("part"), F.col("n"), "field", kind.alias("type"), constraints.alias("constraints"))
-    related = F.regexp_extract(definition, r"""['"]([^'"]+)['"]""", 1)
-    relations = base.select(*keys, F.posexplode(_groups("text", RELATION_FORM, ["field", "def"])).alias("n", "m")) \
-        .select(*keys, F.col("n"), "m.field", F.col("m.def").alias("def")) \
-        .select(*keys, F.lit(1).alias("part"), "n", "field", F.concat(F.lit("Relationship<"), F.when(related == "", "Unknown").otherwise(related),
-                                              F.lit(">")).alias("type"), F.array().cast("array<string>").alias("constraints"))
-    bare = base.select(*keys, F.lit(0).alias("part"), F.lit(-1).alias("n"), F.lit(None).cast("string").alias("field"),
-                       F.lit(None).cast("string").alias("type"), F.array().cast("array<string>").alias("constraints"))
-    item = F.when(F.col("n") >= 0, F.struct("part", "n", F.col("field").alias("name"), "type", "constraints"))
-    # A group is one class of one file.
-    return union_all([columns, relations, bare]).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("f")).select(
-        "repo_url", "path", "name", "table_name", F.transform("f", lambda x: F.struct(
-            x["name"].alias("name"), x["type"].alias("type"), x["constraints"].alias("constraints"))).alias("fields"))
+              | F.array_contains(_comma_list(F.regexp_extract(text, PY_CLASS, 2)), "Base"))
+    name = lambda s: F.regexp_extract(s["target"], r"^(\w+)", 1)
+
+    def column(s: Column) -> Column:
+        d = s["value"]
+        kind = F.lit("Unknown")
+        for t in reversed(COLUMN_TYPES):
+            kind = F.when(d.contains(t), t).otherwise(kind)
+        target = F.regexp_extract(d, r"""ForeignKey\(['"]([^'"]+)['"]""", 1)
+        return F.struct(name(s).alias("name"), kind.alias("type"), F.array_compact(F.array(
+            F.when(d.contains("primary_key=True"), "PRIMARY KEY"), F.when(d.contains("unique=True"), "UNIQUE"),
+            F.when(d.contains("nullable=False"), "NOT NULL"),
+            F.when(target != "", F.concat(F.lit("FOREIGN KEY ("), target, F.lit(")"))))).alias("constraints"))
+
+    def relation(s: Column) -> Column:
+        related = F.regexp_extract(s["value"], r"""['"]([^'"]+)['"]""", 1)
+        kind = F.concat(F.lit("Relationship<"), F.when(related == "", "Unknown").otherwise(related), F.lit(">"))
+        return F.struct(name(s).alias("name"), kind.alias("type"), F.array().cast("array<string>").alias("constraints"))
+
+    calls = lambda word: F.filter("body", lambda s: s["target"].rlike(r"^\w+\s*(?::|$)") & s["value"].rlike(rf"^(?:\w+\.)*{word}\s*\("))
+    return symbols.filter((F.col("language") == "python") & (F.col("kind") == "class") & mapped).withColumn(
+        "body", statements("text")).select(
+        "repo_url", F.col("file_path").alias("path"), "name",
+        F.nullif(F.regexp_extract(text, TABLE_NAME, 1), F.lit("")).alias("table_name"),
+        F.concat(F.transform(calls("Column"), column), F.transform(calls("relationship"), relation)).alias("fields"))
 
 
 def python_models(symbols: DataFrame) -> DataFrame:
-    """Pydantic models and dataclasses with name, type, default and required flag of each attribute."""
-    text = F.col("text")
+    """Pydantic models and dataclasses with name, type, default and required flag of each attribute of the class body."""
+    text, annotated = F.col("text"), r"(?s)^(\w+)\s*:\s*(.+)$"
     pydantic = F.regexp_extract(text, PY_CLASS, 2).contains("BaseModel")
-    dataclass = F.coalesce(F.trim("line_above"), F.lit("")).startswith("@dataclass")
-    attribute = r"(?m)^\s+(\w+)\s*:\s*([^=\n#]+?)[ \t]*(?:=[ \t]*([^\n]*))?$"
-    fields = F.transform(_groups("text", attribute, ["name", "type", "default"]), lambda f: F.struct(
-        f["name"].alias("name"), f["type"].alias("type"), f["default"].alias("default"),
-        (~F.coalesce(f["default"], F.lit("")).startswith("None")).alias("required")))
-    return symbols.filter((F.col("language") == "python") & (F.col("kind") == "class") & (pydantic | dataclass)).select(
+    dataclass = F.col("decorators").rlike(r"(?m)^\s*@dataclass")
+    fields = F.transform(F.filter("body", lambda s: s["target"].rlike(annotated) & ~s["target"].rlike(NO_ATTRIBUTE)), lambda s: F.struct(
+        F.regexp_extract(s["target"], annotated, 1).alias("name"), F.regexp_extract(s["target"], annotated, 2).alias("type"),
+        F.coalesce(s["value"], F.lit("")).alias("default"),
+        (~F.coalesce(s["value"], F.lit("")).startswith("None")).alias("required")))
+    return symbols.filter((F.col("language") == "python") & (F.col("kind") == "class") & (pydantic | dataclass)).withColumn(
+        "body", statements("text")).select(
         "repo_url", F.col("file_path").alias("path"), "name",
         F.when(pydantic, "Pydantic").otherwise("Dataclass").alias("type"), fields.alias("fields"))
 
@@ -179,19 +180,17 @@ def js_endpoints(files: DataFrame) -> DataFrame:
     return routes.unionByName(pages)
 
 
-# Text with balanced braces, three levels deep.
-NESTED = r"(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*"
-
-
 def ts_models(files: DataFrame) -> DataFrame:
-    """Interfaces with fields (required without ``?``), and type aliases."""
+    """Interfaces with members (required without ``?``), and type aliases.
+
+    Members are properties, methods (their type is the signature), index signatures and quoted names (without quotes).
+    Call and construct signatures have no name and are no members. Types keep every inner level.
+    """
     ts = files.filter(F.col("path").endswith(".ts") | F.col("path").endswith(".tsx"))
-    kind = rf"(?:\{{{NESTED}\}}|[^;,\n{{}}])+"
-    member = rf"(?:^|[;,\n])\s*(?:readonly\s+)?(\w+)(\?)?\s*(?::\s*({kind}))?(?=\s*(?:[;,\n]|$))"
-    fields = F.transform(_groups("body", member, ["name", "opt", "type"]), lambda f: F.struct(
-        f["name"].alias("name"), F.trim(f["type"]).alias("type"), (f["opt"] == "").alias("required")))
-    interfaces = ts.select("repo_url", "path", F.inline(_groups(
-        "content", rf"\binterface\s+(\w+)[^{{]*\{{({NESTED})\}}", ["name", "body"]))).select(
+    fields = F.transform(F.filter("members", lambda m: m.rlike(TS_MEMBER)), lambda m: F.struct(
+        F.regexp_replace(F.regexp_extract(m, TS_MEMBER, 1), r"""^['"]|['"]$""", "").alias("name"),
+        F.concat(F.regexp_extract(m, TS_MEMBER, 3), F.regexp_extract(m, TS_MEMBER, 4)).alias("type"), (F.regexp_extract(m, TS_MEMBER, 2) == "").alias("required")))
+    interfaces = ts.select("repo_url", "path", F.inline(blocks("content", r"\binterface\s+(\w+)", ";,\n", True))).select(
         "repo_url", "path", "name", F.lit("Interface").alias("type"), fields.alias("fields"))
     aliases = ts.select("repo_url", "path", F.explode(F.regexp_extract_all(
         "content", F.lit(r"(?m)^\s*(?:export\s+)?type\s+(\w+)[^=\n]*="), F.lit(1))).alias("name")).select(
@@ -272,11 +271,13 @@ def go_endpoints(files: DataFrame, go_imports: DataFrame) -> DataFrame:
 
 
 def go_models(files: DataFrame) -> DataFrame:
-    """Structs with fields and tags."""
-    fields = F.transform(_groups("body", rf"(?m)^[ \t]*(\w+)[ \t]+(struct\s*\{{{NESTED}\}}|[^\s`]+)[ \t]*(`[^`]*`)?", ["name", "type", "tags"]),
-                         lambda f: F.struct(f["name"].alias("name"), f["type"].alias("type"), f["tags"].alias("tags")))
-    return files.filter("language = 'go'").select("repo_url", "path", F.inline(_groups(
-        "content", rf"type\s+(\w+)\s+struct\s*\{{({NESTED})\}}", ["name", "body"]))).select(
+    """Structs with fields and tags; names that share a type are fields of their own, embedded types are none."""
+    listed = F.filter("members", lambda m: m.rlike(GO_FIELD))
+    fields = F.flatten(F.transform(listed, lambda m: F.transform(
+        F.split(F.regexp_extract(m, GO_FIELD, 1), r"\s*,\s*"), lambda n: F.struct(
+            n.alias("name"), F.regexp_extract(m, GO_FIELD, 2).alias("type"), F.regexp_extract(m, GO_FIELD, 3).alias("tags")))))
+    return files.filter("language = 'go'").select("repo_url", "path", F.inline(blocks(
+        "content", r"\btype\s+(\w+)\s*(?:\[[^\]{}\n]*\]\s*)?struct(?=\s*\{)", ";\n", False))).select(
         "repo_url", "path", "name", F.lit("Struct").alias("type"), fields.alias("fields"))
 
 

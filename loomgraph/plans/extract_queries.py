@@ -11,7 +11,7 @@ from loomgraph.operators import containment as C
 from loomgraph.operators import edges as E
 from loomgraph.operators import embedding as V
 from loomgraph.plans.oracle_tables import contains_any_sql, register
-from loomgraph.plans.registry import query
+from loomgraph.plans.registry import ORACLES, query
 from loomgraph.sources import scan as S
 
 TRIM = "trim({}, chr(32) || chr(9) || chr(10) || chr(13))"
@@ -67,7 +67,27 @@ query("k05_csharp_usings", rf"""
            CASE WHEN b <> '' THEN b ELSE a END AS target, CASE WHEN b <> '' THEN a END AS alias
     FROM (SELECT repo_url, path, i + 1 AS line, regexp_extract(line, '{_USING}', 1) AS a, regexp_extract(line, '{_USING}', 2) AS b
           FROM code_lines WHERE language = 'csharp' AND regexp_matches(line, '{_USING}'))""")(lambda g: KI.csharp_usings(g.code_files))
-query("k06_symbols")(lambda g: KS.symbols(g.code_files).drop("line_above"))
+# The rendered declarations: (language, lines in a cycle, line in the cycle, kind, name pattern, lines of the block).
+FORMS = [
+    ("python", 16, 4, "class", r"^class (\w+)\(", 6), ("python", 16, 8, "function", r"def (\w+)\(", 2),
+    ("python", 16, 11, "function", r"def (\w+)\(", 2), ("python", 16, 14, "function", r"def (\w+)\(", 2),
+    ("go", 14, 5, "struct", r"^type (\w+)", 3), ("go", 14, 8, "function", r"^func (\w+)", 5),
+    ("java", 14, 5, "class", r"class (\w+)", 6), ("java", 14, 7, "function", r"String (\w+)\(", 3), ("java", 14, 11, "class", r"class (\w+)", 3),
+    ("csharp", 14, 5, "class", r"class (\w+)", 6), ("csharp", 14, 7, "function", r"string (\w+)\(", 3), ("csharp", 14, 11, "class", r"class (\w+)", 3),
+    ("javascript", 13, 6, "function", r"^function (\w+)", 4), ("javascript", 13, 10, "class", r"^class (\w+)", 3),
+    ("javascript", 13, 11, "function", r"^  (\w+)\(", 1),
+    ("typescript", 10, 1, "interface", r"interface (\w+)", 4), ("typescript", 10, 6, "function", r"function (\w+)", 3),
+]
+register("code_window", """
+    SELECT *, lag(line, 1) OVER w AS up1, lag(line, 3) OVER w AS up3, lead(line, 1) OVER w AS down1, lead(line, 2) OVER w AS down2, lead(line, 3) OVER w AS down3,
+           count(*) OVER (PARTITION BY repo_url, path) AS total FROM code_lines WINDOW w AS (PARTITION BY repo_url, path ORDER BY i)""")
+_case = lambda k: "CASE " + " ".join(f"WHEN language = '{f[0]}' AND i % {f[1]} = {f[2]} THEN {k(f)}" for f in FORMS) + " END"
+_kind, _name, _size = _case(lambda f: f"'{f[3]}'"), _case(lambda f: f"regexp_extract(line, '{f[4]}', 1)"), _case(lambda f: f[5])
+query("k06_symbols", f"""
+    SELECT d.repo_url, d.path AS file_path, d.language, kind, d.name, d.path || '::' || d.name AS unique_id, start_line, end_line,
+           array_to_string(list_slice(string_split(f.content, chr(10)), start_line, end_line), chr(10)) AS text
+    FROM (SELECT repo_url, path, language, {_kind} AS kind, {_name} AS name, i + 1 AS start_line, least(i + {_size}, total) AS end_line FROM code_window) d
+    JOIN code_files f ON f.repo_url = d.repo_url AND f.path = d.path WHERE kind IS NOT NULL""")(lambda g: KS.symbols(g.code_files).drop("decorators"))
 query("k07_markdown_sections", r"""
     SELECT s.repo_url, s.path, s.title, s.level, s.start_line, s.end_line, 'section_' || replace(lower(title), ' ', '_') || '_chunk_' || n AS unique_id,
            array_to_string(list_slice(string_split(f.content, chr(10)), s.start_line + 1, s.end_line), chr(10)) AS content
@@ -150,7 +170,10 @@ query("k14_flask_routes", rf"""
            trim(unnest(string_split(CASE WHEN m = '' THEN '''GET''' ELSE m END, ',')), ' ''"') AS method, 'Flask' AS framework
     FROM (SELECT *, regexp_extract(piece, '{_FA}', 2) AS m FROM {_decorated_sql(KW.FLASK_MARK, 'true')})
     WHERE regexp_matches(piece, '{_FA}') AND func IS NOT NULL""")(lambda g: KW.flask_routes(g.code_files))
-query("k15_sqlalchemy_models")(lambda g: KW.sqlalchemy_models(KS.symbols(g.code_files)).withColumn("fields", F.to_json("fields")))
+query("k15_sqlalchemy_models", r"""
+    SELECT repo_url, path, regexp_extract(line, '^class (\w+)', 1) AS name, nullif(regexp_extract(down1, '__tablename__ = .(\w+)', 1), '') AS table_name,
+           CASE WHEN down2 IS NULL THEN '[]' ELSE '[{"name":"' || regexp_extract(down2, '^ +(\w+) = Column', 1) || '","type":"String","constraints":["NOT NULL"]}]' END AS fields
+    FROM code_window WHERE language = 'python' AND i % 16 = 4 AND (down1 IS NOT NULL OR regexp_matches(line, '[( ]Base[,)]'))""")(lambda g: KW.sqlalchemy_models(KS.symbols(g.code_files)).withColumn("fields", F.to_json("fields")))
 _VA, _RA, _PM = (x.replace("'", "''") for x in (KW.PY_VERB_ARGS, KW.PY_ROUTE_ARGS, KW.PY_METHODS))
 _mod = lambda m: rf"regexp_matches(content, '(?m)^\s*(?:import\s+(?:[\w., ]*[ ,])?{m}\b|from\s+{m}[.\w]*\s+import\b)')"
 query("k16_python_endpoints", rf"""
@@ -161,7 +184,10 @@ query("k16_python_endpoints", rf"""
            ELSE regexp_extract(string_split(piece, chr(10))[1], '{_PM}', 1) END, 'Flask'
     FROM {_decorated_sql('@app[.]', f"NOT {_mod('fastapi')} AND {_mod('flask')}")} WHERE regexp_matches(piece, '{_RA}') AND func IS NOT NULL""")(
     lambda g: KW.python_endpoints(g.code_files))
-query("k17_python_models")(lambda g: KW.python_models(KS.symbols(g.code_files)).withColumn("fields", F.to_json("fields")))
+query("k17_python_models", r"""
+    SELECT repo_url, path, regexp_extract(line, '^class (\w+)', 1) AS name, 'Dataclass' AS type, CASE WHEN down3 IS NULL THEN '[]' ELSE
+           '[{"name":"' || regexp_extract(down3, '^ +(\w+): int', 1) || '","type":"int","default":"None","required":false}]' END AS fields
+    FROM code_window WHERE language = 'python' AND i % 16 = 4""")(lambda g: KW.python_models(KS.symbols(g.code_files)).withColumn("fields", F.to_json("fields")))
 
 
 def _verb_sql(source: str, pattern: str, framework: str, where: str) -> str:
@@ -172,8 +198,14 @@ def _verb_sql(source: str, pattern: str, framework: str, where: str) -> str:
 
 query("k18_js_endpoints", _verb_sql("code_files", KW.EXPRESS_ROUTE, "Express", r"""language IN ('javascript', 'typescript')
     AND regexp_matches(content, '(?:from\s+|require\(\s*)[''"]express[''"]')"""))(lambda g: KW.js_endpoints(g.code_files))
-query("k19_ts_models")(lambda g: KW.ts_models(g.code_files).withColumn("fields", F.to_json("fields")))
-query("k20_spring_endpoints")(lambda g: KW.spring_endpoints(g.code_files))
+query("k19_ts_models", r"""
+    SELECT repo_url, path, regexp_extract(line, 'interface (\w+)', 1) AS name, 'Interface' AS type, '[{"name":"' || regexp_extract(down1, '(\w+):', 1)
+           || '","type":"string","required":true},{"name":"' || regexp_extract(down2, '(\w+)[?]:', 1) || '","type":"number","required":false}]' AS fields
+    FROM code_window WHERE language = 'typescript' AND i % 10 = 1 AND down3 IS NOT NULL
+    UNION ALL SELECT repo_url, path, regexp_extract(line, 'type (\w+)', 1), 'Type', '[]' FROM code_window WHERE language = 'typescript' AND i % 10 = 5""")(lambda g: KW.ts_models(g.code_files).withColumn("fields", F.to_json("fields")))
+query("k20_spring_endpoints", r"""
+    SELECT repo_url, path, regexp_extract(line, 'String (\w+)\(', 1) AS name, regexp_extract(up3, '"(.*)"', 1) || regexp_extract(up1, '"(.*)"', 1) AS route,
+           'GET' AS method, 'Spring' AS framework FROM code_window WHERE language = 'java' AND i % 14 = 7""")(lambda g: KW.spring_endpoints(g.code_files))
 query("k21_java_models", r"""
     SELECT repo_url, path, name, 'JavaBean' AS type FROM (
       SELECT repo_url, path, unnest(regexp_extract_all(content, '(?m)^[ \t]*(?:(?:public|private|protected|internal|final|abstract|static|sealed|partial)\s+)*class\s+(\w+)', 1)) AS name
@@ -190,11 +222,25 @@ query("k22_go_endpoints", f"""
       SELECT repo_url, path, CASE WHEN regexp_extract(content, '{_GM}', 1) = '' THEN 'GET' ELSE regexp_extract(content, '{_GM}', 1) END AS m,
              unnest(regexp_extract_all(content, '{_GR}', 1)) AS route FROM go_flags WHERE NOT gin AND NOT echo AND mux)""")(
     lambda g: KW.go_endpoints(g.code_files, KI.go_imports(g.code_files)))
-query("k23_go_models")(lambda g: KW.go_models(g.code_files).withColumn("fields", F.to_json("fields")))
-query("k24_aspnet_endpoints")(lambda g: KW.aspnet_endpoints(g.code_files))
-query("k25_csharp_models")(lambda g: KW.csharp_models(g.code_files).withColumn("fields", F.to_json("fields")))
-query("k26_dispatch_endpoints")(lambda g: KW.all_endpoints(g.code_files, KI.go_imports(g.code_files)))
-query("k26_dispatch_models")(lambda g: KW.all_models(g.code_files, KS.symbols(g.code_files)))
+query("k23_go_models", r"""
+    SELECT repo_url, path, regexp_extract(line, '^type (\w+)', 1) AS name, 'Struct' AS type,
+           '[{"name":"' || regexp_extract(down1, '(\w+) string', 1) || '","type":"string","tags":""}]' AS fields
+    FROM code_window WHERE language = 'go' AND i % 14 = 5 AND down2 IS NOT NULL""")(lambda g: KW.go_models(g.code_files).withColumn("fields", F.to_json("fields")))
+query("k24_aspnet_endpoints", r"""
+    SELECT repo_url, path, regexp_extract(line, 'string (\w+)\(', 1) AS name, regexp_extract(up3, '"(.*)"', 1) || '/' || regexp_extract(up1, '"(.*)"', 1) AS route,
+           'GET' AS method, 'ASP.NET Core' AS framework FROM code_window WHERE language = 'csharp' AND i % 14 = 7""")(lambda g: KW.aspnet_endpoints(g.code_files))
+query("k25_csharp_models", r"""
+    SELECT repo_url, path, regexp_extract(line, 'class (\w+)', 1) AS name, 'Class' AS type, CASE WHEN down1 IS NULL THEN '[]' ELSE
+           '[{"name":"' || regexp_extract(down1, 'string (\w+)', 1) || '","type":"string"}]' END AS fields
+    FROM code_window WHERE language = 'csharp' AND i % 14 = 11""")(lambda g: KW.csharp_models(g.code_files).withColumn("fields", F.to_json("fields")))
+_all = lambda *names: " UNION ALL BY NAME ".join(f"SELECT * FROM ({ORACLES[n]})" for n in names)
+query("k26_dispatch_endpoints", _all("k16_python_endpoints", "k18_js_endpoints", "k20_spring_endpoints", "k22_go_endpoints", "k24_aspnet_endpoints"))(lambda g: KW.all_endpoints(g.code_files, KI.go_imports(g.code_files)))
+_java = r"""
+    SELECT repo_url, path, name, 'JavaBean' AS type, CASE WHEN i % 14 = 11 AND down1 IS NOT NULL THEN
+           '[{"name":"' || regexp_extract(down1, 'String (\w+);', 1) || '","type":"String"}]' ELSE '[]' END AS fields
+    FROM (SELECT *, regexp_extract(line, 'class (\w+)', 1) AS name FROM code_window WHERE language = 'java' AND i % 14 IN (5, 11))
+    WHERE regexp_matches(name, '(DTO|Entity|Model|Request|Response|Payload)$')"""
+query("k26_dispatch_models", f"{_all('k17_python_models', 'k19_ts_models', 'k23_go_models', 'k25_csharp_models')} UNION ALL BY NAME {_java}")(lambda g: KW.all_models(g.code_files, KS.symbols(g.code_files)))
 query("k27_parse_status", """
     SELECT repo_url, path, content IS NULL OR contains(content, chr(0)) OR contains(content, chr(65533)) AS parse_error FROM files""")(
     lambda g: KS.parse_status(g.files).select("repo_url", "path", "parse_error"))

@@ -350,3 +350,93 @@ def test_nested_types(spark):
     go = spark.createDataFrame([("r", "a.go", "go", "type A struct {\n\tB struct {\n\t\tC int\n\t} `json:\"b\"`\n\tD string\n}\n")], schema)
     row, = KW.go_models(go).collect()
     assert [(f["name"], f["tags"]) for f in row["fields"]] == [("B", '`json:"b"`'), ("D", "")]
+
+
+SCHEMA = "repo_url string, path string, language string, content string"
+
+
+def test_interface_members_at_any_depth(spark):
+    text = '''interface A { a: {b:{c:{d:{e:{f:number}}}}}; z: string }
+interface B<T extends {x: number; y: string}> extends C<{k: number}> {
+  f(x: number, y: {z: string}): void; // not; a: member
+  "q-r"?: string; list: Array<string, number>;
+  g?: (a: number) => Map<string, Array<number>>
+  h: | "one;"
+    | "two,"
+  [key: string]: any
+  (call: number): string
+  readonly r: number, /* s: string; */ t
+}
+if (a < b) { x = "interface No {" }
+interface Never
+;{ a: string }
+interface Open { a: string;
+'''
+    ts = spark.createDataFrame([("r", "a.ts", "typescript", text), ("r", "n.ts", "typescript", None), ("r", "e.ts", "typescript", "")], SCHEMA)
+    got = {r["name"]: [tuple(f) for f in r["fields"]] for r in KW.ts_models(ts).collect()}
+    assert got == {
+        "A": [("a", "{b:{c:{d:{e:{f:number}}}}}", True), ("z", "string", True)],
+        "B": [("f", "(x: number, y: {z: string}): void", True), ("q-r", "string", False), ("list", "Array<string, number>", True),
+              ("g", "(a: number) => Map<string, Array<number>>", False), ("h", '| "one;" | "two,"', True), ("[key: string]", "any", True),
+              ("r", "number", True), ("t", "", True)]}
+
+
+def test_python_fields_are_those_of_the_class_body(spark):
+    text = '''
+@dataclass
+# between
+@register(
+    "x")
+
+class P:
+    """Doc: string = no"""
+    a: int = 3
+    b: Dict[str, int] = field(
+        default_factory=lambda: {"k": 1})
+    c: "Optional[int]" = None  # d: int
+
+    def m(self):
+        local: int = 3
+        id = Column(Integer)
+
+    class Inner:
+        e: int
+
+class T(Base):
+    __tablename__ = "t"
+    id = Column(Integer, default=func.now(f(g(1))), primary_key=True)
+    name: Mapped[str] = db.Column(String(50), unique=True,
+                                  nullable=False)
+    kids = relationship("Kid", lazy=f(")"))
+    def m(self):
+        x = Column(Float)
+'''
+    symbols = KS.symbols(spark.createDataFrame([("r", "m.py", "python", text)], SCHEMA))
+    got = {r["name"]: [tuple(f) for f in r["fields"]] for r in KW.python_models(symbols).collect()}
+    assert set(got) == {"P"}
+    assert [f[:2] for f in got["P"]] == [("a", "int"), ("b", "Dict[str, int]"), ("c", '"Optional[int]"')]
+    assert [f[3] for f in got["P"]] == [True, True, False] and got["P"][2][2] == "None"
+    table, = KW.sqlalchemy_models(symbols.filter("name = 'T'")).collect()
+    assert [(f["name"], f["type"], f["constraints"]) for f in table.fields] == [
+        ("id", "Integer", ["PRIMARY KEY"]), ("name", "String", ["UNIQUE", "NOT NULL"]), ("kids", "Relationship<Kid>", [])]
+
+
+def test_struct_fields_at_any_depth(spark):
+    text = ("type A[T any] struct {\n\tX, Y map[string]struct{ V int }\n\tB struct {\n\t\tC struct { D struct { E struct { F int } } }\n"
+            "\t} `json:\"b\"` // note\n\tBase\n\tG func(a int, b string) (<-chan int, error)\n}\n")
+    row, = KW.go_models(spark.createDataFrame([("r", "a.go", "go", text)], SCHEMA)).filter("name = 'A'").collect()
+    assert [(f["name"], f["tags"]) for f in row["fields"]] == [("X", ""), ("Y", ""), ("B", '`json:"b"`'), ("G", "")]
+    assert row["fields"][3]["type"] == "func(a int, b string) (<-chan int, error)"
+
+
+def test_members_take_linear_time():
+    import re
+    import time
+
+    from loomgraph.extract.members import block_members, class_statements
+    head, t = re.compile(r"\binterface\s+(\w+)"), time.time()
+    assert len(block_members("interface A { a: {b: number}; c: string }\n" * 20000, head, ";,\n", True)) == 20000
+    assert block_members("interface A {\n" * 20000, head, ";,\n", True) == []
+    assert block_members("interface A " * 20000 + ";", head, ";,\n", True) == []
+    assert len(class_statements("class A:\n" + "    a: int = f(1)\n" * 20000)) == 20000
+    assert time.time() - t < 20
