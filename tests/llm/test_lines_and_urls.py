@@ -81,3 +81,49 @@ def test_similar_branches_merge(spark):
     out = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(a, int(b)) for a, b in labels], "label_id long, good int"))
     rows = out.collect()
     assert len(rows) == 202 and {r.template for r in rows if r.host} == {"/*/*"}
+
+
+def judged(spark, urls, good):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame(list(enumerate(good)), "label_id long, good int")
+    return url_filter.judge(pages, labels).collect()
+
+
+def test_paths_split_at_any_depth(spark):
+    urls = [f"http://h.com/en/shop/a/b/{'spam' if i % 2 else 'news'}/{i}" for i in range(400)]
+    got = {(r.template, r.verdict) for r in judged(spark, urls, [1 - i % 2 for i in range(400)])}
+    assert got == {("/*/*/*/*/spam/*", "block"), ("/*/*/*/*/news/*", "allow")}
+
+
+def test_alike_branches_share_their_labels(spark):
+    urls = [f"http://h.com/{'abcdef'[i % 6]}/{i}" for i in range(600)] + ["http://h.com/*low/x"]
+    got = {(r.template, r.verdict, r.n_labelled) for r in judged(spark, urls, [int(i % 6 > 1) for i in range(600)])}
+    assert got == {("/*low/*", "block", 200), ("/*high/*", "allow", 400), ("/*/*", "allow", 0)}
+
+
+def test_judge_matches_its_sql(spark):
+    import random
+
+    import duckdb
+    rng = random.Random(5)
+    words = ["en", "fr", "spam", "*", "*low", "", "x"]
+    urls = [f"https://h{rng.choice('ab')}.com/" + "/".join([*(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 4, 6]))), str(i)]) for i in range(1500)]
+    good = [int(rng.random() < (0.15 if "spam" in u else 0.5 if "fr" in u else 0.95)) for u in urls]
+    urls += [None, "", "http://h.com/" + "y/" * 20_000]
+    rows = judged(spark, urls, good)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.execute("CREATE TABLE labels (doc_id BIGINT, quality INT, toxic INT)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", [p for p in enumerate(urls) if len(p[1] or "") < 1000])
+    con.executemany("INSERT INTO labels VALUES (?, ?, 0)", list(enumerate(good)))
+    found = con.execute(url_filter.ORACLE)
+    names = [d[0] for d in found.description]
+    want = {tuple(sorted(zip(names, r), key=lambda x: x[0])) for r in found.fetchall()}
+    got = {tuple(sorted(r.asDict().items())) for r in rows if len(r.path) < 1000}
+    assert got == want and len(rows) == 1503
+    assert any("low" in r.template for r in rows) and len({r.template for r in rows}) > 12
+
+
+def test_no_pages(spark):
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.judge(empty, spark.createDataFrame([(1, 1)], "label_id long, good int")).collect() == []
