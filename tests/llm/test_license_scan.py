@@ -61,3 +61,35 @@ def test_odd_rows(spark):
     rows = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_matches, r.license or "") for r in license_scan.scan(rows).collect()) == [(0, 0, ""), (0, 1, "MIT"), (1, 1, "MIT"), (1, 1, "MIT")]
     assert license_scan.scan(rows.limit(0)).collect() == []
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2024 Foo
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+
+def test_every_licence_of_a_text_is_named(spark):
+    texts = {
+        1: MIT_FILE,
+        2: "Copyright 2024 Example Foo Inc. Licensed under the Apache License, Version 2.0.",
+        3: "x\nLicensed under the Apache License, Version 2.0.\ny\nReleased under the MIT License.\n",
+        4: "/*\n * Prose first! This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU Affero General Public License"
+           " as\n * published by the Free Software Foundation, either version 3 of the\n * License, or (at your option) any later version. */",
+        5: "The licence was granted, the software was free, and no permission notice came with any copies of it.",
+        6: None,
+        7: "",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan.scan(docs).collect()}
+    assert got == {1: "MIT", 2: "Apache-2.0", 3: "Apache-2.0,MIT", 4: "AGPL-3.0", 5: "", 6: "", 7: ""}
