@@ -118,6 +118,9 @@ def licenses(found_in: Column, templates: dict[str, str] = TEMPLATES, least: flo
     known = sorted({g for p in prepared for g in p[1]})
     # Repeated bigrams only make a set smaller: a unit with fewer than low + 1 words cannot have low bigrams.
     words = F.filter(F.transform(found_in, lambda u: F.split(F.trim(u), " ")), lambda w: F.size(w) > low)
+    # A shared bigram starts with a word of some template, and a unit has at least as many bigrams as distinct words less one.
+    vocabulary = sorted({g.split(" ")[0] for g in known})
+    words = F.filter(words, lambda w: F.lit(2.0) * F.size(F.filter(w, lambda x: x.isin(vocabulary))) >= F.lit(least) * (F.size(F.array_distinct(w)) + F.lit(smallest - 1)))
     pairs = F.transform(words, lambda w: F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
     sized = F.filter(pairs, lambda b: F.size(b).between(low, high))
     # Of a unit, only its size and the bigrams that some template knows matter from here.
