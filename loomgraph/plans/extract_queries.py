@@ -207,10 +207,11 @@ query("k20_spring_endpoints", r"""
     SELECT repo_url, path, regexp_extract(line, 'String (\w+)\(', 1) AS name, regexp_extract(up3, '"(.*)"', 1) || regexp_extract(up1, '"(.*)"', 1) AS route,
            'GET' AS method, 'Spring' AS framework FROM code_window WHERE language = 'java' AND i % 14 = 7""")(lambda g: KW.spring_endpoints(g.code_files))
 query("k21_java_models", r"""
-    SELECT repo_url, path, name, 'JavaBean' AS type FROM (
-      SELECT repo_url, path, unnest(regexp_extract_all(content, '(?m)^[ \t]*(?:(?:public|private|protected|internal|final|abstract|static|sealed|partial)\s+)*class\s+(\w+)', 1)) AS name
-      FROM code_files WHERE language = 'java') WHERE regexp_matches(name, '(DTO|Entity|Model|Request|Response|Payload)$')""")(
-    lambda g: KW.java_models(g.code_files).drop("fields"))
+    SELECT repo_url, path, name, 'JavaBean' AS type, CASE WHEN i % 14 = 11 AND down1 IS NOT NULL THEN
+           '[{"name":"' || regexp_extract(down1, 'String (\w+);', 1) || '","type":"String"}]' ELSE '[]' END AS fields
+    FROM (SELECT *, regexp_extract(line, 'class (\w+)', 1) AS name FROM code_window WHERE language = 'java' AND i % 14 IN (5, 11))
+    WHERE regexp_matches(name, '(DTO|Entity|Model|Request|Response|Payload)$')""")(
+    lambda g: KW.java_models(g.code_files).withColumn("fields", F.to_json("fields")))
 _GM = KW.GORILLA_METHOD.replace("'", "''")
 _GR = KW.GORILLA_ROUTE.replace("'", "''")
 register("go_flags", """
@@ -235,12 +236,7 @@ query("k25_csharp_models", r"""
     FROM code_window WHERE language = 'csharp' AND i % 14 = 11""")(lambda g: KW.csharp_models(g.code_files).withColumn("fields", F.to_json("fields")))
 _all = lambda *names: " UNION ALL BY NAME ".join(f"SELECT * FROM ({ORACLES[n]})" for n in names)
 query("k26_dispatch_endpoints", _all("k16_python_endpoints", "k18_js_endpoints", "k20_spring_endpoints", "k22_go_endpoints", "k24_aspnet_endpoints"))(lambda g: KW.all_endpoints(g.code_files, KI.go_imports(g.code_files)))
-_java = r"""
-    SELECT repo_url, path, name, 'JavaBean' AS type, CASE WHEN i % 14 = 11 AND down1 IS NOT NULL THEN
-           '[{"name":"' || regexp_extract(down1, 'String (\w+);', 1) || '","type":"String"}]' ELSE '[]' END AS fields
-    FROM (SELECT *, regexp_extract(line, 'class (\w+)', 1) AS name FROM code_window WHERE language = 'java' AND i % 14 IN (5, 11))
-    WHERE regexp_matches(name, '(DTO|Entity|Model|Request|Response|Payload)$')"""
-query("k26_dispatch_models", f"{_all('k17_python_models', 'k19_ts_models', 'k23_go_models', 'k25_csharp_models')} UNION ALL BY NAME {_java}")(lambda g: KW.all_models(g.code_files, KS.symbols(g.code_files)))
+query("k26_dispatch_models", _all("k17_python_models", "k19_ts_models", "k21_java_models", "k23_go_models", "k25_csharp_models"))(lambda g: KW.all_models(g.code_files, KS.symbols(g.code_files)))
 query("k27_parse_status", """
     SELECT repo_url, path, content IS NULL OR contains(content, chr(0)) OR contains(content, chr(65533)) AS parse_error FROM files""")(
     lambda g: KS.parse_status(g.files).select("repo_url", "path", "parse_error"))
