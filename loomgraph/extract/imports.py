@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 # Forms of import statements.
 PY_IMPORT = r"^\s*import\s+([a-zA-Z0-9_.,\s]+)"
 PY_FROM = r"^\s*from\s+([a-zA-Z0-9_.]+)\s+import\s+([a-zA-Z0-9_.,\s*]+)"
-GO_OPEN = r"^\s*import\s+\(\s*$"
+GO_OPEN = r"^\s*import\s+\(\s*(?://[^\n]*)?$"
+GO_CLOSE = r"^\s*\)\s*(?://[^\n]*)?$"
 GO_IN_BLOCK = r'^\s*(?:([a-zA-Z0-9_]+)\s+)?"([^"]+)"'
 GO_SINGLE = r'^\s*import\s+(?:([a-zA-Z0-9_]+)\s+)?"([^"]+)"'
 JS_FORMS = [
@@ -23,8 +24,8 @@ JS_FORMS = [
     ("require", r"""^\s*(?:const|var|let)\s+([a-zA-Z0-9_]+)\s+=\s+require\(['"]([^'"]+)['"]\)"""),
     ("bare_require", r"""^\s*()require\(['"]([^'"]+)['"]\)"""),
 ]
-JAVA_IMPORT = r"^\s*import\s+(?:static\s+)?([a-zA-Z0-9_.]+(?:\.[*])?);\s*$"
-CS_USING = r"^\s*using\s+(?:static\s+)?([a-zA-Z0-9_.]+)(?:\s+=\s+([a-zA-Z0-9_.]+))?;\s*$"
+JAVA_IMPORT = r"^\s*import\s+(?:static\s+)?([a-zA-Z0-9_.]+(?:\.[*])?);\s*(?://[^\n]*)?$"
+CS_USING = r"^\s*using\s+(?:static\s+)?([a-zA-Z0-9_.]+)(?:\s+=\s+([a-zA-Z0-9_.]+))?;\s*(?://[^\n]*)?$"
 
 COLUMNS = ["repo_url", "path", "line", "kind", "name", "target", "alias"]
 
@@ -62,7 +63,7 @@ def python_imports(files: DataFrame) -> DataFrame:
 def go_imports(files: DataFrame) -> DataFrame:
     """Single and block imports. A line is inside a block when the last opening or closing line above it opens."""
     text = F.col("text")
-    opens, closes = text.rlike(GO_OPEN), _trimmed(text) == ")"
+    opens, closes = text.rlike(GO_OPEN), text.rlike(GO_CLOSE)
     # Only opening, closing and quoted lines can matter, so only they are shuffled to their file.
     lines = lines_of(files, ["go"]).filter(opens | closes | text.contains('"'))
     above = Window.partitionBy("repo_url", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)

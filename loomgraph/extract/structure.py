@@ -24,10 +24,10 @@ DECLARATIONS = {
            ("interface", r"^type\s+(\w+)\s+interface\b")],
     "java": [("class", rf"^\s*(?:{_MODIFIERS}\s+)*class\s+(\w+)"), ("interface", rf"^\s*(?:{_MODIFIERS}\s+)*interface\s+(\w+)"),
              ("enum", rf"^\s*(?:{_MODIFIERS}\s+)*enum\s+(\w+)"),
-             ("function", rf"^\s*(?:{_MODIFIERS}\s+)*{_NOT_CALLS}[\w<>\[\],.?]+\s+{_NOT_CALLS}(\w+)\s*\([^;]*$")],
+             ("function", rf"^\s*(?:{_MODIFIERS}\s+)*{_NOT_CALLS}[\w<>\[\],.?]+\s+{_NOT_CALLS}(\w+)\s*\([^;]*?(?://[^\n]*)?$")],
     "csharp": [("class", rf"^\s*(?:{_MODIFIERS}\s+)*class\s+(\w+)"), ("interface", rf"^\s*(?:{_MODIFIERS}\s+)*interface\s+(\w+)"),
                ("enum", rf"^\s*(?:{_MODIFIERS}\s+)*enum\s+(\w+)"), ("struct", rf"^\s*(?:{_MODIFIERS}\s+)*struct\s+(\w+)"),
-               ("function", rf"^\s*(?:{_MODIFIERS}\s+)+{_NOT_CALLS}[\w<>\[\],.?]+\s+(\w+)\s*\([^;]*$")],
+               ("function", rf"^\s*(?:{_MODIFIERS}\s+)+{_NOT_CALLS}[\w<>\[\],.?]+\s+(\w+)\s*\([^;]*?(?://[^\n]*)?$")],
     "javascript": [("class", rf"^\s*(?:{_MODIFIERS}\s+)*class\s+(\w+)"), ("interface", rf"^\s*(?:{_MODIFIERS}\s+)*interface\s+(\w+)"),
                    ("enum", rf"^\s*(?:{_MODIFIERS}\s+)*enum\s+(\w+)"),
                    ("function", rf"^\s*(?:{_MODIFIERS}\s+)*function\s*\*?\s*(\w+)"),

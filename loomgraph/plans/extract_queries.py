@@ -33,8 +33,8 @@ register("go_imports", r"""
            CASE WHEN alias <> '' THEN alias ELSE regexp_extract(target, '[^/]*$') END AS name, target, nullif(alias, '') AS alias
     FROM (SELECT *, CASE WHEN inside THEN regexp_extract(text, '^\s*(?:([a-zA-Z0-9_]+)\s+)?"([^"]+)"', 1) ELSE regexp_extract(text, '^\s*import\s+(?:([a-zA-Z0-9_]+)\s+)?"([^"]+)"', 1) END AS alias,
                  CASE WHEN inside THEN regexp_extract(text, '^\s*(?:([a-zA-Z0-9_]+)\s+)?"([^"]+)"', 2) ELSE regexp_extract(text, '^\s*import\s+(?:([a-zA-Z0-9_]+)\s+)?"([^"]+)"', 2) END AS target
-      FROM (SELECT repo_url, path, i + 1 AS line, line AS text, coalesce(last_value(CASE WHEN regexp_matches(line, '^\s*import\s+\(\s*$') THEN true
-              WHEN trim(line) = ')' THEN false END IGNORE NULLS) OVER (PARTITION BY repo_url, path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS inside
+      FROM (SELECT repo_url, path, i + 1 AS line, line AS text, coalesce(last_value(CASE WHEN regexp_matches(line, '^\s*import\s+\(\s*(?://[^\n]*)?$') THEN true
+              WHEN regexp_matches(line, '^\s*\)\s*(?://[^\n]*)?$') THEN false END IGNORE NULLS) OVER (PARTITION BY repo_url, path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS inside
             FROM code_lines WHERE language = 'go'))
     WHERE target <> ''""")
 query("k02_go_imports", "SELECT repo_url, path, line, kind, name, target, alias FROM go_imports")(lambda g: KI.go_imports(g.code_files))
@@ -58,10 +58,10 @@ query("k04_java_imports", r"""
     SELECT repo_url, path, line, CASE WHEN ends_with(f, '.*') THEN 'wildcard' ELSE 'class' END AS kind,
            CASE WHEN ends_with(f, '.*') THEN f ELSE regexp_extract(f, '[^.]*$') END AS name, regexp_replace(f, '[.][*]$', '') AS target,
            CASE WHEN ends_with(f, '.*') THEN NULL WHEN contains(f, '.') THEN regexp_replace(f, '[.][^.]*$', '') ELSE '' END AS alias
-    FROM (SELECT repo_url, path, i + 1 AS line, regexp_extract(line, '^\s*import\s+(?:static\s+)?([a-zA-Z0-9_.]+(?:\.[*])?);\s*$', 1) AS f
-          FROM code_lines WHERE language = 'java' AND regexp_matches(line, '^\s*import\s+(?:static\s+)?([a-zA-Z0-9_.]+(?:\.[*])?);\s*$'))""")(
+    FROM (SELECT repo_url, path, i + 1 AS line, regexp_extract(line, '^\s*import\s+(?:static\s+)?([a-zA-Z0-9_.]+(?:\.[*])?);\s*(?://[^\n]*)?$', 1) AS f
+          FROM code_lines WHERE language = 'java' AND regexp_matches(line, '^\s*import\s+(?:static\s+)?([a-zA-Z0-9_.]+(?:\.[*])?);\s*(?://[^\n]*)?$'))""")(
     lambda g: KI.java_imports(g.code_files))
-_USING = r"^\s*using\s+(?:static\s+)?([a-zA-Z0-9_.]+)(?:\s+=\s+([a-zA-Z0-9_.]+))?;\s*$"
+_USING = r"^\s*using\s+(?:static\s+)?([a-zA-Z0-9_.]+)(?:\s+=\s+([a-zA-Z0-9_.]+))?;\s*(?://[^\n]*)?$"
 query("k05_csharp_usings", rf"""
     SELECT repo_url, path, line, CASE WHEN b <> '' THEN 'alias' ELSE 'namespace' END AS kind, CASE WHEN b <> '' THEN a ELSE regexp_extract(a, '[^.]*$') END AS name,
            CASE WHEN b <> '' THEN b ELSE a END AS target, CASE WHEN b <> '' THEN a END AS alias
@@ -204,7 +204,7 @@ query("k19_ts_models", r"""
     FROM code_window WHERE language = 'typescript' AND i % 10 = 1 AND down3 IS NOT NULL
     UNION ALL SELECT repo_url, path, regexp_extract(line, 'type (\w+)', 1), 'Type', '[]' FROM code_window WHERE language = 'typescript' AND i % 10 = 5""")(lambda g: KW.ts_models(g.code_files).withColumn("fields", F.to_json("fields")))
 query("k20_spring_endpoints", r"""
-    SELECT repo_url, path, regexp_extract(line, 'String (\w+)\(', 1) AS name, regexp_extract(up3, '"(.*)"', 1) || regexp_extract(up1, '"(.*)"', 1) AS route,
+    SELECT repo_url, path, regexp_extract(line, 'String (\w+)\(', 1) AS name, regexp_extract(up3, '"([^"]*)"', 1) || regexp_extract(up1, '"([^"]*)"', 1) AS route,
            'GET' AS method, 'Spring' AS framework FROM code_window WHERE language = 'java' AND i % 14 = 7""")(lambda g: KW.spring_endpoints(g.code_files))
 query("k21_java_models", r"""
     SELECT repo_url, path, name, 'JavaBean' AS type, CASE WHEN i % 14 = 11 AND down1 IS NOT NULL THEN
@@ -228,7 +228,7 @@ query("k23_go_models", r"""
            '[{"name":"' || regexp_extract(down1, '(\w+) string', 1) || '","type":"string","tags":""}]' AS fields
     FROM code_window WHERE language = 'go' AND i % 14 = 5 AND down2 IS NOT NULL""")(lambda g: KW.go_models(g.code_files).withColumn("fields", F.to_json("fields")))
 query("k24_aspnet_endpoints", r"""
-    SELECT repo_url, path, regexp_extract(line, 'string (\w+)\(', 1) AS name, regexp_extract(up3, '"(.*)"', 1) || '/' || regexp_extract(up1, '"(.*)"', 1) AS route,
+    SELECT repo_url, path, regexp_extract(line, 'string (\w+)\(', 1) AS name, regexp_extract(up3, '"([^"]*)"', 1) || '/' || regexp_extract(up1, '"([^"]*)"', 1) AS route,
            'GET' AS method, 'ASP.NET Core' AS framework FROM code_window WHERE language = 'csharp' AND i % 14 = 7""")(lambda g: KW.aspnet_endpoints(g.code_files))
 query("k25_csharp_models", r"""
     SELECT repo_url, path, regexp_extract(line, 'class (\w+)', 1) AS name, 'Class' AS type, CASE WHEN down1 IS NULL THEN '[]' ELSE

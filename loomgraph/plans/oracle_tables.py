@@ -54,7 +54,7 @@ def _chunks_sql(files: str) -> str:
                       FROM {files} c JOIN files f USING (repo_url, path))))"""
 
 
-_WORDS = "list_slice(regexp_extract_all(l, '[A-Za-z]+'), 1, 3)"
+_WORDS = "regexp_extract_all(l, '[A-Za-z]+')"
 
 TABLES: dict[str, str] = {
     "docs": "SELECT doc_id, text, lang, source, 'src/' || lang || '/m' || (doc_id % 7) AS dir FROM documents",

@@ -21,7 +21,8 @@ EXTENSIONS = ["py", "go", "java", "cs", "js", "ts", "proto", "json"]
 ACTIVE_REPO = "https://git.example.org/src0.git"
 
 # Source line templates per file type. Words w1..w3 are the first words of the prose line (capital: W1..W3),
-# ref is the path of an earlier file of the same repository, text the prose line itself.
+# ref is the path of an earlier file of the same repository, text the prose line itself. A line whose template does not
+# hold the prose line carries it behind a comment sign (Markdown: a blank), so no text is lost.
 TEMPLATES = {
     "py": [
         "import {w1}, {w2}",
@@ -132,6 +133,7 @@ TEMPLATES = {
     "md": ["# {W1} {w2}", "{text}", "see {ref}", "## {W2} architecture {w3}", "The {w1} service and its workflow", "{text}",
            "### {w1}"],
 }
+COMMENTS = {"py": " # ", "md": " "}
 # First line of a file, by doc_id: the web framework its routes belong to.
 HEADERS = {
     "py": ["from fastapi import FastAPI", "from flask import Flask"],
@@ -172,8 +174,9 @@ def render_sql(word, text: str, i: str) -> str:
 
     branches = []
     for ext, lines in TEMPLATES.items():
-        head = HEADERS.get(ext, [])
-        cases = [f"WHEN {i} = 0 AND doc_id % {len(head) + 1} = {k} THEN {_concat_sql(h)}" for k, h in enumerate(head)]
+        head, sign = HEADERS.get(ext, []), COMMENTS.get(ext, " // ")
+        head, lines = ([t if "{text}" in t else f"{t}{sign}{{text}}" for t in ts] for ts in (head, lines))
+        cases = [f"WHEN {i} = 0 AND doc_id % {len(head) + 1} = {k} THEN {bind(_concat_sql(h))}" for k, h in enumerate(head)]
         cases += [f"WHEN {i} % {len(lines)} = {k} THEN {bind(_concat_sql(t))}" for k, t in enumerate(lines)]
         branches.append(f"WHEN ext = '{ext}' THEN CASE {' '.join(cases)} END")
     return f"CASE {' '.join(branches)} END"
@@ -229,8 +232,8 @@ class Graph:
 
     @cached_property
     def code_files(self) -> DataFrame:
-        """Files whose text is rendered as source code of their type, line by line from the prose."""
-        words = "transform(split(content, chr(10)), l -> slice(regexp_extract_all(l, '[A-Za-z]+', 0), 1, 3))"
+        """Files whose text is rendered as source code of their type, line by line from the prose, whole lines."""
+        words = "transform(split(content, chr(10)), l -> regexp_extract_all(l, '[A-Za-z]+', 0))"
         line = render_sql(lambda k: f"get(w, {k - 1})", "get(prose, i)", "i")
         return (
             self.files.withColumn("prose", F.split("content", "\n"))
@@ -320,7 +323,7 @@ class Graph:
 
     @cached_property
     def imports(self) -> DataFrame:
-        """One import per fifth line, aimed at another document of the same source."""
+        """One import per line, aimed at another document of the same source."""
         n_docs = self.table("documents").agg(F.count("*")).scalar()
         target = self.docs.select(
             F.col("doc_id").alias("target_doc"), F.concat("dir", F.lit("/doc_"), "doc_id").alias("stem"),

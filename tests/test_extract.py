@@ -1,10 +1,12 @@
 """Extraction rules on small samples of each language."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.extract import imports as KI
 from loomgraph.extract import structure as KS
 from loomgraph.extract import web as KW
+from loomgraph.projection import Graph
 from loomgraph.sources import scan as S
 
 PY = '''import os
@@ -440,3 +442,25 @@ def test_members_take_linear_time():
     assert block_members("interface A " * 20000 + ";", head, ";,\n", True) == []
     assert len(class_statements("class A:\n" + "    a: int = f(1)\n" * 20000)) == 20000
     assert time.time() - t < 20
+
+
+def test_rendered_source_holds_whole_texts(spark):
+    g = Graph(spark, "/root/testdata/sf0.001")
+    rows = g.files.select("path", F.col("content").alias("prose")).join(g.code_files.select("path", "content"), "path").collect()
+    assert len(rows) == 200
+    for r in rows:
+        prose, code = r.prose.split("\n"), r.content.split("\n")
+        assert len(prose) == len(code) and all(p in c for p, c in zip(prose, code))
+
+
+def test_trailing_comments(spark):
+    text = {
+        "go": "import ( // (why; \"x\"\n\ta \"b/c\" // \"d\"\n) // end\n\"no/import\"",
+        "java": "import a.B; // c; d\nclass X { // {\n  public int f(int a) { // g(); h\n  }\n}",
+        "csharp": "using A.B; // c; d",
+    }
+    files = spark.createDataFrame([("r", f"f.{k}", k, v) for k, v in text.items()], "repo_url string, path string, language string, content string")
+    assert [(r.line, r.target) for r in KI.go_imports(files).collect()] == [(2, "b/c")]
+    assert [r.target for r in KI.java_imports(files).collect()] == ["a.B"]
+    assert [r.target for r in KI.csharp_usings(files).collect()] == ["A.B"]
+    assert {(r.name, r.start_line, r.end_line) for r in KS.symbols(files).collect()} == {("X", 2, 5), ("f", 3, 4)}
