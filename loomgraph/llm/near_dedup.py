@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import as_signed, mix, row_blocks, stored, utf8_rows, whole_groups, word_hashes
 
 #: Words of a shingle; similarity in hundredths; rows of a band, bands (a pair at 0.75 shares no band with probability 3e-7);
-#: hashes of a batch; probability with which a true pair may be pruned at a batch; classes of a bucket in one task.
-WORDS, PERCENT, ROWS, BANDS, BATCH, MISS, GROUP = 5, 75, 4, 40, 32, 1e-7, 2048
+#: hashes of a batch; probability with which a true pair may be pruned at a batch; classes and shingles of a block of a bucket.
+WORDS, PERCENT, ROWS, BANDS, BATCH, MISS, GROUP, SHINGLES = 5, 75, 4, 40, 32, 1e-7, 2048, 1 << 23
 HASHES = ROWS * BANDS
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -141,17 +141,16 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner, found = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             at = np.searchsorted(owner, np.arange(b - a + 1))
             values = [found[at[i] : at[i + 1]] for i in range(b - a)]
-            brief = [np.unique((v >> np.uint64(32)).astype(np.uint32)).tobytes() for v in values]
-            columns = [batch.column("cls").slice(a, b - a), pa.array([v.tobytes() for v in values], pa.binary()), pa.array(brief, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["cls", "members", "brief"])
+            columns = [batch.column("cls").slice(a, b - a), pa.array([v.tobytes() for v in values], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["cls", "members"])
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely links between the components of a bucket: as many as join them, not all.
+    """Links between the components of a bucket: as many as join them, not all.
 
     Two batches of hashes prune pairs by the bound; pairs of one component, pairs whose sizes exclude a link and pairs that an
-    earlier band has in one bucket are left out. Survivors, most alike first, are held against the upper halves of their
-    shingle hashes, which can only make sets look more alike; linked components are one from then on.
+    earlier band has in one bucket are left out. Survivors, most alike first, are held against each other's full sets; linked
+    components are one from then on.
     """
     early = 2 * BATCH // ROWS
     for t in whole_groups(batches, "work"):
@@ -159,12 +158,12 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         both = t.column("both").to_numpy(zero_copy_only=False)
         column = lambda c: pa.concat_arrays(t.column(c).chunks)  # noqa: B023, E731
         signature = np.concatenate([_matrix(column(p), np.uint32, BATCH) for p in PARTS[:2]], 1)
-        briefs = column("brief")
+        members = column("members")
         found: list[tuple[int, int]] = []
         cuts = [*np.flatnonzero(np.diff(work, prepend=work[0] - 1)), len(work)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             s, r, size, p = signature[lo:hi], root[lo:hi], n[lo:hi], part[lo:hi]
-            sets = [np.frombuffer(briefs[k].as_buffer(), np.uint32) for k in range(lo, hi)]
+            sets = [np.frombuffer(members[k].as_buffer(), np.uint64) for k in range(lo, hi)]
             merged: dict[int, int] = {}
 
             def find(x: int) -> int:
@@ -193,8 +192,8 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     u, v = find(int(r[x])), find(int(r[y]))
                     if u == v:
                         continue
-                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True)) + int(size[x]) - len(sets[x])
-                    if 100 * shared >= PERCENT * (int(size[x]) + int(size[y]) - shared):
+                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * shared >= PERCENT * (len(sets[x]) + len(sets[y]) - shared):
                         merged[max(u, v)] = min(u, v)
                         found.append((int(cls[lo + x]), int(cls[lo + y])))
         x, y = (np.array([f[k] for f in found], np.int64) for k in range(2))
@@ -204,14 +203,16 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def bucket_links(rest: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (x, y) that join the components of each bucket of ``rest`` (bucket, band, cls, root, n).
 
-    A bucket is worked on in blocks of about ``GROUP`` classes, every two blocks together, so no task holds more.
+    A bucket is worked on in blocks of about ``GROUP`` classes or ``SHINGLES`` shingles, every two blocks together, so no task
+    holds more.
     """
-    sized = rest.join(rest.groupBy("bucket").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")), "bucket")
+    blocks = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / SHINGLES)).cast("int")
+    sized = rest.join(rest.groupBy("bucket").agg(blocks.alias("blocks")), "bucket")
     dealt = sized.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
     # A block with itself is work of its own; with another one, both are there and only pairs across count.
     keyed = dealt.select("cls", "root", "n", "band", "part", work.alias("work"), (F.col("part") == F.col("other")).alias("both"))
-    full = keyed.join(signatures.select("cls", *PARTS[:2]), "cls").join(sets.select("cls", "brief"), "cls")
+    full = keyed.join(signatures.select("cls", *PARTS[:2]), "cls").join(sets, "cls")
     return full.repartition("work").sortWithinPartitions("work").mapInArrow(_bucket_links, "x long, y long").distinct()
 
 
@@ -252,18 +253,17 @@ def components(links: DataFrame) -> DataFrame:
     round at least halves the longest path; the edges end as stars around the roots.
     """
     edges = stored(links.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    state = None
     while True:
+        before = edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(down, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         edges = stored(moved.union(down.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == state:
+        # Both sides are distinct, so equal numbers and no new edge mean that nothing moved.
+        if edges.count() == before.count() and edges.join(before, ["u", "v"], "left_anti").isEmpty():
             return edges.select(F.col("u").alias("cls"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("cls"), F.col("v").alias("root")).distinct())
-        state = now
 
 
 def link(documents: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def link(documents: DataFrame) -> DataFrame:
     involved = held.select("cls").distinct()
     # A class is compared by all texts of its smallest document; with one text per doc_id that is its own set.
     source = documents.select(F.col("doc_id").cast("long").alias("cls"), F.col("text").cast("string").alias("text")).join(involved, "cls")
-    sets = stored(source.mapInArrow(_set_batches, "cls long, members binary, brief binary"))
+    sets = stored(source.mapInArrow(_set_batches, "cls long, members binary"))
     stars = held.filter("cls <> leader").select(F.col("leader").alias("x"), F.col("cls").alias("y")).distinct()
     tried = stored(stars)
     twins = member.groupBy("doc_id").agg(F.collect_set("cls").alias("c")).filter("size(c) > 1").select(F.array_min("c").alias("x"), F.explode("c").alias("y"))
@@ -292,7 +292,7 @@ def link(documents: DataFrame) -> DataFrame:
     named_root = held.select("bucket", "band", "cls").join(joined, "cls", "left").select("bucket", "band", "cls", F.coalesce("root", "cls").alias("root"))
     open_ = named_root.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
     rest = stored(named_root.join(open_, "bucket").join(classes.select("cls", "n"), "cls"))
-    more = stored(exact(bucket_links(rest, classes, sets), sets))
+    more = stored(bucket_links(rest, classes, sets))
     final = components(links.union(more)) if more.head(1) else joined
     of_doc = member.join(final, "cls", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "cls")).alias("component_id"), F.min("cls").alias("class_id")).withColumnRenamed("doc_id", "_d")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(of_doc, F.col("doc_id") == F.col("_d"), "left")

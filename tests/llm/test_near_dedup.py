@@ -50,9 +50,10 @@ def corpus(seed, bases=6, copies=25):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("group", [2048, 7])
-def test_matches_brute_force(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "size"), [(2048, 1 << 23), (7, 1 << 23), (2048, 300)])
+def test_matches_brute_force(spark, monkeypatch, group, size):
     monkeypatch.setattr(near_dedup, "GROUP", group)
+    monkeypatch.setattr(near_dedup, "SHINGLES", size)
     for seed in (1, 2):
         docs = corpus(seed)
         frame = spark.createDataFrame([(i, t, 5, "x") for i, t in docs], "doc_id long, text string, n int, cls string")
@@ -60,6 +61,24 @@ def test_matches_brute_force(spark, monkeypatch, group):
         assert found == brute(docs)
 
 
+def test_a_look_alike_hides_no_link(spark):
+    """Two components of a bucket look alike by one pair, whose sets differ, and are linked by another pair."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    one, other = (np.sort(rng.integers(0, 1 << 63, 100, dtype=np.uint64)) for _ in range(2))
+    sets = {1: one, 2: one ^ np.uint64(1), 3: other, 4: np.sort(np.append(other[1:], np.uint64(5)))}
+    alike, less = np.arange(64, dtype=np.uint32), np.arange(64, dtype=np.uint32)
+    less[::4] += 1000
+    signature = {1: alike, 2: alike, 3: less, 4: less + np.uint32(np.arange(64) % 8 == 1)}
+    rest = spark.createDataFrame([(7, 0, c, 1 + (c + 1) % 2, 100) for c in sets], "bucket long, band int, cls long, root long, n long")
+    bands = spark.createDataFrame([(c, bytes(s[:32].tobytes()), bytes(s[32:].tobytes())) for c, s in signature.items()], "cls long, s0 binary, s1 binary")
+    full = spark.createDataFrame([(c, bytes(s.tobytes())) for c, s in sets.items()], "cls long, members binary")
+    found = near_dedup.bucket_links(rest.withColumn("root", F.when(F.col("cls").isin(1, 3), 1).otherwise(2).cast("long")), bands, full)
+    assert [tuple(r) for r in found.collect()] == [(3, 4)]
+
+
 def test_ids(spark):
     docs = [(5, "a b c d e f"), (5, "g h i j k l"), (3, "G h i j k l"), (9, "a b c d e f"), (None, "a b c d e f"), (7, None), (7, None)]
     rows = near_dedup.link(spark.createDataFrame(docs, "doc_id long, text string")).collect()
