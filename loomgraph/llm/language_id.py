@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 #: Hashed trigrams, rounds of estimation, price of one more language in units of log(trigrams), smoothing of counts.
 BUCKETS, ROUNDS, PRICE, SMOOTHING = 1 << 14, 8, 2.0, 0.5
+#: Characters that are turned into trigrams at a time, while counting and while predicting.
+COUNTED, PREDICTED = 1 << 19, 1 << 17
 UNKNOWN = "und"
+SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, languages array<struct<lang:string,share:double>>"
 _letters: list[np.ndarray] = []
 
 
@@ -54,19 +57,47 @@ def _blocks(texts: list[str], chars: int) -> Iterator[list[str]]:
         yield block
 
 
+def entries(texts: list[str], chars: int = PREDICTED) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams of each text as row * BUCKETS + bucket, increasing, and how often they occur.
+
+    A text of more than ``chars`` characters is counted in stretches with one more character at either end, so work arrays do
+    not follow its length.
+    """
+    brief = ["" if len(t) > chars else t for t in texts]
+    bucket, row = trigrams(brief)
+    found = [np.unique(row * BUCKETS + bucket, return_counts=True)]
+    for i, text in enumerate(texts):
+        if len(text) <= chars:
+            continue
+        low, total = text.lower(), np.zeros(BUCKETS, np.int64)
+        for a in range(0, len(low), chars):
+            stretch = low[max(a - 1, 0) : a + chars + 1]
+            bucket, _ = trigrams([stretch])
+            first = int(a > 0 and stretch[0].isalpha())
+            last = int(a + chars < len(low) and stretch[-1].isalpha())
+            total += np.bincount(bucket[first : len(bucket) - last], minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        found.append((i * BUCKETS + at, total[at]))
+    entry, weight = (np.concatenate([f[k] for f in found]) for k in range(2))
+    order = np.argsort(entry, kind="stable")
+    return entry[order], weight[order]
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
         texts = [t or "" for t in batch.column("text").to_pylist()]
         lo = 0
-        for block in _blocks(texts, 1 << 19):
-            bucket, row = trigrams(block)
+        for block in _blocks(texts, COUNTED):
+            entry, weight = entries(block, COUNTED)
+            bucket, row = entry % BUCKETS, entry // BUCKETS
             of_row = langs[lo : lo + len(block)]
             lo += len(block)
             for lang in set(of_row):
+                here = (of_row == lang)[row]
                 counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                counts[lang] += np.bincount(bucket[(of_row == lang)[row]], minlength=BUCKETS)
+                np.add.at(counts[lang], bucket[here], weight[here])
     for lang, n in counts.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
@@ -99,13 +130,13 @@ def _fit(density: np.ndarray, weight: np.ndarray, doc: np.ndarray, shares: np.nd
     return shares, np.add.reduceat(weight * np.log((shares[doc] * density).sum(1)), starts)
 
 
-def infer(bucket: np.ndarray, row: np.ndarray, n: int, log_table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For n texts: the most common language of the chosen set (-1 without letters), and its share in the full mixture."""
-    best, score = np.full(n, -1), np.zeros(n)
+def infer(entry: np.ndarray, weight: np.ndarray, n: int, log_table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For n texts with the trigrams of ``entries``: the most common language of the chosen set (-1 without letters), its share
+    in the mixture of all languages, and the shares within the chosen set (texts x languages, 0 outside the set)."""
     langs = len(log_table)
-    if not len(bucket) or not langs:
-        return best, score
-    entry, weight = np.unique(row * BUCKETS + bucket, return_counts=True)
+    best, score, within = np.full(n, -1), np.zeros(n), np.zeros((n, langs))
+    if not len(entry) or not langs:
+        return best, score, within
     rows, doc = np.unique(entry // BUCKETS, return_inverse=True)
     logs = log_table.T[entry % BUCKETS]
     # Scaled by the largest density, so that rare trigrams do not underflow; likelihood differences stay the same.
@@ -117,6 +148,7 @@ def infer(bucket: np.ndarray, row: np.ndarray, n: int, log_table: np.ndarray) ->
     full, fit = _fit(density, weight, doc, np.full((len(rows), langs), 1 / langs), ROUNDS)
     first = alone.argmax(1)
     chosen = first.copy()
+    within[rows, first] = 1
     # One language alone is best where even the full mixture does not pay for a second one.
     open_ = np.flatnonzero(fit - price > alone.max(1))
     if len(open_) and langs > 1:
@@ -134,9 +166,20 @@ def infer(bucket: np.ndarray, row: np.ndarray, n: int, log_table: np.ndarray) ->
             shares[better], have[better] = smaller[better], (fits - size * price[open_])[better]
             active &= better
         chosen[open_] = shares.argmax(1)
+        within[rows[open_]] = shares
     best[rows] = chosen
     score[rows] = np.clip(full[np.arange(len(rows)), chosen], 0, 1)
-    return best, score
+    return best, score, within
+
+
+def _lists(within: np.ndarray, names: np.ndarray) -> pa.Array:
+    """The chosen languages of each row with their shares, largest share first."""
+    order = np.argsort(-within, axis=1, kind="stable")
+    shares = np.take_along_axis(within, order, 1)
+    some = shares > 0
+    offsets = pa.array(np.concatenate([[0], np.cumsum(some.sum(1))]), pa.int32())
+    pairs = pa.StructArray.from_arrays([pa.array(names[order[some]], pa.string()), pa.array(shares[some], pa.float64())], ["lang", "share"])
+    return pa.ListArray.from_arrays(offsets, pairs)
 
 
 def _predictor(langs: list[str], model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
@@ -144,23 +187,26 @@ def _predictor(langs: list[str], model) -> Callable[[Iterator[pa.RecordBatch]],
         table = model.value
         names = np.array([*langs, UNKNOWN], object)
         for batch in batches:
-            best, score = [np.zeros(0, int)], [np.zeros(0)]
-            for block in _blocks([t or "" for t in batch.column("text").to_pylist()], 1 << 17):
-                b, s = infer(*trigrams(block), len(block), table)
-                best.append(b)
-                score.append(s)
-            columns = [batch.column(0), batch.column(1), pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score), pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
+            parts = [(np.zeros(0, int), np.zeros(0), np.zeros((0, len(langs))))]
+            for block in _blocks([t or "" for t in batch.column("text").to_pylist()], PREDICTED):
+                parts.append(infer(*entries(block), len(block), table))
+            best, score, within = (np.concatenate(p) for p in zip(*parts, strict=True))
+            columns = [batch.column(0), batch.column(1), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), _lists(within, names)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "languages"])
 
     return predict
 
 
 def predict(documents: DataFrame, langs: list[str], log_table: np.ndarray, held_out: Column) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for every row. Text that is null or has no letter gets ``und`` and 0; ties go to
-    the language first in the alphabet. Repeated rows and null ids are predicted like any other."""
+    """doc_id, held_out, lang_pred, score and languages for every row.
+
+    languages is the chosen set with its proportions (lang, share), largest first, and lang_pred the first of them; score is the
+    share of lang_pred in the mixture of all languages. Text that is null or has no letter gets ``und``, 0 and an empty list; ties
+    go to the language first in the alphabet. Repeated rows and null ids are predicted like any other.
+    """
     model = documents.sparkSession.sparkContext.broadcast(log_table)  # languages x BUCKETS
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predictor(langs, model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predictor(langs, model), SCHEMA)
 
 
 def identify(documents: DataFrame) -> DataFrame:

@@ -44,10 +44,77 @@ def test_mixture_matches_a_plain_estimation():
         for _ in range(lid.ROUNDS):
             part = p * np.exp(table[:, drawn].T)
             p = (part / part.sum(1, keepdims=True)).mean(0)
-        best, score = lid.infer(drawn, np.zeros(len(drawn), int), 1, table)
+        best, score, _ = lid.infer(*np.unique(drawn, return_counts=True), 1, table)
         assert best[0] == p.argmax() and abs(score[0] - p[best[0]]) < 1e-9
 
 
+def plain_set(counts, density):
+    """Shares within the chosen set of one text, language by language."""
+    def estimate(p):
+        for _ in range(lid.ROUNDS):
+            new = [0.0] * len(p)
+            for b, w in counts.items():
+                mass = [p[k] * density[k][b] for k in range(len(p))]
+                for k, m in enumerate(mass):
+                    new[k] += w * m / sum(mass)
+            p = [x / sum(counts.values()) for x in new]
+        return p, sum(w * np.log(sum(p[k] * density[k][b] for k in range(len(p)))) for b, w in counts.items())
+
+    n = len(density)
+    price = lid.PRICE * np.log(sum(counts.values()) + 1)
+    alone = [sum(w * np.log(d[b]) for b, w in counts.items()) for d in density]
+    shares, fit = estimate([1 / n] * n)
+    if fit - price <= max(alone):
+        return [float(k == int(np.argmax(alone))) for k in range(n)]
+    have = fit - n * price
+    for size in range(n - 1, 0, -1):
+        least = min((k for k in range(n) if shares[k] > 0), key=lambda k: shares[k])
+        rest = [0 if k == least else x for k, x in enumerate(shares)]
+        smaller, fit = estimate([x / sum(rest) for x in rest])
+        if fit - size * price < have:
+            break
+        shares, have = smaller, fit - size * price
+    return shares
+
+
+def test_chosen_set_matches_a_plain_selection():
+    rng = np.random.default_rng(8)
+    density = rng.dirichlet(np.full(lid.BUCKETS, 0.3), 4) + 1e-9
+    table = np.log(density / density.sum(1, keepdims=True))
+    texts = []
+    for shares in ([1, 0, 0, 0], [0.5, 0.5, 0, 0], [0, 0.1, 0.9, 0], [0.3, 0.3, 0, 0.4], [0.02, 0.98, 0, 0]):
+        for size in (3, 40, 400):
+            texts.append(np.concatenate([rng.choice(lid.BUCKETS, int(np.ceil(size * s)), p=np.exp(table[k])) for k, s in enumerate(shares)]))
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    _, _, within = lid.infer(*np.unique(row * lid.BUCKETS + np.concatenate(texts), return_counts=True), len(texts), table)
+    for t, found in zip(texts, within):
+        buckets, counts = np.unique(t, return_counts=True)
+        want = plain_set(dict(zip(buckets.tolist(), counts.tolist())), np.exp(table).tolist())
+        assert np.allclose(found, want, atol=1e-6) and np.array_equal(found > 1e-9, np.array(want) > 1e-9)
+
+
+def test_two_languages_in_one_text(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, lang := rng.choice("abc") * 2, 60), lang) for i in range(300)]
+    rows += [(900, prose(rng, "aa", 200) + "\n" + prose(rng, "bb", 200), None), (901, prose(rng, "cc", 300), None), (902, "7", None)]
+    out = {r.doc_id: r for r in lid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {x.lang for x in out[900].languages} == {"aa", "bb"} and min(x.share for x in out[900].languages) > 0.25
+    assert [x.lang for x in out[901].languages] == ["cc"] and out[902].languages == []
+    for r in out.values():
+        assert r.lang_pred == (r.languages[0].lang if r.languages else "und")
+        assert not r.languages or abs(sum(x.share for x in r.languages) - 1) < 1e-6
+
+
+def test_stretches_count_like_whole_texts():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abÄß .,\n7İΣ") for _ in range(n)) for n in (0, 1, 5, 6, 7, 50, 333)] + ["." * 40, "q" * 41]
+    for chars in (1, 2, 5, 7, 1000):
+        bucket, row = lid.trigrams(texts)
+        want = np.unique(row * lid.BUCKETS + bucket, return_counts=True)
+        found = lid.entries(texts, chars)
+        assert np.array_equal(found[0], want[0]) and np.array_equal(found[1], want[1])
+
+
 def corpus(spark):
     rng = random.Random(6)
     rows, labels = [], []
