@@ -373,3 +373,23 @@ def test_many_symbols_on_one_line(spark):
                                           "printf('n%05d', id) AS name", "1 AS start_line", "1 AS end_line")
     got = {r.unique_id: (r.parent_id, r.nesting_level) for r in containment.entity_nesting(rows).collect()}
     assert len(got) == 20_000 and got["u00000"] == (None, 0) and got["u19999"] == ("u00000", 19_999)
+
+
+def test_many_questions_meet_blocks_of_candidates(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    base = rnd.normal(size=(90, 6)).astype(np.float32)
+    rows = [(f"r{i % 4}" if i % 9 else None, f"p{i % 3}", i % 5, f"c{i:03d}", base[i % 60].tolist()) for i in range(90)]
+    rows += [("r1", "p", 1, "none", None), ("r1", "p", 1, "short", [1.0])]
+    cand = spark.createDataFrame(rows, "repo_url string, file_path string, start_line int, chunk_id string, embedding array<float>").repartition(3)
+    qs = spark.createDataFrame([(f"q{i:02d}", base[i].tolist(), 2 + i % 3) for i in range(30)], "query_id string, embedding array<float>, k int")
+    columns = ["query_id", "repo_url", "file_path", "start_line", "chunk_id", "score", "rn"]
+    for per_repo in (False, True):
+        monkeypatch.setattr(search, "QUESTION_BATCH", 1024)
+        whole = as_set(search.vector_topk_many(cand, qs, per_repo), *columns)
+        monkeypatch.setattr(search, "QUESTION_BATCH", 10)
+        monkeypatch.setattr(search, "BLOCK", 16)
+        found = search.vector_topk_many(cand, qs, per_repo)
+        assert as_set(found, *columns) == whole
+        assert len(whole) == found.count()
+        # The questions stay in the cluster: one step over pairs of blocks, not one pass over the candidates for every batch.
+        assert str(found._jdf.queryExecution().optimizedPlan()).count("MapInArrow") <= 1
