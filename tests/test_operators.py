@@ -393,3 +393,16 @@ def test_many_questions_meet_blocks_of_candidates(spark, monkeypatch):
         assert len(whole) == found.count()
         # The questions stay in the cluster: one step over pairs of blocks, not one pass over the candidates for every batch.
         assert str(found._jdf.queryExecution().optimizedPlan()).count("MapInArrow") <= 1
+
+
+def test_callers_are_not_shuffled(spark):
+    endpoints = spark.createDataFrame([(k, "ru", "users", f"name{k}", f"/p{k}") for k in range(5)],
+                                      "endpoint_id long, repo_url string, service_name string, name string, path string")
+    functions = spark.createDataFrame([("rw", "web", f"f{k}", f"http name{k} /p{k}") for k in range(5)],
+                                      "repo_url string, service_name string, unique_id string, text string")
+    calls = cross_service.may_call(functions, endpoints)
+    plan = calls._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert calls.count() == 10
+    per_service = cross_service.may_call(functions.union(functions).coalesce(1), endpoints, ids=["repo_url", "service_name"])
+    assert per_service.count() == 10  # rules and keys once, not once for each function
