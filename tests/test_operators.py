@@ -406,3 +406,20 @@ def test_callers_are_not_shuffled(spark):
     assert calls.count() == 10
     per_service = cross_service.may_call(functions.union(functions).coalesce(1), endpoints, ids=["repo_url", "service_name"])
     assert per_service.count() == 10  # rules and keys once, not once for each function
+
+
+def test_grouped_calls_count_like_single_ones(spark):
+    rnd = random.Random(8)
+    names, paths, services = [f"n{k}x" for k in range(8)], [f"/{k}/" for k in range(8)], ["svca", "svcb", "svcc"]
+    endpoints = [(k, "r", rnd.choice(services), rnd.choice(names), rnd.choice(paths)) for k in range(60)]
+    functions = [("r", rnd.choice(services), f"f{k % 35}", "http " + " ".join(rnd.sample([*names, *paths, *services], rnd.randint(0, 6)))) for k in range(40)]
+    functions = [(r, "svca" if k % 35 < 5 else s, u, t) for k, (r, s, u, t) in enumerate(functions)]  # five functions come twice
+    e = spark.createDataFrame(endpoints, "endpoint_id long, repo_url string, service_name string, name string, path string")
+    f = spark.createDataFrame(functions, "repo_url string, service_name string, unique_id string, text string")
+    pairs = {(s, u, k, d) for _, s, u, t in functions for k, _, d, n, p in endpoints if s != d and (n in t or p in t or d in t)}
+    wanted: dict = {}
+    for s, _, _, d in pairs:
+        wanted[s, d] = wanted.get((s, d), 0) + 1
+    grouped = cross_service.may_call(f, e, grouped=True)
+    for calls in (grouped, cross_service.may_call(f, e)):
+        assert {(r.src, r.dst): r.n for r in cross_service.calls_service(calls, e).collect()} == wanted
