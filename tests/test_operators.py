@@ -423,3 +423,16 @@ def test_grouped_calls_count_like_single_ones(spark):
     grouped = cross_service.may_call(f, e, grouped=True)
     for calls in (grouped, cross_service.may_call(f, e)):
         assert {(r.src, r.dst): r.n for r in cross_service.calls_service(calls, e).collect()} == wanted
+
+
+def test_long_needles_need_no_automaton(spark, monkeypatch):
+    rnd = random.Random(4)
+    needles = sorted({"src/" + "".join(rnd.choice("abé/") for _ in range(rnd.randint(2, 30))) for _ in range(300)})
+    texts = [(i, "x".join(rnd.choice(needles)[rnd.randint(0, 1):] for _ in range(4)) + "é" * (i % 3)) for i in range(60)] + [(99, None), (98, ""), (97, "src/")]
+    from loomgraph.operators import matching
+
+    built = []
+    monkeypatch.setattr(matching, "mentions", lambda t, n, *a, f=matching.mentions: (built.append(n.count()), f(t, n, *a))[1])
+    got = matching.text_mentions(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(n,) for n in needles], "needle string"), ["id"])
+    assert as_set(got, "id", "needle") == {(i, n) for i, t in texts for n in needles if t and n in t}
+    assert built == [sum(len(n.encode()) < 8 for n in needles)]
