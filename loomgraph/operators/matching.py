@@ -127,15 +127,15 @@ def _matcher(shared, ids: list[str], fields: list[str], owner: str | None, group
                 if owner:
                     left = needles.of_others(row, [owners[k] for k in text])
                     text, row, n = text[left > 0], row[left > 0], [pa.array(left[left > 0], pa.int64())]
-                columns = [c.take(pa.array(row)) for c in needles.fields] + n
+                columns = [c.take(pa.array(row)) for c in needles.fields]
                 if grouped:
                     ends = np.searchsorted(text, np.arange(begun, done + 1)).astype(np.int32)
-                    items = pa.StructArray.from_arrays(columns, [*fields, *(["n"] if owner else [])])
+                    items = pa.StructArray.from_arrays(columns, fields)
                     some = np.flatnonzero(np.diff(ends)) + begun
                     lists = pa.ListArray.from_arrays(pa.array(np.append(ends[some - begun], ends[-1]).astype(np.int32)), items)
                     yield pa.RecordBatch.from_arrays([*held.take(pa.array(some)).columns, lists], [*ids, grouped])
                 else:
-                    yield pa.RecordBatch.from_arrays([*held.take(pa.array(text)).columns, *columns], [*ids, *fields, *(["n"] if owner else [])])
+                    yield pa.RecordBatch.from_arrays([*held.take(pa.array(text)).columns, *columns, *n], [*ids, *fields, *(["n"] if owner else [])])
                 begun = done
 
     return run
@@ -153,16 +153,16 @@ def mentions(texts: DataFrame, needles: DataFrame, id_columns: list[str], fields
 
     ``owner`` names an id column; ``needles`` then tells of the fields a ``total`` and ``owners``, an array of (owner, count).
     Rows get ``n``, the total without the count of the text's own owner; those where nothing is left go. ``grouped`` makes one
-    row of every text with an array of that name, of structs of the fields. ``once`` gives equal ids each field once per batch.
+    row of every text with an array of that name, of structs of the fields without ``n``. ``once`` gives equal ids each field once per batch.
     """
     extra = ["total", "owners"] if owner else []
     wanted = needles.select(*dict.fromkeys(["needle", *fields, *extra])).filter(F.col("needle").rlike(r"\S")).dropDuplicates(
         [*dict.fromkeys(["needle", *fields])])
     text = F.col("text") if isinstance(texts.schema["text"].dataType, ArrayType) else F.col("text").cast("string")
     rows = texts.select(*id_columns, text.alias("text")).filter("text IS NOT NULL")
-    found_fields = [wanted.schema[c] for c in fields] + [StructField("n", LongType())] * bool(owner)
-    schema = StructType([rows.schema[c] for c in id_columns]
-                        + ([StructField(grouped, ArrayType(StructType(found_fields)))] if grouped else found_fields))
+    found_fields = [wanted.schema[c] for c in fields]
+    schema = StructType([rows.schema[c] for c in id_columns] + (
+        [StructField(grouped, ArrayType(StructType(found_fields)))] if grouped else found_fields + [StructField("n", LongType())] * bool(owner)))
     total = wanted.agg(F.sum(F.length("needle"))).first()[0] or 0
     shards = max(1, math.ceil(total / shard))
     parts = []
