@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import as_signed, discard, mix, powers, prefix_sums, row_blocks, stored, utf8_rows
 
-WIDTH, GRAM, STRIDE, BLOCK = 200, 80, 15, 1 << 19
+WIDTH, GRAM, STRIDE = 200, 80, 15
+#: Bytes of text that are hashed at one time, and kept bytes that a worker gives on together.
+BLOCK, GIVEN = 1 << 17, 1 << 22
 RUN = "doc_id long, twin long, first long, windows int, gram long, span long, loops boolean"
 
 
@@ -234,25 +236,36 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -
     return found
 
 
+def _union(first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the maximal runs that ranges [first, past) cover."""
+    order = np.argsort(first, kind="stable")
+    begin, reach = first[order], np.maximum.accumulate(past[order])
+    head = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]]))
+    return begin[head], reach[np.append(head[1:], len(begin)) - 1]
+
+
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without their spans, about GIVEN kept bytes at a time; no work array is as long as a text."""
     for batch in batches:
         data, offsets = utf8_rows(batch.column("text"))
-        removed, spans, kept = [], [], []
+        removed, spans, kept, size = [], [], [], 0
         for i, listed in enumerate(batch.column("spans")):
             text = data[offsets[i] : offsets[i + 1]]
-            if not listed.is_valid or not len(listed):
+            if listed.is_valid and len(listed):
+                begin, end = _union(*(listed.values.field(c).to_numpy(zero_copy_only=False) for c in ("first", "past")))
+                kept.append(b"".join(text[lo:hi] for lo, hi in zip([0, *end.tolist()], [*begin.tolist(), len(text)], strict=True)))
+                removed.append(len(text) - len(kept[-1]))
+                spans.append(len(begin))
+            else:
+                kept.append(text.tobytes())
                 removed.append(0)
                 spans.append(0)
-                kept.append(text.tobytes())
-                continue
-            found = listed.values
-            depth = np.bincount(found.field("first").to_numpy(), minlength=len(text) + 1) - np.bincount(found.field("past").to_numpy(), minlength=len(text) + 1)
-            gone = np.cumsum(depth)[:-1] > 0
-            removed.append(int(gone.sum()))
-            spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-            kept.append(text[~gone].tobytes())
-        columns = [batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            size += len(kept[-1])
+            if size >= GIVEN or i == len(batch) - 1:
+                done = i + 1 - len(kept)
+                columns = [batch.column("doc_id").slice(done, len(kept)), pa.array(np.diff(offsets[done : i + 2]), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                removed, spans, kept, size = [], [], [], 0
 
 
 def remove_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:

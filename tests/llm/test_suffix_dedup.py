@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,17 @@ def test_rows_with_one_id(spark):
     docs = spark.createDataFrame([(1, text), (1, text), (1, text[:150]), (None, text)], "doc_id long, text string")
     rows = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.digest(docs).collect())
     assert rows == [(150, 0), (400, 400), (400, 400), (400, 400)]
+
+
+def test_cutting_needs_no_array_as_long_as_a_text():
+    size, step = 8_000_000, 1000
+    spans = [{"first": k, "past": k + 300} for k in range(0, size, step)] + [{"first": 200, "past": 400}, {"first": 400, "past": 450}]
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["x" * size, None]), pa.array([spans, None], kind)], ["doc_id", "text", "spans"])
+    tracemalloc.start()
+    rows = [r for b in suffix_dedup._cut_batches(iter([batch])) for r in b.drop_columns(["kept"]).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == [{"doc_id": 1, "n_bytes": size, "n_removed": 300 * size // step + 150, "n_spans": size // step},
+                    {"doc_id": 2, "n_bytes": 0, "n_removed": 0, "n_spans": 0}]
+    assert peak < 3 * size
