@@ -29,4 +29,4 @@ def test_whole_run(spark):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n.split("_")[0][2:]) for n in llm.queries()) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in llm.queries()) == list(range(1, 14))
