@@ -69,3 +69,36 @@ def test_lengths_of_several_strata(spark):
     rng = np.random.default_rng(6)
     x = (rng.standard_normal((6_000, 16)) * 10 ** rng.uniform(-3, 1, (6_000, 1))).astype(np.float32)
     assert recall(spark, x, 20) >= 0.9
+
+
+def test_no_job_for_each_round_and_hop(spark):
+    """Graphs are built and walked inside tasks, so the number of Spark jobs does not follow rounds and hops."""
+    x = np.random.default_rng(7).standard_normal((3_000, 16)).astype(np.float32)
+    spark.sparkContext.setJobGroup("nearest", "")
+    try:
+        assert recall(spark, x, 60) >= 0.95
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("nearest")) <= 60
+
+
+def test_shards_find_what_lies_in_other_shards(spark, monkeypatch):
+    """Groups of 300 near copies are dealt over twelve shards; some vectors have no near copy."""
+    monkeypatch.setattr(nearest, "LEAST", 500)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(rng.standard_normal((15, 24)), 300, 0) + rng.standard_normal((4_500, 24)) * 0.02, rng.standard_normal((1_500, 24))])
+    assert nearest.shards_of(len(x), 24) == 12
+    assert recall(spark, rng.permutation(x).astype(np.float32), 30) >= 0.97
+
+
+def test_near_copies_are_told_apart(spark):
+    """Scores of near copies differ by less than single precision shows."""
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.standard_normal((3, 24)), 2_000, 0) + rng.standard_normal((6_000, 24)) * 1e-4
+    assert recall(spark, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), 60) >= 0.8
+
+
+def test_shards_are_bounded():
+    assert [nearest.shards_of(n, 64) for n in (1, 8_192, 8_193, 100_000, 615_384, 1 << 20)] == [1, 1, 2, 12, 12, 16]
+    assert nearest.shards_of(100_000, 4_095) == 25
